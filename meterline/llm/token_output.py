@@ -51,7 +51,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, name: str = "
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), column.cast(schema.field("ids").type)], schema=schema)
 
-    return written(ordered.select("doc_id", "text").mapInArrow(encode, STORED), name, **LAYOUT)
+    return written(ordered.select("doc_id", "text").mapInArrow(encode, STORED), name, compression="snappy", **LAYOUT)
 
 
 def with_starts(stored: DataFrame) -> DataFrame:

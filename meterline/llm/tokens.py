@@ -16,13 +16,16 @@ from functools import lru_cache
 import regex
 
 #: Distinct units and words that a worker keeps before it starts afresh; never changes a result.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 700_000
 
-_SPACE_THEN_WHITE = re.compile(r" [^\S ]")
-_WHITE_THEN_SPACE = re.compile(r"[^\S ] ")
+#: White space but for space and line feed, and controls that some libraries count as such.
+_RARE_WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE_AND_WHITE = re.compile(r" [^\S ]|[^\S ] ")
 #: Above this, or among these, the library's own normalising and splitting are used.
 _PLAIN_BELOW = "\u0250"
 _CONTROLS = re.compile("[\x1c-\x1f]")
+#: Marks after a word that are words of their own.
+_STOPS = (".", ",", ";", ":", "!", "?")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -64,8 +67,9 @@ class UnitEncoder:
         letters, rest = (r" ?\p{L}+| ?\p{N}+", r" ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+") if space_matters else (r"\p{L}+|\p{N}", r"[^\s\p{L}\p{N}]+")
         self._words_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|" + letters + "|" + rest).findall
         self._shown = byte_alphabet()
+        self._shown_space = self._shown[0x20]
         self._word = _Units(self._encode_word)
-        self._rest = _Units(lambda unit: self._encode_unit(" " + unit)) if space_matters else _Units(self._encode_unit)
+        self._rest = _Units(lambda unit: self._encode_unit(unit, " ")) if space_matters else _Units(self._encode_unit)
         self._first = _Units(self._encode_unit) if space_matters else self._rest
 
     def _encode(self, text: str) -> bytes:
@@ -74,24 +78,33 @@ class UnitEncoder:
     def _encode_word(self, word: str) -> bytes:
         return array("I", [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._shown))]).tobytes()
 
-    def _encode_unit(self, unit: str) -> bytes:
-        if not unit:
-            return b""
-        if max(unit) >= _PLAIN_BELOW or _CONTROLS.search(unit):
-            return self._encode(unit)
-        return b"".join([self._word[w] for w in self._words_of(unit if self._space else unit.lower())])
+    def _encode_unit(self, unit: str, lead: str = "") -> bytes:
+        if not unit.isascii() and (max(unit) >= _PLAIN_BELOW or "\u0130" in unit):
+            return self._encode(lead + unit)
+        if unit.isalpha():
+            word = unit if self._space else unit.lower()
+            if unit.isascii():
+                return array("I", [t.id for t in self._model.tokenize(self._shown_space + word if lead else word)]).tobytes()
+            return self._encode_word(lead + word)
+        if unit[-1:] in _STOPS and unit[:-1].isalpha():
+            return (self._rest if lead else self._first)[unit[:-1]] + self._word[unit[-1]]
+        if _CONTROLS.search(unit):
+            return self._encode(lead + unit)
+        return b"".join([self._word[w] for w in self._words_of(lead + unit if self._space else unit.lower())])
 
     def _whole(self, text: str) -> bool:
         """Whether a space meets other white space, which a byte-level tokenizer may join."""
-        return "  " in text or _SPACE_THEN_WHITE.search(text) is not None or _WHITE_THEN_SPACE.search(text) is not None
+        if "  " in text or "\n " in text or " \n" in text:
+            return True
+        return any(c in text for c in _RARE_WHITE) and _SPACE_AND_WHITE.search(text) is not None
 
     def encode(self, text: str) -> bytes:
         if not self._space:
             return b"".join(map(self._rest.__getitem__, text.replace("\n", " ").split(" ")))
         if self._whole(text):
             return self._encode(text)
-        first, *units = text.split(" ")
-        return self._first[first] + b"".join(map(self._rest.__getitem__, units))
+        units = text.split(" ")
+        return self._first[units.pop(0)] + b"".join(map(self._rest.__getitem__, units))
 
 
 @lru_cache(maxsize=2)
