@@ -1,14 +1,19 @@
 """The queries of this subpackage, for ``__spark_entry__.py``."""
 
-from meterline.llm import packing, token_output
+from meterline.llm import byte_bpe, exact_topk, html_text, lm_score, near_dedup, packing, token_output
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_lm_score": lm_score.op2_lm_score,
+        "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+        "op6_exact_topk": exact_topk.op6_exact_topk,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op9_html_text": html_text.op9_html_text,
         "op10_token_output": token_output.op10_token_output,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_topk": exact_topk.ORACLE}
