@@ -3,8 +3,8 @@
 The byte-context trie of the training documents is held as tables of (context, symbol,
 count), one for each order; every order's counts are sums of the deepest order's, so each
 symbol seen after a context was also seen after its suffixes. A symbol's probability comes
-from the longest context that was seen with it: escapes are estimated by the number of
-distinct symbols (method C), and symbols of the context escaped from are excluded.
+from the longest context that was seen with it: escapes are estimated by half the number of
+distinct symbols (method D), and symbols of the context escaped from are excluded.
 
 Texts are lower-cased (A-Z) and end in one end symbol. Each block of documents asks once
 for each distinct (context, symbol) and word it holds; probabilities are worked out once
@@ -162,7 +162,7 @@ def gram_costs(asked: DataFrame) -> DataFrame:
     """(gram, cost): minus the log10 probability of each asked gram's symbol after its context."""
     all_grams = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     orders = [written(level, f"order{k}") for k, level in enumerate(trie(all_grams.where("n > 0")))]
-    known = orders[ORDER].select(F.shiftleft("context", 8).bitwiseOR(F.col("symbol")).alias("gram"), F.log10((F.col("total") + F.col("distinct_symbols")) / F.col("n")).alias("cost"))
+    known = orders[ORDER].select(F.shiftleft("context", 8).bitwiseOR(F.col("symbol")).alias("gram"), F.log10(2 * F.col("total") / (2 * F.col("n") - 1)).alias("cost"))
     # what was never seen whole goes down the orders
     rows = all_grams.where("n = 0").select("gram", F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("gone_symbols"))
     done = known
@@ -179,7 +179,7 @@ def gram_costs(asked: DataFrame) -> DataFrame:
             rows = rows.withColumn("n", F.lit(None).cast("long"))
         total, symbols = F.col("total") - F.col("gone"), F.col("distinct_symbols") - F.col("gone_symbols")
         seen = F.col("total").isNotNull()
-        step = F.when(F.col("n").isNotNull(), F.log10((total + symbols) / F.col("n"))).when(seen & (symbols > 0), F.log10((total + symbols) / F.greatest(symbols, F.lit(1)))).otherwise(F.lit(0.0))
+        step = F.when(F.col("n").isNotNull(), F.log10(2 * total / (2 * F.col("n") - 1))).when(seen & (symbols > 0), F.log10(2 * total / F.greatest(symbols, F.lit(1)))).otherwise(F.lit(0.0))
         rows = rows.select("gram", "n", (F.col("cost") + step).alias("cost"), F.when(seen, F.col("excluded")).otherwise(F.lit(0)).alias("gone"), F.when(seen, F.col("distinct_symbols")).otherwise(F.lit(0)).alias("gone_symbols"))
         rows = written(rows, f"down{k}")
         done = done.unionByName(rows.where("n is not null").select("gram", "cost"))
