@@ -134,6 +134,7 @@ def trip_events(df: DataFrame, dataset: str, year_month: str) -> DataFrame:
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     event = F.struct(
         F.concat_ws("-", F.lit(dataset), F.lit(year_month), F.col("number").cast("string")).alias("trip_id"), F.lit(dataset).alias("dataset"), F.date_format("pickup_ts", iso).alias("pickup_ts"), F.date_format("dropoff_ts", iso).alias("dropoff_ts"),
-        F.col("PULocationID").cast("int"), F.col("DOLocationID").cast("int"), F.col("trip_distance").cast("double"), F.col("passenger_count").cast("double"), F.col("fare_amount").cast("double"), F.col("tip_amount").cast("double"), F.col("total_amount").cast("double"), F.col("payment_type").cast("int"),
+        *(F.col(c).cast("int").alias(c) for c in ("PULocationID", "DOLocationID")),
+        *(F.col(c).cast("double").alias(c) for c in ("trip_distance", "passenger_count", "fare_amount", "tip_amount", "total_amount")), F.col("payment_type").cast("int").alias("payment_type"),
     )
     return numbered.select(F.col("PULocationID").cast("string").alias("key"), F.to_json(event, {"ignoreNullFields": "false"}).alias("value"), "dropoff_ts", "number")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from meterline.functions.derive import rounded
 from meterline.operators.rules import airport_filter
 
-TRIPS = F.count("*").alias("trips")
+
+def trips() -> Column:
+    return F.count("*").alias("trips")
 
 
 def mean(column: str, places: int, name: str) -> Column:
@@ -16,12 +18,12 @@ def mean(column: str, places: int, name: str) -> Column:
 
 
 def demand_by_zone_hour(curated: DataFrame) -> DataFrame:
-    return curated.groupBy("pu_borough", "pu_zone", "pickup_hour", "is_weekend").agg(TRIPS, mean("trip_distance", 3, "avg_distance"), mean("duration_min", 2, "avg_duration_min"))
+    return curated.groupBy("pu_borough", "pu_zone", "pickup_hour", "is_weekend").agg(trips(), mean("trip_distance", 3, "avg_distance"), mean("duration_min", 2, "avg_duration_min"))
 
 
 def od_pairs(curated: DataFrame) -> DataFrame:
     keys = ("pu_borough", "pu_zone", "do_borough", "do_zone")
-    return curated.groupBy(*keys).agg(TRIPS, mean("total_amount", 2, "avg_fare"), mean("duration_min", 2, "avg_duration_min"))
+    return curated.groupBy(*keys).agg(trips(), mean("total_amount", 2, "avg_fare"), mean("duration_min", 2, "avg_duration_min"))
 
 
 def od_matrix(curated: DataFrame, top: int = 200) -> DataFrame:
@@ -30,12 +32,12 @@ def od_matrix(curated: DataFrame, top: int = 200) -> DataFrame:
 
 
 def daily_kpis(curated: DataFrame) -> DataFrame:
-    return curated.groupBy(F.to_date("pickup_ts").alias("date")).agg(TRIPS, rounded(F.sum("total_amount"), 2).alias("revenue"), mean("total_amount", 2, "avg_fare"), mean("trip_distance", 3, "avg_distance"), mean("duration_min", 2, "avg_duration_min"))
+    return curated.groupBy(F.to_date("pickup_ts").alias("date")).agg(trips(), rounded(F.sum("total_amount"), 2).alias("revenue"), mean("total_amount", 2, "avg_fare"), mean("trip_distance", 3, "avg_distance"), mean("duration_min", 2, "avg_duration_min"))
 
 
 def _tips() -> list[Column]:
     tipped = F.count_if(F.col("tip_amount") > 0)
-    return [TRIPS, mean("tip_pct", 2, "avg_tip_pct"), mean("fare_amount", 2, "avg_fare"), rounded(100 * tipped / F.count("*"), 2).alias("pct_trips_with_tip")]
+    return [trips(), mean("tip_pct", 2, "avg_tip_pct"), mean("fare_amount", 2, "avg_fare"), rounded(100 * tipped / F.count("*"), 2).alias("pct_trips_with_tip")]
 
 
 def tipping(curated: DataFrame) -> DataFrame:
@@ -51,15 +53,15 @@ def tipping_by_label(curated: DataFrame, boroughs: list[str]) -> DataFrame:
 
 def speed_by_hour(curated: DataFrame, accuracy: int = 1_000_000) -> DataFrame:
     median = F.percentile_approx("speed_mph", 0.5, accuracy).alias("median_speed")
-    return curated.groupBy("pu_borough", "pickup_hour", "is_weekend").agg(TRIPS, mean("speed_mph", 2, "avg_speed"), median)
+    return curated.groupBy("pu_borough", "pickup_hour", "is_weekend").agg(trips(), mean("speed_mph", 2, "avg_speed"), median)
 
 
 def airport_flows(curated: DataFrame, pattern: str) -> DataFrame:
-    return airport_filter(curated, pattern).groupBy("pickup_hour", "is_weekend").agg(TRIPS, mean("total_amount", 2, "avg_fare"), mean("trip_distance", 2, "avg_distance"))
+    return airport_filter(curated, pattern).groupBy("pickup_hour", "is_weekend").agg(trips(), mean("total_amount", 2, "avg_fare"), mean("trip_distance", 2, "avg_distance"))
 
 
 def earnings_by_area_hour(curated: DataFrame) -> DataFrame:
-    return curated.groupBy("pu_borough", "pickup_hour", "is_weekend").agg(TRIPS, mean("total_amount", 2, "avg_fare"), mean("duration_min", 2, "avg_duration_min"))
+    return curated.groupBy("pu_borough", "pickup_hour", "is_weekend").agg(trips(), mean("total_amount", 2, "avg_fare"), mean("duration_min", 2, "avg_duration_min"))
 
 
 def route_avg_distance(curated: DataFrame) -> DataFrame:
@@ -67,16 +69,16 @@ def route_avg_distance(curated: DataFrame) -> DataFrame:
 
 
 def borough_revenue(curated: DataFrame) -> DataFrame:
-    return curated.groupBy("pu_borough").agg(TRIPS, F.sum("total_amount").alias("rev"))
+    return curated.groupBy("pu_borough").agg(trips(), F.sum("total_amount").alias("rev"))
 
 
 def zone_hour_counts(lines: DataFrame) -> DataFrame:
     """Counts of (borough, zone, hour) from a three-column text table; the map side combines."""
-    return lines.groupBy("borough", "zone", "hour").agg(TRIPS)
+    return lines.groupBy("borough", "zone", "hour").agg(trips())
 
 
 def zone_hour_demand(curated: DataFrame) -> DataFrame:
-    return curated.groupBy("pu_borough", "pu_zone", "pickup_hour", "is_weekend").agg(TRIPS, mean("total_amount", 2, "avg_fare"))
+    return curated.groupBy("pu_borough", "pu_zone", "pickup_hour", "is_weekend").agg(trips(), mean("total_amount", 2, "avg_fare"))
 
 
 def borough_zone_rollup(demand: DataFrame, borough: str, top: int = 5) -> DataFrame:
@@ -87,5 +89,5 @@ def borough_zone_rollup(demand: DataFrame, borough: str, top: int = 5) -> DataFr
 
 
 def year_totals(daily: DataFrame) -> DataFrame:
-    trips, revenue = F.sum("trips"), F.sum("revenue")
-    return daily.agg(F.count("*").alias("days"), trips.alias("trips"), rounded(revenue / 1e9, 6).alias("revenue_billions"), rounded(revenue / trips, 2).alias("revenue_per_trip"))
+    total, revenue = F.sum("trips"), F.sum("revenue")
+    return daily.agg(F.count("*").alias("days"), total.alias("trips"), rounded(revenue / 1e9, 6).alias("revenue_billions"), rounded(revenue / total, 2).alias("revenue_per_trip"))

@@ -23,7 +23,15 @@ CURATED = (
     "fare_amount double, tip_amount double, total_amount double, tip_pct double, payment_type int, is_card boolean, is_weekend boolean, pickup_hour int, pickup_dow int, "
     "PULocationID int, DOLocationID int, pu_borough string, pu_zone string, do_borough string, do_zone string, dataset string, year int, month int"
 )
-CURATED_SCHEMA = T.StructType.fromDDL(CURATED)
+
+
+def schema_of(ddl: str) -> T.StructType:
+    """A schema of plain types; needs no session, unlike Spark's own parser."""
+    kinds = {"timestamp": T.TimestampType(), "long": T.LongType(), "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "string": T.StringType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
+
+
+CURATED_SCHEMA = schema_of(CURATED)
 CURATED_COLUMNS = CURATED_SCHEMA.names
 
 #: One trip event of a stream.

@@ -157,10 +157,11 @@ SELECT *, fare_amount + coalesce(tip_amount, 0) AS total_amount FROM f""")
 on_raw("fill_contract_columns", lambda t: D.fill_contract_columns(t.select("trip_id", "fare_amount", "payment_type")), "SELECT trip_id, fare_amount, payment_type, CAST(NULL AS DOUBLE) AS trip_distance, CAST(NULL AS DOUBLE) AS tip_amount, CAST(NULL AS DOUBLE) AS total_amount, CAST(NULL AS DOUBLE) AS passenger_count FROM raw")
 on_raw("widen_types", lambda t: D.widen_types(t.select("trip_id", F.col("passenger_count").cast("int").alias("passenger_count"), F.col("payment_type").cast("bigint").alias("payment_type"))), "SELECT trip_id, passenger_count, payment_type FROM raw")
 for _name, _columns in {
-    "duration_s": {"duration_s": D.duration_s()}, "duration_min": {"duration_min": D.duration_min()}, "speed_mph": {"speed_mph": D.speed_mph()}, "pickup_calendar": D.pickup_calendar(), "is_card": {"is_card": D.is_card()}, "tip_pct": {"tip_pct": D.tip_pct()},
+    "duration_s": lambda: {"duration_s": D.duration_s()}, "duration_min": lambda: {"duration_min": D.duration_min()}, "speed_mph": lambda: {"speed_mph": D.speed_mph()}, "pickup_calendar": D.pickup_calendar,
+    "is_card": lambda: {"is_card": D.is_card()}, "tip_pct": lambda: {"tip_pct": D.tip_pct()},
 }.items():
-    on_raw(_name, lambda t, c=_columns: t.select("trip_id", *(v.alias(k) for k, v in c.items())))
-    SQL[_name] = f"WITH {DERIVED} SELECT trip_id, {', '.join(_columns)} FROM derived"
+    on_raw(_name, lambda t, c=_columns: t.select("trip_id", *(v.alias(k) for k, v in c().items())), "")
+    SQL[_name] = f"WITH {DERIVED} SELECT trip_id, {'pickup_hour, pickup_dow, is_weekend' if _name == 'pickup_calendar' else _name} FROM derived"
 on_derived("derive_trips", lambda t: t.select("trip_id", "duration_s", "duration_min", "speed_mph", "is_card", "tip_pct", "pickup_hour", "pickup_dow", "is_weekend"), "SELECT trip_id, duration_s, duration_min, speed_mph, is_card, tip_pct, pickup_hour, pickup_dow, is_weekend FROM derived")
 on_curated("to_contract", lambda c: c, "SELECT * FROM curated")
 on_derived("day_type", lambda t: t.select("trip_id", D.day_type().alias("day_type"), D.day_type_of_dow().alias("day_type_of_dow")), f"SELECT trip_id, {day('is_weekend')} AS day_type, {day('is_weekend')} AS day_type_of_dow FROM derived")
@@ -230,7 +231,7 @@ LINES = "SELECT pu_borough AS borough, pu_zone AS zone, pickup_hour AS hour, cou
 
 def _reconcile_text(s: SparkSession, d: str) -> DataFrame:
     curated, counted = _by_text(s, d)
-    direct = curated.groupBy(F.col("pu_borough").alias("borough"), F.col("pu_zone").alias("zone"), F.col("pickup_hour").alias("hour")).agg(gold.TRIPS)
+    direct = curated.groupBy(F.col("pu_borough").alias("borough"), F.col("pu_zone").alias("zone"), F.col("pickup_hour").alias("hour")).agg(gold.trips())
     return reconcile.reconcile_zone_hour_counts(direct, counted)
 
 
@@ -488,7 +489,7 @@ def _progress(s: SparkSession, d: str) -> DataFrame:
     metrics, path = _stream(s, d, "5 minutes", "30 minutes")
     query = streams.sink_windows_parquet(metrics, path, f"{path}-checkpoint")
     query.awaitTermination()
-    return streams.progress_rows(query)
+    return streams.progress_rows(s, query)
 
 
 def _committed(s: SparkSession, d: str) -> DataFrame:

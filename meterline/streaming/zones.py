@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from meterline.functions.derive import derive_trips, rounded
 from meterline.operators.rules import clean_trips
-from meterline.plans.contract import EVENT
+from meterline.plans.contract import EVENT, schema_of
 
-EVENT_SCHEMA = T.StructType.fromDDL(EVENT)
+EVENT_SCHEMA = schema_of(EVENT)
 METRICS = "window_start timestamp, window_end timestamp, PULocationID int, pu_borough string, pu_zone string, trips long, avg_fare double, avg_duration_min double, avg_distance double, total_revenue double, avg_card_tip_pct double"
 
 
@@ -82,13 +81,13 @@ def sink_windows_tables(metrics: DataFrame, path: str, checkpoint: str) -> Strea
     return metrics.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def progress_rows(query: StreamingQuery) -> DataFrame:
+def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """What the query tells of its micro-batches: input, late rows dropped, state rows, watermark."""
     rows = []
     for p in query.recentProgress:
         state = p["stateOperators"][0] if p["stateOperators"] else {}
         rows.append((p["batchId"], p["numInputRows"], float(p.get("processedRowsPerSecond") or 0.0), state.get("numRowsDroppedByWatermark", 0), state.get("numRowsTotal", 0), p.get("eventTime", {}).get("watermark")))
-    return query.sparkSession.createDataFrame(rows, "batch long, rows_in long, rows_per_second double, late_rows long, state_rows long, watermark string")
+    return spark.createDataFrame(rows, "batch long, rows_in long, rows_per_second double, late_rows long, state_rows long, watermark string")
 
 
 def live_totals(metrics: DataFrame) -> DataFrame:
