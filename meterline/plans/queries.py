@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from meterline.functions import derive as D
 from meterline.operators import enrich, gold, insights, reconcile, rules, serving
 from meterline.plans import duration
+from meterline.plans.contract import CURATED_SCHEMA
 from meterline.sources import fixtures, trips
 from meterline.streaming import zones as streams
 
@@ -420,18 +421,12 @@ add("write_quality_json", round_trip("report", trips.write_report, lambda s, p:
 # Storage choices: the same question of each layout
 REVENUE = f"WITH {CURATED} SELECT pu_borough, count(*) AS trips, sum(total_amount) AS rev FROM curated GROUP BY pu_borough"
 add("bench_format_parquet", round_trip("flat", trips.write_flat_copy, lambda s, p: gold.borough_revenue(parquet(s, p)), fixtures.curated), REVENUE)
-add("bench_format_csv", round_trip("csv", trips.write_csv_copy, lambda s, p: gold.borough_revenue(s.read.schema(fixtures_schema()).option("header", True).csv(p)), fixtures.curated), REVENUE)
+add("bench_format_csv", round_trip("csv", trips.write_csv_copy, lambda s, p: gold.borough_revenue(s.read.schema(CURATED_SCHEMA).option("header", True).csv(p)), fixtures.curated), REVENUE)
 MONTH_REVENUE = REVENUE.replace("FROM curated GROUP", "FROM curated WHERE year = 1995 AND month = 3 GROUP")
 add("bench_partitioning_partitioned", round_trip("curated", trips.write_curated, lambda s, p: gold.borough_revenue(rules.partition_filter(parquet(s, p), 1995, 3)), fixtures.curated), MONTH_REVENUE)
 add("bench_partitioning_flat", round_trip("flat", trips.write_flat_copy, lambda s, p: gold.borough_revenue(rules.partition_filter(parquet(s, p), 1995, 3)), fixtures.curated), MONTH_REVENUE)
 
 
-def fixtures_schema():
-    from meterline.plans.contract import CURATED_SCHEMA
-
-    return CURATED_SCHEMA
-
-
 # Streams: the file source in place of the topic
 def _events(s: SparkSession, d: str) -> DataFrame:
     clean_months = fixtures.raw_trips(s, d).where(F.year("pickup_ts") < 2098)

@@ -90,7 +90,8 @@ def external_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """Declares a table over existing files; partitions are found from the folders."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     spark.catalog.createTable(name, path=path, source="parquet")
-    spark.catalog.recoverPartitions(name) if "PARTITION" in spark.sql(f"SHOW CREATE TABLE {name}").first()[0] else None
+    if "PARTITIONED BY" in spark.sql(f"SHOW CREATE TABLE {name}").first()[0]:
+        spark.catalog.recoverPartitions(name)
     return spark.table(name)
 
 
