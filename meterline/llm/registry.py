@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": exact_topk.ORACLE}
+    return {"op4_secrets": secrets.ORACLE, "op6_exact_topk": exact_topk.ORACLE}

@@ -202,3 +202,26 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("secret_spans", lambda s: s["place"] < len(BASE))
     return found.select("doc_id", *(count(r.kind) for r in BASE), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("secret_spans")).alias("spans"))
+
+
+def _rule_sql(place: int, rule: Rule) -> str:
+    """The rule's spans: gaps and matches before a match add up to its start."""
+    # a run without a group is long enough or not as a whole, so its least length can stand in the expression
+    pattern = (f"{rule.probe[:-1]},}}" if rule.probe else rule.pattern).replace("'", "''")
+    return f"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, begins, begins + length(m[i]) AS ends FROM (
+  SELECT *, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS begins FROM (
+    SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS told, string_split_regex(text, '{pattern}') AS gap FROM t WHERE regexp_matches(text, '{pattern}'))))
+  WHERE length(told[i]) >= {rule.least}"""
+
+
+def _listed(where: str) -> str:
+    return f"SELECT doc_id, string_agg(kind || ':' || CAST(begins AS VARCHAR) || ':' || CAST(ends AS VARCHAR), ',' ORDER BY begins, place) AS listed FROM s WHERE {where} GROUP BY doc_id"
+
+
+ORACLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, place, kind, CAST(begins AS BIGINT) AS begins, CAST(ends AS BIGINT) AS ends FROM ({' UNION ALL '.join(_rule_sql(k, r) for k, r in enumerate(RULES))})),
+n AS (SELECT doc_id, {', '.join(f"count(CASE WHEN kind = '{r.kind}' THEN 1 END) AS n_{r.kind}" for r in BASE)} FROM s GROUP BY doc_id),
+b AS ({_listed(f"place < {len(BASE)}")}), a AS ({_listed("true")})
+SELECT t.doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(b.listed, '')) AS base_sha256, coalesce(a.listed, '') AS spans
+FROM t LEFT JOIN n ON t.doc_id = n.doc_id LEFT JOIN b ON t.doc_id = b.doc_id LEFT JOIN a ON t.doc_id = a.doc_id"""
