@@ -25,7 +25,14 @@ _SPACE_AND_WHITE = re.compile(r" [^\S ]|[^\S ] ")
 _PLAIN_BELOW = "\u0250"
 _CONTROLS = re.compile("[\x1c-\x1f]")
 #: Marks after a word that are words of their own.
-_STOPS = (".", ",", ";", ":", "!", "?")
+STOPS = (".", ",", ";", ":", "!", "?")
+
+
+def space_meets_white(text: str) -> bool:
+    """Whether a space is next to other white space, which a pre-tokenizer may join."""
+    if "  " in text or "\n " in text or " \n" in text:
+        return True
+    return any(c in text for c in _RARE_WHITE) and _SPACE_AND_WHITE.search(text) is not None
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -86,22 +93,16 @@ class UnitEncoder:
             if unit.isascii():
                 return array("I", [t.id for t in self._model.tokenize(self._shown_space + word if lead else word)]).tobytes()
             return self._encode_word(lead + word)
-        if unit[-1:] in _STOPS and unit[:-1].isalpha():
+        if unit[-1:] in STOPS and unit[:-1].isalpha():
             return (self._rest if lead else self._first)[unit[:-1]] + self._word[unit[-1]]
         if _CONTROLS.search(unit):
             return self._encode(lead + unit)
         return b"".join([self._word[w] for w in self._words_of(lead + unit if self._space else unit.lower())])
 
-    def _whole(self, text: str) -> bool:
-        """Whether a space meets other white space, which a byte-level tokenizer may join."""
-        if "  " in text or "\n " in text or " \n" in text:
-            return True
-        return any(c in text for c in _RARE_WHITE) and _SPACE_AND_WHITE.search(text) is not None
-
     def encode(self, text: str) -> bytes:
         if not self._space:
             return b"".join(map(self._rest.__getitem__, text.replace("\n", " ").split(" ")))
-        if self._whole(text):
+        if space_meets_white(text):
             return self._encode(text)
         units = text.split(" ")
         return self._first[units.pop(0)] + b"".join(map(self._rest.__getitem__, units))
