@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,16 +27,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm.shared import arrow_schema, blocks, documents, unpack, whole_texts
+from meterline.llm.tokens import STOPS, space_meets_white
 
 #: Buckets of the literal rank map, so that a lookup compares a few keys.
 BUCKETS = 8192
 NO_RANK = 2**31 - 1
+#: Text of a block, and units of it whose ids a task keeps at hand.
+BLOCK_BYTES = 16 << 20
+HELD_UNITS = 200_000
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 #: Unicode's White_Space property, as the tiktoken library reads \s.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACE_THEN_WHITE = re.compile(r" [^\S ]")
-_WHITE_THEN_SPACE = re.compile(r"[^\S ] ")
 
 
 @lru_cache(maxsize=2)
@@ -63,74 +65,81 @@ def rank_map(path: str) -> Column:
     return F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def encode_word(word: Column, ranks: Column) -> Column:
     """The ids of one word of byte characters, as little-endian 32-bit integers."""
+    none = F.array().cast("array<int>")
 
     def rank(piece: Column) -> Column:
         bucket = F.get(ranks, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int"))
         return F.coalesce(F.element_at(bucket, piece), F.lit(NO_RANK))
 
-    def joined(parts: Column, i: Column) -> Column:
-        return F.concat(F.get(parts, i), F.get(parts, i + 1))
+    def merged(held: Column, p: Column) -> Column:
+        """The state after joining the p-th part, from 1, with the next."""
+        parts, found = held["parts"], held["found"]
+        n = F.size(parts)
+
+        def with_made(made: Column) -> Column:
+            left = F.when(p > 1, F.array(rank(F.concat(F.get(parts, p - 2), made)))).otherwise(none)
+            right = F.when(p + 1 < n, F.array(rank(F.concat(made, F.get(parts, p + 1))))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(parts, F.lit(1), p - 1), F.array(made), F.slice(parts, p + 2, F.greatest(n - p - 1, F.lit(0)))).alias("parts"),
+                F.concat(F.slice(found, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(found, p + 2, F.greatest(n - p - 2, F.lit(0)))).alias("found"),
+            )
 
-    def state(parts: Column, found: Column) -> Column:
-        return F.struct(parts.alias("parts"), found.alias("found"))
+        return let(F.concat(F.get(parts, p - 1), F.get(parts, p)), with_made)
 
     def merge(held: Column, _: Column) -> Column:
-        parts, found = held["parts"], held["found"]
-        best = F.array_min(found)
-        # 1-based place of the left part of the pair
-        p = F.array_position(found, best).cast("int")
-        n = F.size(parts)
-        made = F.array(joined(parts, p - 1))
-        left = F.when(p > 1, F.array(rank(F.concat(F.get(parts, p - 2), made[0])))).otherwise(F.array().cast("array<int>"))
-        right = F.when(p + 1 < n, F.array(rank(F.concat(made[0], F.get(parts, p + 1))))).otherwise(F.array().cast("array<int>"))
-        after = F.greatest(n - p - 1, F.lit(0))
-        merged = state(
-            F.concat(F.slice(parts, F.lit(1), p - 1), made, F.slice(parts, p + 2, after)),
-            F.concat(F.slice(found, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(found, p + 2, F.greatest(after - 1, F.lit(0)))),
-        )
-        return F.when(best < NO_RANK, merged).otherwise(held)
-
-    parts = F.split(word, "")
-    steps = F.length(word) - 1
-    pairs = F.when(steps > 0, F.transform(F.sequence(F.lit(0), F.greatest(steps - 1, F.lit(0))), lambda i: rank(F.concat(F.substring(word, i + 1, F.lit(1)), F.substring(word, i + 2, F.lit(1)))))).otherwise(F.array().cast("array<int>"))
-    turns = F.when(steps > 0, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    done = F.aggregate(turns, state(parts, pairs), merge, lambda held: held["parts"])
+        # leftmost of the lowest ranks; nothing is left to join where none has a rank
+        def at(best: Column) -> Column:
+            return F.when(best < NO_RANK, let(F.array_position(held["found"], best).cast("int"), lambda p: merged(held, p))).otherwise(held)
 
-    def little_endian(piece: Column) -> Column:
-        big = F.lpad(F.hex(rank(piece)), 8, "0")
-        return F.concat(*(F.substring(big, i, 2) for i in (7, 5, 3, 1)))
+        return let(F.array_min(held["found"]), at)
 
-    return F.unhex(F.array_join(F.transform(done, little_endian), ""))
+    steps = F.length(word) - 1
+    pairs = F.transform(F.sequence(F.lit(1), steps), lambda i: rank(F.substring(word, i, F.lit(2))))
+    folded = F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.split(word, "").alias("parts"), pairs.alias("found")), merge, lambda held: held["parts"])
+    # a word that is a piece itself needs no merges
+    parts = F.when(rank(word) < NO_RANK, F.array(word)).otherwise(folded)
+    big = F.transform(parts, lambda piece: F.lpad(F.hex(rank(piece)), 8, "0"))
+    return F.unhex(F.array_join(F.transform(big, lambda x: F.concat(*(F.substring(x, i, 2) for i in (7, 5, 3, 1)))), ""))
 
 
 class Words:
-    """Cuts texts into words: first at spaces, then each distinct unit once by the pattern."""
+    """Cuts texts into words: first at spaces, then each distinct unit once by the pattern. Words come as byte characters."""
 
     def __init__(self, pattern: str):
         self._find = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
 
     def units(self, text: str) -> list[str] | None:
         """Units that can be cut on their own, or None where a space meets other white space."""
-        if "  " in text or _SPACE_THEN_WHITE.search(text) or _WHITE_THEN_SPACE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *rest]
+        return None if space_meets_white(text) else text.split(" ")
 
     def of(self, text: str) -> list[str]:
-        """Words as byte characters."""
-        return [w.encode().decode("latin-1") for w in self._find(text)]
+        return [w if w.isascii() else w.encode().decode("latin-1") for w in self._find(text)]
+
+    def of_unit(self, unit: str, lead: str) -> list[str]:
+        if unit.isascii():
+            if unit.isalpha():
+                return [lead + unit]
+            if unit[-1:] in STOPS and unit[:-1].isalpha():
+                return [lead + unit[:-1], unit[-1]]
+        return self.of(lead + unit)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian 32-bit) of every document."""
-    dealt = blocks(whole_texts(docs))
+    dealt = blocks(whole_texts(docs), BLOCK_BYTES)
     asked, answered = arrow_schema("block int, word string"), arrow_schema(ENCODED)
 
     def ask(key, group):
-        cut, words, first, rest = Words(pattern), set(), set(), set()
+        cut, words = Words(pattern), set()
         for batch in unpack(group["chunk"]):
+            first, rest = set(), set()
             for text in batch.column("text").to_pylist():
                 units = cut.units(text)
                 if units is None:
@@ -138,10 +147,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 else:
                     first.add(units[0])
                     rest.update(units[1:])
-        for unit in first:
-            words.update(cut.of(unit))
-        for unit in rest:
-            words.update(cut.of(" " + unit))
+            for unit in first:
+                words.update(cut.of_unit(unit, ""))
+            for unit in rest:
+                words.update(cut.of_unit(unit, " "))
         return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(words), pa.int32()), pa.array(sorted(words), pa.string())], schema=asked)
 
     def answer(key, group, words):
@@ -149,11 +158,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         class Held(dict):
             def __missing__(self, unit):
-                out = self[unit] = b"".join([known[w] for w in cut.of(unit if self.first else " " + unit)])
+                if len(self) > HELD_UNITS:
+                    self.clear()
+                out = self[unit] = b"".join([known[w] for w in cut.of_unit(unit, self.lead)])
                 return out
 
         first, rest = Held(), Held()
-        first.first, rest.first = True, False
+        first.lead, rest.lead = "", " "
         doc_ids, ids = [], []
         for batch in unpack(group["chunk"]):
             doc_ids += batch.column("doc_id").to_pylist()
@@ -162,9 +173,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids.append(b"".join([known[w] for w in cut.of(text)]) if units is None else first[units[0]] + b"".join(map(rest.__getitem__, units[1:])))
         return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=answered)
 
+    # each distinct word with the blocks that ask for it: one shuffle of the words, and no join
     wanted = dealt.groupBy("block").applyInArrow(ask, "block int, word string").repartition("word")
-    distinct = wanted.select("word").distinct().select("word", encode_word(F.col("word"), rank_map(path)).alias("ids"))
-    answers = wanted.join(distinct.hint("shuffle_hash"), "word").select("block", "word", "ids")
+    distinct = wanted.groupBy("word").agg(F.collect_list("block").alias("blocks"))
+    answers = distinct.select("word", "blocks", encode_word(F.col("word"), rank_map(path)).alias("ids")).select(F.explode("blocks").alias("block"), "word", "ids")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, ENCODED)
 
 
