@@ -33,8 +33,8 @@ from meterline.llm.shared import arrow_schema, blocks, documents, unpack, whole_
 ORDER = 5
 #: A byte that UTF-8 never holds pads the start of a text and is its end symbol.
 END = 0xFF
-#: Text of a block.
-BLOCK_BYTES = 32 << 20
+#: Text of a block; distinct grams are gathered chunk by chunk, so that memory follows their number.
+BLOCK_BYTES = 16 << 20
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -100,19 +100,19 @@ def ask_grams(dealt: DataFrame, folds: int, fold: int) -> DataFrame:
     schema = arrow_schema("block int, gram long, n long")
 
     def ask(key, group):
-        train, other = [], []
+        keys, counts = [], []
         for batch in unpack(group["chunk"]):
             texts, out = _lower(batch), [held_out(i, folds, fold) for i in batch.column("doc_id").to_pylist()]
-            for held, some in ((train, [t for t, o in zip(texts, out) if not o]), (other, [t for t, o in zip(texts, out) if o])):
-                if some:
-                    held.append(np.sort(grams(some)[0]))
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        if train:
-            keys, counts = np.unique(np.concatenate(train), return_counts=True)
-        if other:
-            new = np.setdiff1d(np.unique(np.concatenate(other)), keys, assume_unique=True)
-            keys, counts = np.concatenate([keys, new]), np.concatenate([counts, np.zeros(len(new), np.int64)])
-        return pa.Table.from_arrays([pa.array(np.full(len(keys), key[0].as_py(), np.int32)), pa.array(keys), pa.array(counts.astype(np.int64))], schema=schema)
+            for counted in (True, False):
+                if some := [t for t, o in zip(texts, out) if o != counted]:
+                    found, n = np.unique(grams(some)[0], return_counts=True)
+                    keys.append(found)
+                    counts.append(n if counted else np.zeros(len(n), np.int64))
+        order = np.argsort(all_keys := np.concatenate(keys), kind="stable")
+        all_keys, all_counts = all_keys[order], np.concatenate(counts)[order]
+        first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))
+        sums = np.add.reduceat(all_counts, first).astype(np.int64)
+        return pa.Table.from_arrays([pa.array(np.full(len(first), key[0].as_py(), np.int32)), pa.array(all_keys[first]), pa.array(sums)], schema=schema)
 
     return dealt.groupBy("block").applyInArrow(ask, "block int, gram long, n long")
 
@@ -127,8 +127,9 @@ def ask_words(dealt: DataFrame, folds: int, fold: int) -> DataFrame:
         for batch in unpack(group["chunk"]):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), _lower(batch)):
                 (seen if held_out(doc_id, folds, fold) else counts).update(text.split())
-        rows = list(counts.items()) + [(w, 0) for w in seen if w not in counts]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], schema=schema)
+        for w in seen:
+            counts.setdefault(w, 0)
+        return pa.Table.from_arrays([pa.array(np.full(len(counts), key[0].as_py(), np.int32)), pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=schema)
 
     return dealt.groupBy("block").applyInArrow(ask, "block int, word binary, n long")
 
@@ -209,12 +210,16 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     def answer(key, group, told):
         import pyarrow.compute as pc
 
-        of_gram = told.filter(pc.is_valid(told["gram"]))
+        is_gram = pc.is_valid(told["gram"])
+        of_gram = told.select(["gram", "cost"]).filter(is_gram)
         table = GramTable(of_gram["gram"].to_numpy(), of_gram["cost"].to_numpy())
-        of_word = told.filter(pc.is_valid(told["word"]))
-        count = dict(zip(of_word["word"].to_pylist(), of_word["cost"].to_numpy().tolist()))
+        of_word = told.select(["word", "cost"]).filter(pc.invert(is_gram))
+        # few distinct counts: words share their logarithms
+        some, which = np.unique(of_word["cost"].to_numpy(), return_inverse=True)
+        shared = np.log10(some + 1).tolist()
+        logs = dict(zip(of_word["word"].to_pylist(), map(shared.__getitem__, which.tolist())))
+        del told, of_gram, of_word, is_gram, some, which
         least = -math.log10(total + vocabulary + 1)
-        logs = {w: math.log10(c + 1) for w, c in count.items()}
         end_log = math.log10(train + 1)
         rows = []
         for batch in unpack(group["chunk"]):
