@@ -6,6 +6,7 @@ executors share, so that a lost executor never takes the only copy with it.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import tempfile
 import uuid
@@ -19,7 +20,11 @@ from pyspark.sql import functions as F
 #: Text of one block of documents, in bytes; a block is worked on by one task.
 BLOCK_BYTES = 24 << 20
 #: Text of one compressed chunk inside a block.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 4 << 20
+#: Text of a batch, for which a task holds numbers for each character.
+BATCH_BYTES = 1 << 20
+#: Blocks are shuffled, so they are compressed well.
+ZSTD_LEVEL = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +79,15 @@ def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
         yield batch.slice(at)
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system, for workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block int, chunk binary): the documents as compressed Arrow chunks, dealt into blocks of
     about ``block_bytes`` of text, whose number follows the text's total size. A chunk's block comes from a hash of its
@@ -85,20 +99,25 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     n = max(1, -(-total // block_bytes))
 
     def pack(batches):
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))
         for batch in batches:
             out = []
             for part in slices(batch, "text", CHUNK_BYTES):
                 sink = io.BytesIO()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                with pa.ipc.new_stream(sink, part.schema, options=options) as w:
                     w.write_batch(part)
                 out.append(sink.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["chunk"])
+            del out, batch
+            release()
 
     chunks = docs.mapInArrow(pack, "chunk binary")
     return chunks.select(F.pmod(F.xxhash64("chunk"), F.lit(n)).cast("int").alias("block"), "chunk")
 
 
 def unpack(chunks: pa.Table | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-    """The documents of a block's chunks."""
+    """The documents of a block's chunks, in batches of about ``BATCH_BYTES`` of text."""
+    release()
     for chunk in chunks:
-        yield from pa.ipc.open_stream(pa.py_buffer(chunk.as_py()))
+        for batch in pa.ipc.open_stream(pa.py_buffer(chunk.as_py())):
+            yield from slices(batch, "text", BATCH_BYTES)
