@@ -118,22 +118,24 @@ def earn_per_hour(fare: str = "avg_fare", minutes: str = "avg_duration_min") ->
     return F.when(F.col(minutes) > 0, rounded(F.col(fare) / (F.col(minutes) / 60), 2))
 
 
-def trip_events(df: DataFrame, dataset: str, year_month: str) -> DataFrame:
-    """(key, value): each trip as JSON, keyed by pickup zone, nulls kept; ids count trips by dropoff within their file month.
+def trip_events(df: DataFrame, dataset: str, year_month: str | None = None) -> DataFrame:
+    """(key, value): each trip as JSON, keyed by pickup zone, nulls kept; ids count trips by dropoff within their file month,
+    which is ``year_month`` for all or, without it, told by file_year and file_month.
 
     Numbering is spread over dropoff ranges: positions within a range, plus the sizes of the ranges before.
     """
     from pyspark.sql import Window
 
     order = ["dropoff_ts", "pickup_ts", "PULocationID", "DOLocationID", "total_amount"]
-    dealt = df.withColumn("range", F.to_date("dropoff_ts"))
-    sizes = dealt.groupBy("range").count()
-    before = sizes.select("range", (F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
-    numbered = dealt.withColumn("within", within).join(before, "range").withColumn("number", F.col("before") + F.col("within") - 1)
+    month = F.lit(year_month) if year_month else F.format_string("%04d%02d", "file_year", "file_month")
+    dealt = df.withColumns({"of_file": month, "range": F.to_date("dropoff_ts")})
+    sizes = dealt.groupBy("of_file", "range").count()
+    before = sizes.select("of_file", "range", (F.coalesce(F.sum("count").over(Window.partitionBy("of_file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    within = F.row_number().over(Window.partitionBy("of_file", "range").orderBy(*order))
+    numbered = dealt.withColumn("within", within).join(before, ["of_file", "range"]).withColumn("number", F.col("before") + F.col("within") - 1)
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     event = F.struct(
-        F.concat_ws("-", F.lit(dataset), F.lit(year_month), F.col("number").cast("string")).alias("trip_id"), F.lit(dataset).alias("dataset"), F.date_format("pickup_ts", iso).alias("pickup_ts"), F.date_format("dropoff_ts", iso).alias("dropoff_ts"),
+        F.concat_ws("-", F.lit(dataset), F.col("of_file"), F.col("number").cast("string")).alias("trip_id"), F.lit(dataset).alias("dataset"), F.date_format("pickup_ts", iso).alias("pickup_ts"), F.date_format("dropoff_ts", iso).alias("dropoff_ts"),
         *(F.col(c).cast("int").alias(c) for c in ("PULocationID", "DOLocationID")),
         *(F.col(c).cast("double").alias(c) for c in ("trip_distance", "passenger_count", "fare_amount", "tip_amount", "total_amount")), F.col("payment_type").cast("int").alias("payment_type"),
     )

@@ -324,17 +324,21 @@ on_gold("month_summary", "daily", served(serving.daily_rows, lambda t: serving.m
 
 
 # Sources and sinks: each writes what it reads to the shared folder
-def _bronze(s: SparkSession, d: str) -> DataFrame:
-    """Two months of raw trips as files of their months; a third month is asked for and missing."""
+def _bronze(s: SparkSession, d: str, months: list[tuple[int, int]] | None = None) -> DataFrame:
+    """All raw trips as files of their months; those of ``months`` are read, or all. One more month is asked for and missing."""
     root = scratch(s, "bronze")
-    raw = fixtures.raw_trips(s, d)
-    for y, m in ((1995, 3), (1995, 4)):
-        raw.where((F.col("file_year") == y) & (F.col("file_month") == m)).drop("file_year", "file_month").write.parquet(f"{root}/yellow_tripdata_{y}-{m:02d}.parquet")
-    return trips.scan_bronze(s, root, "yellow", [(1995, 3), (1995, 4), (2050, 1)])
+    there = trips.write_bronze(fixtures.raw_trips(s, d), root, "yellow")
+    return trips.scan_bronze(s, root, "yellow", [*(months or there), (2050, 1)])
+
+
+def _month_sums(bronze: DataFrame) -> DataFrame:
+    return bronze.groupBy("file_year", "file_month").agg(F.count("*").alias("n"), F.sum("trip_distance").alias("miles"))
 
 
 TWO_MONTHS = "file_year = 1995 AND file_month IN (3, 4)"
-add("scan_bronze", lambda s, d: _bronze(s, d).groupBy("file_year", "file_month").agg(F.count("*").alias("n"), F.sum("trip_distance").alias("miles")), f"WITH {FIXTURE} SELECT file_year, file_month, count(*) AS n, sum(trip_distance) AS miles FROM raw WHERE {TWO_MONTHS} GROUP BY file_year, file_month")
+add("scan_bronze", lambda s, d: _month_sums(_bronze(s, d, [(1995, 3), (1995, 4)])), f"WITH {FIXTURE} SELECT file_year, file_month, count(*) AS n, sum(trip_distance) AS miles FROM raw WHERE {TWO_MONTHS} GROUP BY file_year, file_month")
+# the SQL above asks for two months; queries named all_months ask for all
+add("scan_bronze_all_months", lambda s, d: _month_sums(_bronze(s, d)), f"WITH {FIXTURE} SELECT file_year, file_month, count(*) AS n, sum(trip_distance) AS miles FROM raw GROUP BY file_year, file_month")
 add("bronze_manifest", lambda s, d: trips.bronze_manifest(_bronze(s, d)))
 add("gold_freshness", lambda s, d: trips.layer_freshness(_bronze(s, d)))
 
@@ -428,27 +432,33 @@ add("bench_partitioning_flat", round_trip("flat", trips.write_flat_copy, lambda
 
 
 # Streams: the file source in place of the topic
-def _events(s: SparkSession, d: str) -> DataFrame:
-    clean_months = fixtures.raw_trips(s, d).where(F.year("pickup_ts") < 2098)
-    return D.trip_events(clean_months.where("file_year = 1995 and file_month in (3, 4)"), "yellow", "1995")
+#: What the SQL of the queries without all_months in their names takes.
+SOME_EVENTS = f"{TWO_MONTHS} AND year(pickup_ts) < 2098"
+
+
+def _events(s: SparkSession, d: str, which: str = "true") -> DataFrame:
+    return D.trip_events(fixtures.raw_trips(s, d).where(which), "yellow")
+
 
+def _parsed(s: SparkSession, d: str, which: str = "true") -> DataFrame:
+    return streams.parse_events(_events(s, d, which).select(F.col("value").cast("binary").alias("value")))
 
-def _stream(s: SparkSession, d: str, window: str, late: str) -> tuple[DataFrame, str]:
+
+def _stream(s: SparkSession, d: str, window: str, late: str, which: str = "true") -> tuple[DataFrame, str]:
     path = scratch(s, "events")
-    streams.replay_stream(_events(s, d), path, 3)
+    streams.replay_stream(_events(s, d, which), path)
     events = streams.parse_events(streams.read_event_files(s, path))
-    # a trip's month is that of its file, not known to the stream; here all are of one year
     return streams.zone_metrics(streams.clean_stream(events), fixtures.zones(s, d), window, late), scratch(s, "windows")
 
 
-def _append(s: SparkSession, d: str) -> DataFrame:
-    metrics, path = _stream(s, d, "1 day", "3 hours")
+def _append(s: SparkSession, d: str, which: str = "true") -> DataFrame:
+    metrics, path = _stream(s, d, "1 day", "3 hours", which)
     streams.sink_windows_parquet(metrics, path, f"{path}-checkpoint").awaitTermination()
     return s.read.schema(streams.METRICS).parquet(path)
 
 
-def _update(s: SparkSession, d: str) -> DataFrame:
-    metrics, path = _stream(s, d, "1 day", "3 hours")
+def _update(s: SparkSession, d: str, which: str = "true") -> DataFrame:
+    metrics, path = _stream(s, d, "1 day", "3 hours", which)
     streams.sink_windows_tables(metrics, path, f"{path}-checkpoint").awaitTermination()
     rows = s.read.parquet(path)
     value = F.from_json("value", streams.METRICS).alias("v")
@@ -461,22 +471,27 @@ m AS (SELECT date_trunc('day', pickup_ts) AS window_start, date_trunc('day', pic
  {r('sum(total_amount)', 2)} AS total_revenue, {r('avg(CASE WHEN is_card THEN tip_pct END)', 2)} AS avg_card_tip_pct FROM e LEFT JOIN zones ON PULocationID = loc_id GROUP BY date_trunc('day', pickup_ts), PULocationID, borough, zone)"""
 
 
-def _batch_metrics(s: SparkSession, d: str) -> DataFrame:
-    events = streams.parse_events(_events(s, d).select(F.col("value").cast("binary").alias("value")))
-    return streams.zone_metrics(streams.clean_stream(events), fixtures.zones(s, d), "1 day", None)
+def _batch_metrics(s: SparkSession, d: str, which: str = "true") -> DataFrame:
+    return streams.zone_metrics(streams.clean_stream(_parsed(s, d, which)), fixtures.zones(s, d), "1 day", None)
+
+
+def on_events(name: str, f: Callable[[SparkSession, str, str], DataFrame], sql: str) -> None:
+    """The months that the SQL takes and, as another query, all rows; strays are left to the cleaning."""
+    add(name, lambda s, d: f(s, d, SOME_EVENTS), sql)
+    add(f"{name}_all_months", lambda s, d: f(s, d, "true"), sql.replace(SOME_EVENTS, "true"))
 
 
-add("parse_events", lambda s, d: streams.parse_events(_events(s, d).select(F.col("value").cast("binary").alias("value"))).drop("trip_id", "dataset"), f"WITH {FIXTURE} SELECT pickup_ts, dropoff_ts, PULocationID, DOLocationID, trip_distance, passenger_count, fare_amount, tip_amount, total_amount, payment_type FROM raw WHERE {TWO_MONTHS} AND year(pickup_ts) < 2098")
-add("clean_stream", lambda s, d: streams.clean_stream(streams.parse_events(_events(s, d).select(F.col("value").cast("binary").alias("value")))).select("pickup_ts", "dropoff_ts", "PULocationID", "speed_mph"), f"WITH {STREAMED} SELECT pickup_ts, dropoff_ts, PULocationID, speed_mph FROM e")
-add("zone_metrics", _batch_metrics, f"WITH {STREAMED} SELECT * FROM m")
+on_events("parse_events", lambda s, d, w: _parsed(s, d, w).drop("trip_id", "dataset"), f"WITH {FIXTURE} SELECT pickup_ts, dropoff_ts, PULocationID, DOLocationID, trip_distance, passenger_count, fare_amount, tip_amount, total_amount, payment_type FROM raw WHERE {TWO_MONTHS} AND year(pickup_ts) < 2098")
+on_events("clean_stream", lambda s, d, w: streams.clean_stream(_parsed(s, d, w)).select("pickup_ts", "dropoff_ts", "PULocationID", "speed_mph"), f"WITH {STREAMED} SELECT pickup_ts, dropoff_ts, PULocationID, speed_mph FROM e")
+on_events("zone_metrics", _batch_metrics, f"WITH {STREAMED} SELECT * FROM m")
 add("stream_static_zones", lambda s, d: streams.stream_static_zones(fixtures.raw_trips(s, d), fixtures.zones(s, d)).groupBy("PULocationID", "pu_borough", "pu_zone").agg(F.count("*").alias("n")), f"WITH {FIXTURE} SELECT PULocationID, borough AS pu_borough, zone AS pu_zone, count(*) AS n FROM raw LEFT JOIN zones ON PULocationID = loc_id GROUP BY PULocationID, borough, zone")
 # windows that the watermark has passed: no watermark moves once the last input is read
-add("append_final_windows", _append, f"WITH {STREAMED} SELECT * FROM m WHERE window_end <= (SELECT max(pickup_ts) FROM e) - to_seconds(10800)")
-add("update_running_windows", _update, f"WITH {STREAMED} SELECT * FROM m")
-add("live_totals", lambda s, d: streams.live_totals(_batch_metrics(s, d)), f"WITH {STREAMED} SELECT count(DISTINCT window_start) AS windows, CAST(sum(trips) AS BIGINT) AS trips, max(window_end) AS newest FROM m")
-add("recent_windows", lambda s, d: streams.recent_windows(_batch_metrics(s, d), 20), f"WITH {STREAMED} SELECT window_start, CAST(sum(trips) AS BIGINT) AS trips, {r('sum(avg_fare*trips)/sum(trips)', 2)} AS avg_fare FROM m GROUP BY window_start ORDER BY window_start DESC LIMIT 20")
-add("latest_window", lambda s, d: rules.latest_window(_batch_metrics(s, d)), f"WITH {STREAMED} SELECT * FROM m WHERE window_start = (SELECT max(window_start) FROM m)")
-add("busiest_live_zones", lambda s, d: streams.busiest_live_zones(_batch_metrics(s, d)), f"WITH {STREAMED} SELECT PULocationID, pu_zone, trips, avg_fare FROM m WHERE window_start = (SELECT max(window_start) FROM m) ORDER BY trips DESC, PULocationID LIMIT 10")
+on_events("append_final_windows", _append, f"WITH {STREAMED} SELECT * FROM m WHERE window_end <= (SELECT max(pickup_ts) FROM e) - to_seconds(10800)")
+on_events("update_running_windows", _update, f"WITH {STREAMED} SELECT * FROM m")
+on_events("live_totals", lambda s, d, w: streams.live_totals(_batch_metrics(s, d, w)), f"WITH {STREAMED} SELECT count(DISTINCT window_start) AS windows, CAST(sum(trips) AS BIGINT) AS trips, max(window_end) AS newest FROM m")
+on_events("recent_windows", lambda s, d, w: streams.recent_windows(_batch_metrics(s, d, w), 20), f"WITH {STREAMED} SELECT window_start, CAST(sum(trips) AS BIGINT) AS trips, {r('sum(avg_fare*trips)/sum(trips)', 2)} AS avg_fare FROM m GROUP BY window_start ORDER BY window_start DESC LIMIT 20")
+on_events("latest_window", lambda s, d, w: rules.latest_window(_batch_metrics(s, d, w)), f"WITH {STREAMED} SELECT * FROM m WHERE window_start = (SELECT max(window_start) FROM m)")
+on_events("busiest_live_zones", lambda s, d, w: streams.busiest_live_zones(_batch_metrics(s, d, w)), f"WITH {STREAMED} SELECT PULocationID, pu_zone, trips, avg_fare FROM m WHERE window_start = (SELECT max(window_start) FROM m) ORDER BY trips DESC, PULocationID LIMIT 10")
 add("replay_order", lambda s, d: streams.replay_order(fixtures.raw_trips(s, d), 100, 500).select("trip_id", "PULocationID", "DOLocationID", "dropoff_ts"), f"WITH {FIXTURE} SELECT trip_id, PULocationID, DOLocationID, dropoff_ts FROM raw ORDER BY dropoff_ts, trip_id, PULocationID, DOLocationID, total_amount LIMIT 500 OFFSET 100")
 
 

@@ -19,6 +19,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def write_bronze(raw: DataFrame, root: str, dataset: str) -> list[tuple[int, int]]:
+    """Each file month of ``raw`` under the name that :func:`scan_bronze` reads, all in one write; gives the months."""
+    spark, staged = raw.sparkSession, f"{root}/_staged"
+    named = raw.withColumn("of_file", F.format_string("%04d-%02d", "file_year", "file_month")).drop("file_year", "file_month")
+    named.write.partitionBy("of_file").parquet(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    months = []
+    for found in fs.listStatus(path(staged)):
+        key, _, month = found.getPath().getName().partition("=")
+        if key == "of_file":
+            if not fs.rename(found.getPath(), path(f"{root}/{dataset}_tripdata_{month}.parquet")):
+                raise OSError(f"could not name the file of {month} in {root}")
+            months.append((int(month[:4]), int(month[5:])))
+    return sorted(months)
+
+
 def scan_bronze(spark: SparkSession, root: str, dataset: str, months: list[tuple[int, int]]) -> DataFrame | None:
     """All given months of a dataset in one scan, with file_year and file_month from the files' names; missing months are skipped."""
     paths = [f"{root}/{dataset}_tripdata_{y}-{m:02d}.parquet" for y, m in months]

@@ -11,6 +11,8 @@ from meterline.operators.rules import clean_trips
 from meterline.plans.contract import EVENT, schema_of
 
 EVENT_SCHEMA = schema_of(EVENT)
+#: Events of a replayed file, as many as a trigger takes of a topic.
+EVENTS = 50_000
 METRICS = "window_start timestamp, window_end timestamp, PULocationID int, pu_borough string, pu_zone string, trips long, avg_fare double, avg_duration_min double, avg_distance double, total_revenue double, avg_card_tip_pct double"
 
 
@@ -111,6 +113,17 @@ def replay_order(trips: DataFrame, skip: int = 0, limit: int = 0) -> DataFrame:
     return ordered.limit(limit) if limit else ordered
 
 
-def replay_stream(events: DataFrame, path: str, files: int = 4) -> None:
-    """Writes (key, value, dropoff_ts) events to files in dropoff order, for :func:`read_event_files`."""
+def replay_stream(events: DataFrame, path: str, files: int | None = None) -> None:
+    """Writes (key, value, dropoff_ts) events to files in dropoff order, for :func:`read_event_files`: ``files`` or,
+    without it, one for each ``EVENTS`` rows, three at least.
+    """
+    files = files or max(3, -(-events.count() // EVENTS))
     events.repartitionByRange(files, "dropoff_ts").sortWithinPartitions("dropoff_ts").select("key", F.col("value").cast("binary").alias("value")).write.mode("overwrite").parquet(path)
+    # the file source takes the oldest file first, and tasks end in any order
+    spark = events.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((x for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName())
+    newest = max((x.getModificationTime() for x in parts), default=0)
+    for k, part in enumerate(parts):
+        fs.setTimes(part.getPath(), newest + 1000 * (k + 1 - len(parts)), -1)
