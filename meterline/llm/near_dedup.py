@@ -8,7 +8,8 @@ apart untested. Every link is verified, first on signatures, then on full sets.
 come from alternating large-star and small-star.
 
 No step gathers a band or component into one task or emits all of its pairs: bands are
-joined on their smallest node, clusters of components are cut into blocks of ``MEMBERS`` nodes.
+joined on their smallest node, clusters of components are cut into blocks of about ``MEMBERS`` nodes
+that meet two by two, all of them or band by band.
 
 Defined results: a null, empty or wordless text has an empty set and is a component of its own; a text with
 fewer words than a shingle is one shingle; repeated rows of one ``doc_id`` each get a row and
@@ -29,7 +30,7 @@ from meterline.llm.shared import arrow_schema, documents, whole_texts, written
 
 #: Bands and rows of a band: at a similarity of 0.8, one pair in 10,000 shares no band.
 BANDS, ROWS = 50, 8
-#: Nodes of a component that one task compares with others.
+#: Nodes that meet in one task, on either side.
 MEMBERS = 1024
 #: Agreeing minima that a pair of similarity 0.8 reaches but for odds of about one in 10 million.
 MARGIN = 0.11
@@ -185,25 +186,49 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
 
 
-def untested(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components of ``labels`` whose nodes share a band; ``members`` has (band, node).
+def dealt(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of ``members`` (band, node) in bands with several components of ``labels``, in the groups in which they meet.
 
-    Components that share bands form a cluster. Every node of a cluster but those of its largest component is
-    compared with all the cluster's nodes, which are dealt into blocks; each block gives
-    one link for each other component found.
+    Components that share bands form a cluster. A cluster's nodes meet all together or band by band, whichever
+    moves fewer sets; ``band`` is 0 if together. Of a group, ``largest`` is the component with most nodes,
+    ``row_parts`` the number of blocks for all nodes and ``ask_parts`` that for the nodes of other components.
     """
     held = members.join(labels, "node")
     split = held.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "low")
     held = held.join(split, "band")
     met = components(held.select(F.col("component").alias("a"), F.col("low").alias("b")), "clusters").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    nodes = held.select("node", "component").distinct().join(met, "component", "left").withColumn("cluster", F.coalesce("cluster", "component"))
-    nodes = written(nodes, "clusters")
-    sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / MEMBERS)).cast("int")
-    nodes = nodes.join(sizes.select("cluster", parts.alias("parts"), F.col("most.component").alias("largest")), "cluster").join(sets, "node")
-    common = ("cluster", "component", "node", "sig", "shingles")
-    rows = nodes.select(*common, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    asks = nodes.where("component <> largest").select(*(F.col(c).alias(c) for c in common), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    held = written(held.join(met, "component", "left").select(F.coalesce("cluster", "component").alias("cluster"), "band", "component", "node"), "clusters")
+    together = held.select("cluster", F.lit(True).alias("whole"), F.lit(0).cast("long").alias("band"), "component", "node").distinct()
+    nodes = together.unionByName(held.withColumn("whole", F.lit(False)))
+    group = ["cluster", "whole", "band"]
+    sizes = nodes.groupBy(*group, "component").agg(F.count("*").alias("n")).groupBy(*group).agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
+    others = F.col("size") - F.col("most.n")
+
+    def parts(n):
+        return F.greatest(F.lit(1), F.ceil(n / MEMBERS)).cast("int")
+
+    sizes = sizes.select(*group, "size", others.alias("others"), parts(F.col("size")).alias("row_parts"), parts(others).alias("ask_parts"), F.col("most.component").alias("largest"))
+    copies = F.col("size") * F.col("ask_parts") + F.col("others") * F.col("row_parts")
+    cheaper = sizes.groupBy("cluster").agg((F.sum(F.when(F.col("whole"), copies)) <= F.sum(F.when(~F.col("whole"), copies))).alias("whole"))
+    return nodes.join(sizes.join(cheaper, ["cluster", "whole"]).drop("size", "others"), group).drop("whole")
+
+
+def sides(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who asks and who is asked, by cell (cluster, band, ask, row): each block of a group's nodes outside its
+    largest component meets each block of all its nodes. Blocks have about ``MEMBERS`` nodes.
+    """
+    own = [c for c in nodes.columns if c not in ("largest", "row_parts", "ask_parts")]
+    ask, row = (F.pmod(F.xxhash64("node"), F.col(f"{k}_parts")).cast("int").alias(k) for k in ("ask", "row"))
+    every_ask, every_row = (F.explode(F.sequence(F.lit(0), F.col(f"{k}_parts") - 1)).alias(k) for k in ("ask", "row"))
+    return nodes.where("component <> largest").select(*(F.col(c).alias(c) for c in own), ask, every_row), nodes.select(*own, row, every_ask)
+
+
+def untested(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of ``labels`` whose nodes share a band; ``members`` has (band, node).
+
+    Each node that asks gives one link for each other component found in a block.
+    """
+    asks, rows = sides(dealt(members, labels).join(sets, "node"))
     schema = arrow_schema("a long, b long")
 
     def compare(key, left, right):
@@ -220,7 +245,8 @@ def untested(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
                 b += nodes[hits].tolist()
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    return asks.groupBy("cluster", "part").cogroup(rows.groupBy("cluster", "part")).applyInArrow(compare, "a long, b long")
+    cell = ("cluster", "band", "ask", "row")
+    return asks.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
