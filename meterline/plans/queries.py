@@ -518,11 +518,11 @@ on_curated("naive_baseline", lambda c: duration.naive_baseline(rules.time_split(
 SQL["naive_baseline"] = f"WITH {SPLIT} SELECT {r(f'sqrt(avg({ERROR}*{ERROR}))', 4)} AS rmse, {r(f'avg(abs({ERROR}))', 4)} AS mae, count(*) AS test_rows FROM split WHERE part = 'test'"
 
 
-def _fitted(c: DataFrame, iterations: int = 3):
-    """Split feature rows and a small model of the train part."""
+def _fitted(c: DataFrame):
+    """Split feature rows and the model of the train part."""
     inputs = duration.feature_selection("yellow")
     split = rules.time_split(rules.feature_rows(c, [*inputs, duration.LABEL])).persist()
-    return inputs, split, duration.duration_pipeline(inputs, iterations, 4).fit(split.where("part = 'train'"))
+    return inputs, split, duration.duration_pipeline(inputs).fit(split.where("part = 'train'"))
 
 
 def _evaluated(c: DataFrame) -> DataFrame:
