@@ -47,32 +47,88 @@ _DROPPED_WORDS = {
     "share", "sharing", "social", "related", "recommended", "recommendations", "recirculation", "outbrain", "taboola", "subscribe", "subscription", "newsletter", "signup", "login", "signin", "search", "form", "paywall", "skip", "hidden",
 }
 _KEPT = {"html", "body", "article", "main"}
+#: Headings and paragraphs are named after what they tell of.
+_NAMED_FREELY = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
+#: A section of an article may have one of these as its anchor.
+_TOPICS = {"discussion", "responses", "search", "tabs", "form", "promotion", "consent", "copyright", "disclaimer", "notification"}
+#: Names that begin so tell what a layout holds or lacks, not what it is.
+_LAYOUT = re.compile(r"(?:has|with|without|no|not)[-_]", re.I)
+#: Words of parts that stay out even if they are most of a page, unless the article is inside.
+_OTHERS = {w for w in _DROPPED_WORDS if w.startswith(("ad", "comment", "cookie", "consent", "disqus", "gdpr", "repl", "respon", "sponsor"))}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: What an element's own tag and names say: it stays; it goes unless it holds most of the page; the same, but only around an article; it goes.
+KEEP, WEAK, FOREIGN, OUT = range(4)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "link_chars", "links", "end")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "link_chars", "links", "end", "out")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
+        self.out = KEEP
         self.points = 0.0
         self.chars = self.link_chars = self.links = 0
 
 
-def _drops(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in _DROPPED or tag == "header" and not in_article:
-        return True
+def _drops(tag: str, attributes: str, in_article: bool) -> int:
+    if tag in _DROPPED and tag != "form" or tag == "header" and not in_article:
+        return OUT
+    out = WEAK if tag == "form" else KEEP
     if not attributes or tag in _KEPT:
-        return False
+        return out
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(w.lower() in _DROPPED_WORDS for w in _WORD.findall(value)):
-                return True
+            if tag in _NAMED_FREELY:
+                continue
+            words = {w.lower() for x in value.split() if not _LAYOUT.match(x) for w in _WORD.findall(x)} & _DROPPED_WORDS
+            if name == "id" and tag == "section" and in_article:
+                words -= _TOPICS
+            if words:
+                out = max(out, FOREIGN if words & _OTHERS else WEAK)
         elif name == "role" and value.lower() in _DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return OUT
+    return out
+
+
+def _settle(root: Node) -> None:
+    """Decides which elements are dropped. Text outside links counts for the nearest doubtful element around it; one with
+    more than half of the page's text stays, and so do those around it.
+    """
+    held: dict[int, list] = {}
+    total = 0
+    stack: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    while stack:
+        node, doubtful, in_link = stack.pop()
+        if node.out == OUT:
+            continue
+        if node.out:
+            doubtful = node
+            held[id(node)] = [node, 0, False]
+        in_link = in_link or node.tag == "a"
+        if doubtful is not None and node.tag in ("article", "main", "h1"):
+            held[id(doubtful)][2] = True
+        for child in node.children:
+            if isinstance(child, Node):
+                stack.append((child, doubtful, in_link))
+            elif not in_link:
+                n = len(" ".join(child.split()))
+                total += n
+                if doubtful is not None:
+                    held[id(doubtful)][1] += n
+    for node, n, article in held.values():
+        if 2 * n > total and (node.out == WEAK or article):
+            at: Node | None = node
+            while at is not None:
+                at.out = KEEP
+                at = at.parent
+    nodes = [root]
+    for node in nodes:
+        node.dropped = node.out != KEEP or node.parent is not None and node.parent.dropped
+        nodes += [x for x in node.children if isinstance(x, Node)]
 
 
 def parse(page: str) -> Node:
@@ -133,12 +189,14 @@ def parse(page: str) -> Node:
                         break
         if tag in ("html", "body"):
             continue
-        child = Node(tag, at, at.dropped or _drops(tag, m[3], articles > 0))
+        child = Node(tag, at, False)
+        child.out = _drops(tag, m[3], articles > 0)
         at.children.append(child)
         if not m[3].endswith("/") or tag in _BLOCK:
             at = child
             open_tags.append(tag)
             articles += tag in ("article", "main")
+    _settle(root)
     return root
 
 
