@@ -27,7 +27,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dedup.near_duplicates(docs).where("kept"))
+    """One row of each component: that of the smallest doc_id, of those the one with the smallest text hash, and one of
+    equal rows. A null doc_id comes after all others. Rows without words are components of their own and all stay.
+    """
+    rows = written(near_dedup.grouped(docs), "grouped")
+    counts = rows.where("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = counts.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash", "n")).alias("first")).select("first.*")
+    single = first.where("n = 1").select("doc_id", "text_hash").unionByName(rows.where("component is null").select("doc_id", "text_hash").distinct())
+    return _only(docs, single).unionByName(_only(docs, first.where("n > 1")).dropDuplicates(["doc_id", "text"]))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

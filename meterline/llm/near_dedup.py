@@ -249,8 +249,8 @@ def untested(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     return asks.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept, for every row of ``docs``; documents with
+def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component (null for an empty set) and component_id, for every row of ``docs``; documents with
     100 * intersection >= percent * union of their shingle sets are linked.
     """
     docs = whole_texts(docs).withColumn("text_hash", F.xxhash64("text"))
@@ -275,10 +275,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # components are named by the smallest doc_id of their classes
     of_class = classes.join(found, "node", "left").select("digest", "smallest", F.coalesce("component", "node").alias("component"))
     names = of_class.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    named = of_class.join(names, "component").select("digest", "component_id")
+    named = of_class.join(names, "component").select("digest", "component", "component_id")
     rows = prints.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
     rows = rows.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return rows.select("doc_id", "text_hash", "n_shingles", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept, for every row of ``docs``."""
+    return grouped(docs, width, percent).select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
