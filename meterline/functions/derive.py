@@ -132,7 +132,9 @@ def trip_events(df: DataFrame, dataset: str, year_month: str | None = None) -> D
     sizes = dealt.groupBy("of_file", "range").count()
     before = sizes.select("of_file", "range", (F.coalesce(F.sum("count").over(Window.partitionBy("of_file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
     within = F.row_number().over(Window.partitionBy("of_file", "range").orderBy(*order))
-    numbered = dealt.withColumn("within", within).join(before, ["of_file", "range"]).withColumn("number", F.col("before") + F.col("within") - 1)
+    before = before.withColumnsRenamed({"of_file": "b_file", "range": "b_range"})
+    # a trip without a dropoff is numbered first
+    numbered = dealt.withColumn("within", within).join(before, F.col("of_file").eqNullSafe(F.col("b_file")) & F.col("range").eqNullSafe(F.col("b_range"))).withColumn("number", F.col("before") + F.col("within") - 1)
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     event = F.struct(
         F.concat_ws("-", F.lit(dataset), F.col("of_file"), F.col("number").cast("string")).alias("trip_id"), F.lit(dataset).alias("dataset"), F.date_format("pickup_ts", iso).alias("pickup_ts"), F.date_format("dropoff_ts", iso).alias("dropoff_ts"),
