@@ -30,6 +30,8 @@ MARKERS = {"system": ("System", "Instructions", "SYSTEM"), "user": ("User", "Hum
 TURN, SPAN = 1 << 20, 1 << 29
 #: Lines that one task works on, about.
 TASK_LINES = 50_000
+#: Spans that one task chains, about.
+CHAIN_SPANS = 20_000
 FEATURES = {"marker": 4, "size": 6, "last": 4, "gap": 2, "first": 2}
 
 
@@ -54,6 +56,11 @@ def _dealt(lines: DataFrame) -> DataFrame:
     return lines.withColumn("span", F.floor(F.col("line") / SPAN)).withColumn("task", F.pmod(F.xxhash64("conv_id", "span"), F.lit(n)))
 
 
+def _chains(dealt: DataFrame) -> int:
+    """Groups in which conversations are chained from their spans: 64, or more if a group would get over ``CHAIN_SPANS``."""
+    return max(64, -(-dealt.select("conv_id", "span").distinct().count() // CHAIN_SPANS))
+
+
 def _spans(group: pa.Table):
     """Each span of a group: its key, its rows in order, and its features as an array."""
     df = group.to_pandas().sort_values(["conv_id", "span", "line", "text"], kind="stable").reset_index(drop=True)
@@ -187,7 +194,7 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
         return pa.Table.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(named_schema)], schema=named_schema)
 
     dealt = dealt.withColumn("conv_id", F.col("conv_id").cast("long"))
-    keys = F.pmod(F.xxhash64("conv_id"), F.lit(64))
+    keys = F.pmod(F.xxhash64("conv_id"), F.lit(_chains(dealt)))
     edges = dealt.groupBy("task").applyInArrow(moves, moves_ddl).withColumn("key", keys).groupBy("key").applyInArrow(chain, edges_ddl)
     tasks = dealt.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), F.col("task").alias("at")).distinct()
     edges = edges.join(tasks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span") == F.col("s"))).select(F.col("at").alias("task"), "conv_id", "span", "before", "end")
