@@ -1,16 +1,19 @@
 """Byte-level BPE by ranks, encoding and decoding.
 
-Texts are cut into words by the tokenizer's pattern. Each block of documents asks once for
-each of its distinct words; the distinct words of all blocks are encoded by Spark's
+Texts are cut into words by the tokenizer's pattern, and stored in blocks as numbers of the block's distinct words.
+The distinct words of all blocks are encoded by Spark's
 higher-order functions, which fold merges over a word's bytes, lowest rank first and
 leftmost among equals, looking ranks up in a literal map; the answers meet the block's
-documents in a cogroup. Bytes are written as the characters U+0000 to U+00FF inside Spark,
-so that a piece is a string and joining pieces is ``concat``.
+numbers in a cogroup. Bytes are written as the characters U+0000 to U+00FF inside Spark,
+so that a piece is a string and joining pieces is ``concat``. Words of more than ``LONG_WORD`` bytes, which are rare, are merged with the help
+of a heap in Arrow tasks.
+
+A block is named by a hash of its content, and a block without all of its answers is an error: if a retried task ever dealt
+documents otherwise (tables in files never do), no text would get the ids of another.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are
 encoded each; an empty table gives an empty one; columns other than ``doc_id`` and ``text``
-are ignored. A single word of very many bytes is right but takes time with the square of
-its length.
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,23 +21,29 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.shared import arrow_schema, blocks, documents, unpack, whole_texts
-from meterline.llm.tokens import STOPS, space_meets_white
+from meterline.llm.shared import ZSTD_LEVEL, arrow_schema, documents, release, slices, whole_texts
+from meterline.llm.tokens import STOPS, cut_at_spaces, gathered, space_meets_white
 
 #: Buckets of the literal rank map, so that a lookup compares a few keys.
 BUCKETS = 8192
 NO_RANK = 2**31 - 1
-#: Text of a block, and units of it whose ids a task keeps at hand.
-BLOCK_BYTES = 16 << 20
-HELD_UNITS = 200_000
+#: Text of a block, and of a batch that is cut at once.
+BLOCK_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
+#: Bytes of a word above which the fold, whose time grows with the square of them, gives way to a heap.
+LONG_WORD = 128
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 #: Unicode's White_Space property, as the tiktoken library reads \s.
@@ -71,7 +80,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def encode_word(word: Column, ranks: Column) -> Column:
-    """The ids of one word of byte characters, as little-endian 32-bit integers."""
+    """The ids of one word of byte characters."""
     none = F.array().cast("array<int>")
 
     def rank(piece: Column) -> Column:
@@ -105,8 +114,29 @@ def encode_word(word: Column, ranks: Column) -> Column:
     folded = F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.split(word, "").alias("parts"), pairs.alias("found")), merge, lambda held: held["parts"])
     # a word that is a piece itself needs no merges
     parts = F.when(rank(word) < NO_RANK, F.array(word)).otherwise(folded)
-    big = F.transform(parts, lambda piece: F.lpad(F.hex(rank(piece)), 8, "0"))
-    return F.unhex(F.array_join(F.transform(big, lambda x: F.concat(*(F.substring(x, i, 2) for i in (7, 5, 3, 1)))), ""))
+    return F.transform(parts, rank)
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a long word by the same merges; a heap holds the pairs, so that time grows with n log n."""
+    n = len(word)
+    ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapify(heap)
+    alive = bytearray(b"\x01" * n)
+    while heap:
+        _, i, end = heappop(heap)
+        j = after[i]
+        if not alive[i] or j >= n or ends[j] != end:
+            continue  # one of the two was joined with another
+        alive[j] = 0
+        ends[i], after[i] = end, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < n and (r := ranks.get(word[left : ends[right]])) is not None:
+                heappush(heap, (r, left, ends[right]))
+    return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
 class Words:
@@ -115,10 +145,6 @@ class Words:
     def __init__(self, pattern: str):
         self._find = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
 
-    def units(self, text: str) -> list[str] | None:
-        """Units that can be cut on their own, or None where a space meets other white space."""
-        return None if space_meets_white(text) else text.split(" ")
-
     def of(self, text: str) -> list[str]:
         return [w if w.isascii() else w.encode().decode("latin-1") for w in self._find(text)]
 
@@ -131,53 +157,102 @@ class Words:
         return self.of(lead + unit)
 
 
+def numbered(docs: DataFrame, pattern: str) -> DataFrame:
+    """Blocks of whole texts as numbers of their words: ``block``, a hash of the content; ``counts``, each text's number of
+    words, and ``numbers``, all their words, as compressed 32-bit integers; and ``words``, the block's distinct words in the order of their numbers.
+    """
+    ddl = "doc_ids array<long>, counts binary, numbers binary, words array<string>"
+    schema = arrow_schema(ddl)
+
+    def number(batches):
+        cut, press = Words(pattern), zstandard.ZstdCompressor(level=ZSTD_LEVEL)
+        known: dict[str, int] = {}
+        doc_ids, counts, numbers, size = [], [], [], 0
+
+        def pack(x: list) -> bytes:
+            # bytes of like weight go together
+            return press.compress(np.concatenate(x).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+        def block() -> pa.RecordBatch:
+            row = [pa.concat_arrays(doc_ids), pack(counts), pack(numbers), list(known)]
+            out = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(row[0])], pa.int32()), row[0]).cast(schema.field(0).type), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary()), pa.array([row[3]], schema.field(3).type)], schema=schema)
+            known.clear(), doc_ids.clear(), counts.clear(), numbers.clear()
+            return out
+
+        for batch in batches:
+            for some in slices(batch, "text", BATCH_BYTES):
+                texts = some.column("text")
+                held = pc.sum(pc.binary_length(texts)).as_py() or 0
+                if doc_ids and size + held > BLOCK_BYTES:
+                    yield block()
+                    size = 0
+                size += held
+                units = cut_at_spaces(texts, space_meets_white(texts))
+                places, starts = array("i"), [0]
+                for lead, group in ((" ", units.rest.to_pylist()), ("", units.first.to_pylist()), (None, units.whole)):
+                    for unit in group:
+                        for w in cut.of(unit) if lead is None else cut.of_unit(unit, lead):
+                            places.append(known.setdefault(w, len(known)))
+                        starts.append(len(places))
+                begins = np.array(starts, np.int64)
+                found, n = gathered(units.numbers, begins[:-1], np.diff(begins), np.frombuffer(places, np.int32) if places else np.empty(0, np.int32))
+                doc_ids.append(some.column("doc_id"))
+                counts.append(np.add.reduceat(n, units.begins[:-1]))
+                numbers.append(found)
+        if doc_ids:
+            yield block()
+        release()
+
+    made = docs.mapInArrow(number, ddl)
+    return made.select(F.xxhash64("doc_ids", "counts", "numbers", "words").alias("block"), "*")
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian 32-bit) of every document."""
-    dealt = blocks(whole_texts(docs), BLOCK_BYTES)
-    asked, answered = arrow_schema("block int, word string"), arrow_schema(ENCODED)
-
-    def ask(key, group):
-        cut, words = Words(pattern), set()
-        for batch in unpack(group["chunk"]):
-            first, rest = set(), set()
-            for text in batch.column("text").to_pylist():
-                units = cut.units(text)
-                if units is None:
-                    words.update(cut.of(text))
-                else:
-                    first.add(units[0])
-                    rest.update(units[1:])
-            for unit in first:
-                words.update(cut.of_unit(unit, ""))
-            for unit in rest:
-                words.update(cut.of_unit(unit, " "))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(words), pa.int32()), pa.array(sorted(words), pa.string())], schema=asked)
-
-    def answer(key, group, words):
-        cut, known = Words(pattern), dict(zip(words["word"].to_pylist(), words["ids"].to_pylist()))
-
-        class Held(dict):
-            def __missing__(self, unit):
-                if len(self) > HELD_UNITS:
-                    self.clear()
-                out = self[unit] = b"".join([known[w] for w in cut.of_unit(unit, self.lead)])
-                return out
-
-        first, rest = Held(), Held()
-        first.lead, rest.lead = "", " "
-        doc_ids, ids = [], []
-        for batch in unpack(group["chunk"]):
-            doc_ids += batch.column("doc_id").to_pylist()
-            for text in batch.column("text").to_pylist():
-                units = cut.units(text)
-                ids.append(b"".join([known[w] for w in cut.of(text)]) if units is None else first[units[0]] + b"".join(map(rest.__getitem__, units[1:])))
-        return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=answered)
-
-    # each distinct word with the blocks that ask for it: one shuffle of the words, and no join
-    wanted = dealt.groupBy("block").applyInArrow(ask, "block int, word string").repartition("word")
-    distinct = wanted.groupBy("word").agg(F.collect_list("block").alias("blocks"))
-    answers = distinct.select("word", "blocks", encode_word(F.col("word"), rank_map(path)).alias("ids")).select(F.explode("blocks").alias("block"), "word", "ids")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, ENCODED)
+    dealt = numbered(whole_texts(docs), pattern).repartition("block")
+    answered = arrow_schema(ENCODED)
+
+    def answer(key, group, told):
+        at = told["place"].to_numpy()
+        ids = told["ids"].combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        known = int(at.max(initial=-1)) + 1
+        starts, sizes = np.zeros(known, np.int64), np.full(known, -1, np.int64)
+        offsets = ids.offsets.to_numpy()
+        starts[at], sizes[at] = offsets[:-1], np.diff(offsets)
+        pool = ids.values.to_numpy().astype("<u4", copy=False)
+        rows = []
+        for doc_ids, counts, numbers in zip(*(group[c] for c in ("doc_ids", "counts", "numbers"))):
+            counts, numbers = (np.ascontiguousarray(np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64) for x in (counts, numbers))
+            if len(numbers) and (numbers.max() >= known or sizes[numbers].min() < 0):
+                raise KeyError("a word of the block was not asked for")
+            # some documents at a time
+            ends = np.cumsum(counts)
+            for first in range(0, len(counts), 4096):
+                n = counts[first : first + 4096]
+                begin = int(ends[first] - counts[first])
+                values, each = gathered(numbers[begin : begin + int(n.sum())], starts, sizes, pool)
+                # a text without words has no ids
+                tokens = np.diff(np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])])
+                bounds = 4 * np.concatenate([[0], np.cumsum(tokens)])
+                binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+                rows.append(pa.RecordBatch.from_arrays([doc_ids.values.slice(first, len(n)), pa.array(tokens), binary], schema=answered))
+        return pa.Table.from_batches(rows, schema=answered)
+
+    def by_heap(batches):
+        ranks = read_ranks(path)
+        for batch in batches:
+            words = batch.column(0)
+            yield pa.RecordBatch.from_arrays([words, pa.array([merge_long(w.encode("latin-1"), ranks) for w in words.to_pylist()], pa.list_(pa.int32()))], schema=long_schema)
+
+    # each distinct word of a block; a frequent word is one row of each block that has it, so no key is hot
+    wanted = dealt.select("block", F.posexplode("words").alias("place", "word")).repartition("word")
+    distinct = wanted.select("word").distinct()
+    long_schema = arrow_schema("word string, ids array<int>")
+    long_words = distinct.where(F.length("word") > LONG_WORD).mapInArrow(by_heap, "word string, ids array<int>")
+    ids = distinct.where(F.length("word") <= LONG_WORD).select("word", encode_word(F.col("word"), rank_map(path)).alias("ids")).unionByName(long_words)
+    answers = wanted.join(ids.hint("shuffle_hash"), "word").select(F.col("block").alias("asked_by"), "place", "ids")
+    return dealt.groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(answer, ENCODED)
 
 
 def decode(tokens: DataFrame, path: str, keep: str = "doc_id long, n_tokens long, ids binary") -> DataFrame:

@@ -89,7 +89,10 @@ class GramTable:
         at = at[left]
         while len(left):
             at = (at + 1) & self._mask
-            found = self._keys[at] == keys[left]
+            here = self._keys[at]
+            if (here == -1).any():
+                raise KeyError("a gram of the block was not asked for")
+            found = here == keys[left]
             out[left[found]] = self._values[at[found]]
             left, at = left[~found], at[~found]
         return out
@@ -97,11 +100,12 @@ class GramTable:
 
 def ask_grams(dealt: DataFrame, folds: int, fold: int) -> DataFrame:
     """(block, gram, n): each distinct gram of a block, with its count in training documents."""
-    schema = arrow_schema("block int, gram long, n long")
+    ddl = "block long, gram long, n long"
+    schema = arrow_schema(ddl)
 
-    def ask(key, group):
-        keys, counts = [], []
-        for batch in unpack(group["chunk"]):
+    def ask(block: int, chunk: pa.Array) -> pa.RecordBatch:
+        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for batch in unpack(chunk):
             texts, out = _lower(batch), [held_out(i, folds, fold) for i in batch.column("doc_id").to_pylist()]
             for counted in (True, False):
                 if some := [t for t, o in zip(texts, out) if o != counted]:
@@ -110,28 +114,35 @@ def ask_grams(dealt: DataFrame, folds: int, fold: int) -> DataFrame:
                     counts.append(n if counted else np.zeros(len(n), np.int64))
         order = np.argsort(all_keys := np.concatenate(keys), kind="stable")
         all_keys, all_counts = all_keys[order], np.concatenate(counts)[order]
-        first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))
-        sums = np.add.reduceat(all_counts, first).astype(np.int64)
-        return pa.Table.from_arrays([pa.array(np.full(len(first), key[0].as_py(), np.int32)), pa.array(all_keys[first]), pa.array(sums)], schema=schema)
+        first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]])[: len(all_keys)])
+        sums = np.add.reduceat(all_counts, first).astype(np.int64) if len(first) else all_counts
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block, np.int64)), pa.array(all_keys[first]), pa.array(sums)], schema=schema)
+
+    return dealt.mapInArrow(lambda batches: (ask(k.as_py(), c) for k, c in _each(batches)), ddl)
 
-    return dealt.groupBy("block").applyInArrow(ask, "block int, gram long, n long")
+
+def _each(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i], batch.column(1).slice(i, 1)
 
 
 def ask_words(dealt: DataFrame, folds: int, fold: int) -> DataFrame:
     """(block, word, n): each distinct word of a block, with its count in training documents."""
-    schema = arrow_schema("block int, word binary, n long")
+    ddl = "block long, word binary, n long"
+    schema = arrow_schema(ddl)
 
-    def ask(key, group):
+    def ask(block: int, chunk: pa.Array) -> pa.RecordBatch:
         counts: Counter[bytes] = Counter()
         seen: set[bytes] = set()
-        for batch in unpack(group["chunk"]):
+        for batch in unpack(chunk):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), _lower(batch)):
                 (seen if held_out(doc_id, folds, fold) else counts).update(text.split())
         for w in seen:
             counts.setdefault(w, 0)
-        return pa.Table.from_arrays([pa.array(np.full(len(counts), key[0].as_py(), np.int32)), pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), block, np.int64)), pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=schema)
 
-    return dealt.groupBy("block").applyInArrow(ask, "block int, word binary, n long")
+    return dealt.mapInArrow(lambda batches: (ask(k.as_py(), c) for k, c in _each(batches)), ddl)
 
 
 def trie(counts: DataFrame) -> list[DataFrame]:

@@ -13,15 +13,15 @@ each on its own; an empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
-from array import array
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm.shared import arrow_schema, documents, slices, whole_texts, written
-from meterline.llm.tokens import encoder
+from meterline.llm.tokens import BATCH_BYTES, encoder
 
 CAPACITY = 2048
 ITEMS = 50_000
@@ -30,6 +30,8 @@ FAN_IN = 8
 SLACK = 4
 PIECES = "doc_id long, piece int, start long, length int, ids binary"
 BINS = "closed boolean, size int, uids array<long>, lengths array<int>"
+#: Bins with their members' places.
+PLACES = "sequence_id long, uid long, offset long"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -37,14 +39,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     schema = arrow_schema(PIECES)
 
     def cut(batches):
-        encode_text, end = encoder(tokenizer, False).encode, array("I", [end_id]).tobytes()
+        encode_batch = encoder(tokenizer, False).encode_batch
         for batch in batches:
-            for some in slices(batch, "text", 2 << 20):
-                rows = []
-                for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist()):
-                    ids = encode_text(text) + end
-                    rows += [(doc_id, k, k * capacity, len(x) // 4, x) for k in range(-(-len(ids) // (4 * capacity))) for x in [ids[4 * k * capacity : 4 * (k + 1) * capacity]]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            for some in slices(batch, "text", BATCH_BYTES):
+                ids, counts = encode_batch(some.column("text"), end_id)
+                pieces = -(-counts // capacity)
+                place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                lengths = np.minimum(np.repeat(counts, pieces) - place * capacity, capacity)
+                bounds = 4 * np.concatenate([[0], np.cumsum(lengths)])
+                binary = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
+                columns = [some.column("doc_id").take(pa.array(np.repeat(np.arange(len(counts)), pieces))), pa.array(place), pa.array(place * capacity), pa.array(lengths), binary]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return whole_texts(docs).mapInArrow(cut, PIECES)
 
@@ -107,9 +112,18 @@ def pack_layout(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK)
     for more in done[1:]:
         bins = bins.unionByName(more)
     bins = written(bins.select(F.monotonically_increasing_id().alias("sequence_id"), "uids", "lengths"), "bins")
-    places = bins.select("sequence_id", "lengths", F.posexplode("uids").alias("place", "uid"))
-    offset = F.aggregate(F.slice("lengths", 1, F.col("place")), F.lit(0).cast("long"), lambda a, n: a + n)
-    return places.select("uid", "sequence_id", offset.alias("offset"))
+    places_schema = arrow_schema(PLACES)
+
+    def place(batches):
+        for batch in batches:
+            ids, uids, lengths = batch.columns
+            n = np.diff(uids.offsets.to_numpy())
+            sizes = lengths.flatten().to_numpy().astype(np.int64)
+            before = np.cumsum(sizes) - sizes
+            first = np.repeat(before[np.minimum(np.cumsum(n) - n, max(len(before) - 1, 0))], n) if len(before) else before
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.to_numpy(), n)), uids.flatten(), pa.array(before - first)], schema=places_schema)
+
+    return bins.mapInArrow(place, PLACES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:

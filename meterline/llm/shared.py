@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import io
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,10 +16,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text of one block of documents, in bytes; a block is worked on by one task.
-BLOCK_BYTES = 24 << 20
-#: Text of one compressed chunk inside a block.
-CHUNK_BYTES = 4 << 20
 #: Text of a batch, for which a task holds numbers for each character.
 BATCH_BYTES = 1 << 20
 #: Blocks are shuffled, so they are compressed well.
@@ -28,11 +23,10 @@ ZSTD_LEVEL = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a session without one (as in tests) gets its own, once."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="meterline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -88,36 +82,45 @@ def release() -> None:
         pass  # another C library
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block int, chunk binary): the documents as compressed Arrow chunks, dealt into blocks of
-    about ``block_bytes`` of text, whose number follows the text's total size. A chunk's block comes from a hash of its
-    bytes, so hot sources, copies and long texts spread evenly. Work that needs something
-    looked up for all words of a text asks once for each distinct word of a block, and meets
-    the answers in a cogroup by block; no table of all words is ever broadcast.
+def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block long, chunk binary): the documents as compressed Arrow blocks of at most about ``block_bytes`` of text, written once.
+
+    Work that needs something looked up for all words of a text asks once for each distinct word of a block, and meets
+    the answers in a cogroup by block; no table of all words is ever broadcast. As the blocks are
+    written, a retried task finds the same documents in them as the one that asked.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
 
     def pack(batches):
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))
-        for batch in batches:
-            out = []
-            for part in slices(batch, "text", CHUNK_BYTES):
-                sink = io.BytesIO()
-                with pa.ipc.new_stream(sink, part.schema, options=options) as w:
+        parts, held = [], 0
+
+        def block() -> pa.RecordBatch:
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=options) as w:
+                for part in parts:
                     w.write_batch(part)
-                out.append(sink.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["chunk"])
-            del out, batch
-            release()
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue()], pa.binary())], ["chunk"])
 
-    chunks = docs.mapInArrow(pack, "chunk binary")
-    return chunks.select(F.pmod(F.xxhash64("chunk"), F.lit(n)).cast("int").alias("block"), "chunk")
+        for batch in batches:
+            for part in slices(batch, "text", BATCH_BYTES):
+                size = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if parts and held + size > block_bytes:
+                    yield block()
+                    held = 0
+                parts.append(part)
+                held += size
+        if parts:
+            yield block()
+        release()
+
+    return written(docs.mapInArrow(pack, "chunk binary").select(F.monotonically_increasing_id().alias("block"), "chunk"), "blocks", compression="uncompressed")
 
 
 def unpack(chunks: pa.Table | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-    """The documents of a block's chunks, in batches of about ``BATCH_BYTES`` of text."""
+    """The documents of blocks, in batches of about ``BATCH_BYTES`` of text."""
     release()
     for chunk in chunks:
         for batch in pa.ipc.open_stream(pa.py_buffer(chunk.as_py())):
             yield from slices(batch, "text", BATCH_BYTES)
+

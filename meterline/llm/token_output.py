@@ -13,14 +13,14 @@ one; columns other than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import zlib
-from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterline.llm.shared import arrow_schema, documents, slices, whole_texts, written
-from meterline.llm.tokens import encoder
+from meterline.llm.tokens import BATCH_BYTES, encoder
 
 STORED = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 #: Bytes of a row group, of a page and of a dictionary page, and rows of a page.
@@ -36,20 +36,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, name: str = "
     def encode(batches):
         from pyspark import TaskContext
 
-        part, at, encode_text = TaskContext.get().partitionId(), 0, encoder(tokenizer, True).encode
-        end = array("I", [end_id]).tobytes()
+        part, at, encode_batch = TaskContext.get().partitionId(), 0, encoder(tokenizer, True).encode_batch
         for batch in batches:
-            for some in slices(batch, "text", 2 << 20):
-                ids = [encode_text(x) + end for x in some.column("text").to_pylist()]
-                counts = [len(x) // 4 for x in ids]
-                starts, offsets = [], [0]
-                for n in counts:
-                    starts.append(at)
-                    at += n
-                    offsets.append(offsets[-1] + n)
-                values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
-                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), column.cast(schema.field("ids").type)], schema=schema)
+            for some in slices(batch, "text", BATCH_BYTES):
+                ids, counts = encode_batch(some.column("text"), end_id)
+                ends = np.cumsum(counts)
+                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.view(np.int32)))
+                starts = pa.array(at + ends - counts)
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), starts, pa.array(counts), column.cast(schema.field("ids").type)], schema=schema)
 
     return written(ordered.select("doc_id", "text").mapInArrow(encode, STORED), name, compression="snappy", **LAYOUT)
 
