@@ -122,13 +122,13 @@ def trip_events(df: DataFrame, dataset: str, year_month: str | None = None) -> D
     """(key, value): each trip as JSON, keyed by pickup zone, nulls kept; ids count trips by dropoff within their file month,
     which is ``year_month`` for all or, without it, told by file_year and file_month.
 
-    Numbering is spread over dropoff ranges: positions within a range, plus the sizes of the ranges before.
+    Numbering is spread over the minutes of the dropoff: positions within a minute, plus the sizes of the minutes before.
     """
     from pyspark.sql import Window
 
-    order = ["dropoff_ts", "pickup_ts", "PULocationID", "DOLocationID", "total_amount"]
+    order = ["dropoff_ts", "pickup_ts", "PULocationID", "DOLocationID", "total_amount", "trip_distance", "passenger_count", "fare_amount", "tip_amount", "payment_type"]
     month = F.lit(year_month) if year_month else F.format_string("%04d%02d", "file_year", "file_month")
-    dealt = df.withColumns({"of_file": month, "range": F.to_date("dropoff_ts")})
+    dealt = df.withColumns({"of_file": month, "range": F.date_trunc("minute", "dropoff_ts")})
     sizes = dealt.groupBy("of_file", "range").count()
     before = sizes.select("of_file", "range", (F.coalesce(F.sum("count").over(Window.partitionBy("of_file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
     within = F.row_number().over(Window.partitionBy("of_file", "range").orderBy(*order))

@@ -21,15 +21,22 @@ def _joined(trips: DataFrame, zones: DataFrame, how) -> DataFrame:
     return trips
 
 
+def marked(zones: DataFrame, most_zones: int = MOST_ZONES):
+    """How to mark the dimension: for broadcast while it is small, else for merge."""
+    return _merge if zones.limit(most_zones + 1).count() > most_zones else F.broadcast
+
+
+def _merge(zones: DataFrame) -> DataFrame:
+    return zones.hint("merge")
+
+
 def enrich_zones(trips: DataFrame, zones: DataFrame, most_zones: int = MOST_ZONES) -> DataFrame:
     """Adds borough and zone of both ends; unmatched ids keep the trip with nulls."""
-    if zones.limit(most_zones + 1).count() > most_zones:
-        return enrich_zones_sortmerge(trips, zones)
-    return _joined(trips, zones, F.broadcast)
+    return _joined(trips, zones, marked(zones, most_zones))
 
 
 def enrich_zones_sortmerge(trips: DataFrame, zones: DataFrame) -> DataFrame:
-    return _joined(trips, zones, lambda z: z.hint("merge"))
+    return _joined(trips, zones, _merge)
 
 
 def trips_per_borough(keyed: DataFrame, zones: DataFrame) -> DataFrame:

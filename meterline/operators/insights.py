@@ -48,14 +48,15 @@ def weekend_share(demand: DataFrame) -> DataFrame:
     return demand.groupBy("pu_borough").agg(F.sum("trips").alias("trips"), rounded(100 * weekend / F.sum("trips"), 1).alias("weekend_pct"))
 
 
-def weighted_fare_by_area(earnings: DataFrame) -> DataFrame:
-    return earnings.groupBy("pu_borough").agg(rounded(weighted("avg_fare"), 2).alias("avg_fare"))
+def weighted_fare_by_area(pairs: DataFrame) -> DataFrame:
+    """Mean fare of pickups in each area, its origin-destination pairs weighted by their trips."""
+    return pairs.groupBy("pu_borough").agg(rounded(weighted("avg_fare"), 2).alias("avg_fare"))
 
 
-def area_profile(demand: DataFrame, earnings: DataFrame) -> DataFrame:
+def area_profile(demand: DataFrame, pairs: DataFrame) -> DataFrame:
     """Areas with their trips, unweighted mean distance and duration of rows, weekend share and weighted fare."""
     areas = demand.groupBy("pu_borough").agg(rounded(F.avg("avg_distance"), 2).alias("avg_distance"), rounded(F.avg("avg_duration_min"), 2).alias("avg_duration_min"))
-    shares, fares = weekend_share(demand), weighted_fare_by_area(earnings)
+    shares, fares = weekend_share(demand), weighted_fare_by_area(pairs)
     for more in (shares, fares):
         named = more.withColumnRenamed("pu_borough", "area")
         areas = areas.join(named, areas["pu_borough"].eqNullSafe(named["area"]), "left").drop("area")
@@ -100,15 +101,25 @@ def airport_trips_per_hour(airport: DataFrame) -> DataFrame:
 
 
 def key_findings(daily: DataFrame, tipping: DataFrame, speed: DataFrame) -> DataFrame:
-    """One fact a row."""
+    """One fact a row; those of card and other payments where payments are known, else that of all trips."""
     totals, shares = overview_totals(daily), tip_share_weighted(tipping)
     hours = mean_speed_by_hour(speed).agg(F.min_by(F.struct("pickup_hour", "avg_speed"), F.struct("avg_speed", "pickup_hour")).alias("slow"), F.max_by(F.struct("pickup_hour", "avg_speed"), F.struct("avg_speed", -F.col("pickup_hour"))).alias("fast"))
     one = totals.crossJoin(shares).crossJoin(hours)
     facts = {
-        "trips": F.format_string("%d trips", "trips"), "revenue": F.format_string("%.2f in revenue", "revenue"), "card_tips": F.format_string("%.2f %% of card trips have a tip", "card"), "cash_tips": F.format_string("%.2f %% of other trips have a tip", "cash"),
+        "trips": F.format_string("%d trips", "trips"), "revenue": F.format_string("%.2f in revenue", "revenue"), "fare": F.format_string("%.2f average fare", "avg_fare"), "duration": F.format_string("%.2f minutes average duration", "avg_duration_min"),
+        "all_tips": F.when(F.col("overall").isNotNull(), F.format_string("%.2f %% of trips have a tip", "overall")), "card_tips": F.when(F.col("card").isNotNull(), F.format_string("%.2f %% of card trips have a tip", "card")), "cash_tips": F.when(F.col("cash").isNotNull(), F.format_string("%.2f %% of other trips have a tip", "cash")),
         "slowest_hour": F.format_string("hour %d is slowest at %.3f mph", "slow.pickup_hour", "slow.avg_speed"), "fastest_hour": F.format_string("hour %d is fastest at %.3f mph", "fast.pickup_hour", "fast.avg_speed"),
     }
-    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("fact"), v.alias("text")) for k, v in facts.items()))).alias("f")).select("f.*")
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("fact"), v.alias("text")) for k, v in facts.items()))).alias("f")).select("f.*").where("text is not null")
+
+
+def model_findings(evaluation: DataFrame, importance: DataFrame) -> DataFrame:
+    """The model's gain over the naive baseline and its strongest input, as facts."""
+    best = importance.agg(F.min_by("feature", F.struct(-F.col("importance"), "feature")).alias("feature"))
+    baseline = F.col("rmse") / (1 - F.col("improvement_pct") / 100)
+    gain = F.format_string("%.0f %% more accurate than the baseline (%.1f and %.1f minutes of error)", "improvement_pct", "rmse", baseline)
+    facts = evaluation.crossJoin(best).select(gain.alias("gain"), F.concat(F.lit("strongest predictor: "), F.col("feature")).alias("strongest"))
+    return facts.selectExpr("stack(2, 'model_gain', gain, 'strongest_input', strongest) AS (fact, text)")
 
 
 def top_od_pairs(pairs: DataFrame, top: int = 25) -> DataFrame:

@@ -44,15 +44,32 @@ def checked(key: Column, hour: str) -> Column:
 
 
 def demand_rows(demand: DataFrame) -> DataFrame:
-    return demand.where("pu_zone is not null").select(demand_key().alias("row_key"), "trips", "avg_distance", "avg_duration_min")
+    """Measures and the key's parts, as columns."""
+    return demand.where("pu_zone is not null").select(demand_key().alias("row_key"), "trips", "avg_distance", "avg_duration_min", F.col("pu_borough").alias("borough"), F.col("pu_zone").alias("zone"), day_type().alias("daytype"), F.col("pickup_hour").alias("hour"))
 
 
 def daily_rows(daily: DataFrame) -> DataFrame:
-    return daily.select(daily_key().alias("row_key"), "trips", "revenue", "avg_fare")
+    return daily.select(daily_key().alias("row_key"), "trips", "revenue", "avg_fare", "avg_distance", "avg_duration_min")
 
 
-def write_serving_table(rows: DataFrame, path: str, splits: int = 6) -> None:
-    """Replaces the table: key ranges in files, sorted inside, with small row groups and pages."""
+#: Column families of the serving tables' cells.
+FAMILIES = {"trips": "m", "avg_distance": "m", "avg_duration_min": "m", "borough": "z", "zone": "z", "daytype": "z", "hour": "z"}
+
+
+def cells(rows: DataFrame, families: dict[str, str]) -> DataFrame:
+    """One row a cell: row_key, family:column and the value as text. A null is no cell."""
+    told = [c for c in rows.columns if c in families]
+    listed = F.array(*(F.struct(F.lit(f"{families[c]}:{c}").alias("cell"), F.col(c).cast("string").alias("value")) for c in told))
+    return rows.select("row_key", F.explode(listed).alias("c")).select("row_key", "c.*").where("value is not null")
+
+
+#: Rows of a key range.
+RANGE_ROWS = 2_000_000
+
+
+def write_serving_table(rows: DataFrame, path: str, splits: int | None = None) -> None:
+    """Replaces the table: key ranges in files, ``splits`` or one for each ``RANGE_ROWS`` rows, sorted inside, with small row groups and pages."""
+    splits = splits or max(1, -(-rows.count() // RANGE_ROWS))
     ordered = rows.repartitionByRange(splits, "row_key").sortWithinPartitions("row_key")
     ordered.write.mode("overwrite").option("parquet.block.size", 8 << 20).option("parquet.page.row.count.limit", 1000).parquet(path)
 

@@ -1,4 +1,7 @@
-"""Trip-shaped views of the test tables: one trip a lineitem row, a zone a nation."""
+"""Trip-shaped versions of the test tables: one trip a lineitem row, a zone a nation.
+
+Raw and curated trips are stored once a session, as the files of months and the curated layer are in practice; queries start from them.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from meterline.functions.derive import derive_trips, to_contract
 from meterline.operators.enrich import enrich_zones
 from meterline.operators.rules import clean_trips
+from meterline.sources.folders import stored_once
 
 #: Zone names that play airports.
 AIRPORTS = "NATION_1?7$"
@@ -23,6 +27,10 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_once(spark, "raw", sf_dir, lambda: trip_rows(spark, sf_dir))
+
+
+def trip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A twenty-fifth of the rows carries one of six kinds of dirt; money and distance are exact binary fractions."""
     h = F.col("h")
     base = read(spark, sf_dir, "lineitem").select(
@@ -51,4 +59,4 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived, cleaned and joined with zones, in the contract's columns."""
-    return to_contract(enrich_zones(clean_trips(derived(spark, sf_dir)), zones(spark, sf_dir)), "yellow")
+    return stored_once(spark, "curated", sf_dir, lambda: to_contract(enrich_zones(clean_trips(derived(spark, sf_dir)), zones(spark, sf_dir)), "yellow"))

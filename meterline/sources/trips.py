@@ -6,19 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.operators.serving import count_rows  # noqa: F401  (key-only counts of any table)
+from meterline.sources.folders import exists
 
 ZONE_SCHEMA = "LocationID string, Borough string, Zone string, service_zone string"
 LINE_SCHEMA = "borough string, zone string, hour int"
 COUNT_SCHEMA = "borough string, zone string, hour int, trips long"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, asked of the file system that the path belongs to."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def write_bronze(raw: DataFrame, root: str, dataset: str) -> list[tuple[int, int]]:
     """Each file month of ``raw`` under the name that :func:`scan_bronze` reads, all in one write; gives the months."""
     spark, staged = raw.sparkSession, f"{root}/_staged"
@@ -80,9 +74,14 @@ def scan_tsv(spark: SparkSession, path: str, schema: str = LINE_SCHEMA) -> DataF
     return spark.read.schema(schema).option("sep", "\t").option("nullValue", "\\N").csv(path)
 
 
-def write_curated(curated: DataFrame, root: str) -> None:
-    """Overwrites only the partitions that ``curated`` has rows of. Rows of one month meet in few files."""
-    salted = curated.repartition("year", "month", F.pmod(F.xxhash64("pickup_ts", "PULocationID"), F.lit(4)))
+#: Rows of a curated file, about.
+FILE_ROWS = 4_000_000
+
+
+def write_curated(curated: DataFrame, root: str, file_rows: int = FILE_ROWS) -> None:
+    """Overwrites only the partitions that ``curated`` has rows of. A month's rows go to as many files as their number asks for."""
+    most = curated.groupBy("year", "month").count().agg(F.max("count")).first()[0] or 0
+    salted = curated.repartition("year", "month", F.pmod(F.xxhash64("pickup_ts", "PULocationID", "DOLocationID"), F.lit(max(1, -(-most // file_rows)))))
     salted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(root)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterline.functions.derive import derive_trips, rounded
-from meterline.operators.rules import clean_trips
+from meterline.operators.enrich import marked
+from meterline.operators.rules import clean_trips, latest_window
 from meterline.plans.contract import EVENT, schema_of
 
 EVENT_SCHEMA = schema_of(EVENT)
@@ -33,15 +34,20 @@ def parse_events(records: DataFrame) -> DataFrame:
     return records.select(event, *more).select("e.*", *more)
 
 
-def clean_stream(events: DataFrame) -> DataFrame:
-    """Derives and cleans before any watermark: one stray future pickup would expire all state. A trip's month is its own dropoff's."""
-    months = events.withColumns({"file_year": F.year("dropoff_ts"), "file_month": F.month("dropoff_ts")})
-    return clean_trips(derive_trips(months))
+def clean_stream(events: DataFrame, first: tuple[int, int], last: tuple[int, int] | None = None) -> DataFrame:
+    """Derives and cleans before any watermark: one stray future pickup would expire all state.
+
+    ``first`` and ``last`` are the replayed months, as (year, month); a pickup of another month is out. Without ``last`` there is one.
+    """
+    year, month = F.year("pickup_ts"), F.month("pickup_ts")
+    (y0, m0), (y1, m1) = first, last or first
+    replayed = (year * 12 + month).between(y0 * 12 + m0, y1 * 12 + m1)
+    return clean_trips(derive_trips(events.withColumns({"file_year": F.when(replayed, year), "file_month": F.when(replayed, month)})))
 
 
 def stream_static_zones(events: DataFrame, zones: DataFrame) -> DataFrame:
     named = zones.select(F.col("loc_id").alias("PULocationID"), F.col("borough").alias("pu_borough"), F.col("zone").alias("pu_zone"))
-    return events.join(F.broadcast(named), "PULocationID", "left")
+    return events.join(marked(zones)(named), "PULocationID", "left")
 
 
 def zone_metrics(clean: DataFrame, zones: DataFrame, window: str = "5 minutes", late: str | None = "30 minutes") -> DataFrame:
@@ -51,7 +57,7 @@ def zone_metrics(clean: DataFrame, zones: DataFrame, window: str = "5 minutes",
     named = stream_static_zones(clean, zones)
     card = F.avg(F.when(F.col("is_card"), F.col("tip_pct")))
     grouped = named.groupBy(F.window("pickup_ts", window).alias("w"), "PULocationID", "pu_borough", "pu_zone").agg(
-        F.count("*").alias("trips"), rounded(F.avg("total_amount"), 2).alias("avg_fare"), rounded(F.avg("duration_min"), 2).alias("avg_duration_min"), rounded(F.avg("trip_distance"), 2).alias("avg_distance"),
+        F.count("*").alias("trips"), rounded(F.avg("fare_amount"), 2).alias("avg_fare"), rounded(F.avg("duration_min"), 2).alias("avg_duration_min"), rounded(F.avg("trip_distance"), 2).alias("avg_distance"),
         rounded(F.sum("total_amount"), 2).alias("total_revenue"), rounded(card, 2).alias("avg_card_tip_pct"),
     )
     return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *grouped.columns[1:])
@@ -93,18 +99,17 @@ def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
 
 
 def live_totals(metrics: DataFrame) -> DataFrame:
-    return metrics.agg(F.count_distinct("window_start").alias("windows"), F.sum("trips").alias("trips"), F.max("window_end").alias("newest"))
+    """Zone windows written, their trips and the newest window's end."""
+    return metrics.agg(F.count("*").alias("windows"), F.sum("trips").alias("trips"), F.max("window_end").alias("newest"))
 
 
 def recent_windows(metrics: DataFrame, last: int = 144) -> DataFrame:
-    fare = rounded(F.sum(F.col("avg_fare") * F.col("trips")) / F.sum("trips"), 2).alias("avg_fare")
-    return metrics.groupBy("window_start").agg(F.sum("trips").alias("trips"), fare).orderBy(F.desc("window_start")).limit(last)
+    """Trips and the plain mean of the zones' fares of each of the last windows."""
+    return metrics.groupBy("window_start").agg(F.sum("trips").alias("trips"), rounded(F.avg("avg_fare"), 2).alias("avg_fare")).orderBy(F.desc("window_start")).limit(last)
 
 
 def busiest_live_zones(metrics: DataFrame, top: int = 10) -> DataFrame:
-    from meterline.operators.rules import latest_window
-
-    return latest_window(metrics).select("PULocationID", "pu_zone", "trips", "avg_fare").orderBy(F.desc("trips"), "PULocationID").limit(top)
+    return latest_window(metrics).select("PULocationID", "pu_borough", "pu_zone", "trips", "avg_fare", "avg_duration_min").orderBy(F.desc("trips"), "PULocationID").limit(top)
 
 
 def replay_order(trips: DataFrame, skip: int = 0, limit: int = 0) -> DataFrame:
@@ -113,17 +118,19 @@ def replay_order(trips: DataFrame, skip: int = 0, limit: int = 0) -> DataFrame:
     return ordered.limit(limit) if limit else ordered
 
 
-def replay_stream(events: DataFrame, path: str, files: int | None = None) -> None:
+def replay_stream(events: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
     """Writes (key, value, dropoff_ts) events to files in dropoff order, for :func:`read_event_files`: ``files`` or,
     without it, one for each ``EVENTS`` rows, three at least.
     """
     files = files or max(3, -(-events.count() // EVENTS))
-    events.repartitionByRange(files, "dropoff_ts").sortWithinPartitions("dropoff_ts").select("key", F.col("value").cast("binary").alias("value")).write.mode("overwrite").parquet(path)
-    # the file source takes the oldest file first, and tasks end in any order
     spark = events.sparkSession
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = sorted((x for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName())
-    newest = max((x.getModificationTime() for x in parts), default=0)
+    there = list(fs.listStatus(folder)) if mode == "append" and fs.exists(folder) else []
+    before = {x.getPath().getName() for x in there}
+    began = max((x.getModificationTime() + 1000 for x in there), default=1_000_000)
+    events.repartitionByRange(files, "dropoff_ts").sortWithinPartitions("dropoff_ts").select("key", F.col("value").cast("binary").alias("value")).write.mode(mode).parquet(path)
+    # the file source takes the oldest file first, and tasks end in any order
+    parts = sorted((x for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-") and x.getPath().getName() not in before), key=lambda x: x.getPath().getName())
     for k, part in enumerate(parts):
-        fs.setTimes(part.getPath(), newest + 1000 * (k + 1 - len(parts)), -1)
+        fs.setTimes(part.getPath(), began + 1000 * k, -1)
