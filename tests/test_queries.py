@@ -1,4 +1,4 @@
-"""Every trip query against its SQL on the smallest tables, in a few groups."""
+"""Every trip query against its SQL on the smallest tables."""
 
 import pytest
 
@@ -6,16 +6,11 @@ import __spark_entry__
 from meterline.plans.queries import QUERIES, SQL
 from tests.oracle import connection, same
 
-#: Those that fit a model or run a stream have tests of their own.
-SLOW = {"append_final_windows", "update_running_windows", "late_rows", "committed_output", "evaluate_model", "feature_importance", "score_grid", "predict_lookup", "fastest_hour"}
-#: One of each kind by default; set TEST_ALL=1 for all.
-FEW = ["normalise_fhvhv", "derive_trips", "to_contract", "quality_report", "curate_stats", "enrich_zones", "enrich_zones_sortmerge", "reconcile_demand", "demand_by_zone_hour", "od_matrix", "speed_by_hour", "key_findings", "earnings_heatmap", "write_curated", "zone_hour_counts", "scan_bronze", "get_row", "month_summary", "zone_metrics", "naive_baseline", "write_managed_orc"]
-
+#: Those that fit a model have tests of their own.
+SLOW = {"evaluate_model", "feature_importance", "score_grid", "predict_lookup", "fastest_hour", "model_findings"}
 
 def names():
-    import os
-
-    return sorted(set(SQL) - SLOW) if os.environ.get("TEST_ALL") else FEW
+    return sorted(set(SQL) - SLOW)
 
 
 @pytest.fixture(scope="module")

@@ -113,11 +113,60 @@ def zone_table(spark):
     return spark.createDataFrame([(1, "ASIA", "Z1")], "loc_id int, borough string, zone string")
 
 
+JANUARY = (2024, 1)
+
+
 def test_events_keep_nulls_and_windows_leave_cash_tips_out(spark):
-    events = streams.parse_events(records(spark, [event(START), event(START, payment=2, tip=0.0), event(START + dt.timedelta(minutes=5)), event(dt.datetime(2098, 1, 1), -5)]))
+    events = streams.parse_events(records(spark, [event(START), event(START, payment=2, tip=0.0), event(START + dt.timedelta(minutes=5))]))
     assert events.columns == [f.split()[0] for f in EVENT.split(", ")] and events.first().passenger_count is None
-    windows = streams.zone_metrics(streams.clean_stream(events), zone_table(spark), late=None).orderBy("window_start").collect()
+    windows = streams.zone_metrics(streams.clean_stream(events, JANUARY), zone_table(spark), late=None).orderBy("window_start").collect()
     assert [(w.trips, w.avg_card_tip_pct, w.pu_zone) for w in windows] == [(2, 20.0, "Z1"), (1, 20.0, "Z1")]
+    # the fare, not the total, is averaged; the total is summed up
+    assert [(w.avg_fare, w.total_revenue) for w in windows] == [(10.0, 24.0), (10.0, 12.0)]
+
+
+def test_strays_go_and_trips_over_the_end_of_a_month_stay(spark):
+    stray, over, before = dt.datetime(2098, 1, 1), dt.datetime(2024, 1, 31, 23, 50), dt.datetime(2023, 12, 31, 23, 59)
+    events = streams.parse_events(records(spark, [event(START), event(stray, 20), event(over, 20), event(before, 20), event(START, 1 / 3)]))
+    assert sorted(r.pickup_ts for r in streams.clean_stream(events, JANUARY).collect()) == [START, over]
+    assert sorted(r.pickup_ts for r in streams.clean_stream(events, (2023, 12), (2024, 1)).collect()) == [before, START, over]
+
+
+def test_live_figures(spark):
+    rows = [(START, START, 1, "A", "Z1", 1, 10.0, 5.0), (START, START, 2, "A", "Z2", 3, 20.0, 6.0)]
+    metrics = spark.createDataFrame(rows, "window_start timestamp, window_end timestamp, PULocationID int, pu_borough string, pu_zone string, trips long, avg_fare double, avg_duration_min double")
+    assert streams.live_totals(metrics).first()[:2] == (2, 4)
+    assert streams.recent_windows(metrics).first()[1:] == (4, 15.0)
+    assert streams.busiest_live_zones(metrics).first()[:] == (2, "A", "Z2", 3, 20.0, 6.0)
+
+
+def test_cells_leave_nulls_out(spark):
+    rows = spark.createDataFrame([("k", 3, None)], "row_key string, trips long, avg_distance double")
+    assert [tuple(r) for r in serving.cells(rows, serving.FAMILIES).collect()] == [("k", "m:trips", "3")]
+
+
+def test_curated_months_are_split_by_their_rows(spark, sf, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the files are far too small
+    trips.write_curated(fixtures.curated(spark, sf), str(tmp_path / "few"))
+    trips.write_curated(fixtures.curated(spark, sf), str(tmp_path / "many"), file_rows=20)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    few, many = (len(list((tmp_path / n).glob("year=1995/month=3/*.parquet"))) for n in ("few", "many"))
+    assert few == 1 < many
+
+
+def test_model_errors_are_those_of_its_predictions(spark):
+    rows = spark.range(200).select(F.col("id").cast("double").alias("duration_min"), (F.col("id") * 1.1 + 1).alias("prediction"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("part"))
+
+    class Same:
+        def transform(self, df):
+            return df
+
+    got = duration.evaluate_model(Same(), rows, 20.0).first()
+    errors = [(k * 1.1 + 1 - k) for k in range(0, 200, 5)]
+    rmse = (sum(e * e for e in errors) / len(errors)) ** 0.5
+    assert abs(got.rmse - rmse) < 1e-9 and abs(got.mae - sum(map(abs, errors)) / len(errors)) < 1e-9 and abs(got.improvement_pct - 100 * (1 - rmse / 20)) < 1e-9 and (got.train_rows, got.test_rows) == (160, 40)
+    facts = dict(map(tuple, insights.model_findings(spark.createDataFrame([(8.0, 50.0)], "rmse double, improvement_pct double"), spark.createDataFrame([("b", 0.2), ("a", 0.7)], "feature string, importance double")).collect()))
+    assert facts == {"model_gain": "50 % more accurate than the baseline (16.0 and 8.0 minutes of error)", "strongest_input": "strongest predictor: a"}
 
 
 def test_late_rows_are_dropped_and_restart_goes_on(spark, tmp_path):
@@ -128,7 +177,7 @@ def test_late_rows_are_dropped_and_restart_goes_on(spark, tmp_path):
 
     def drain():
         events = streams.parse_events(streams.read_event_files(spark, path))
-        query = streams.sink_windows_parquet(streams.zone_metrics(streams.clean_stream(events), zone_table(spark)), out, checkpoint)
+        query = streams.sink_windows_parquet(streams.zone_metrics(streams.clean_stream(events, JANUARY), zone_table(spark)), out, checkpoint)
         query.awaitTermination()
         return streams.progress_rows(spark, query)
 
