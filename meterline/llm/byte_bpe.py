@@ -8,8 +8,8 @@ numbers in a cogroup. Bytes are written as the characters U+0000 to U+00FF insid
 so that a piece is a string and joining pieces is ``concat``. Words of more than ``LONG_WORD`` bytes, which are rare, are merged with the help
 of a heap in Arrow tasks.
 
-A block is named by a hash of its content, and a block without all of its answers is an error: if a retried task ever dealt
-documents otherwise (tables in files never do), no text would get the ids of another.
+Blocks are written once, so that a retried task finds what was asked for; a word without an answer is an error. What a
+block asks of a bucket of words, and what it is answered, are one compressed row each.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are
 encoded each; an empty table gives an empty one; columns other than ``doc_id`` and ``text``
@@ -27,6 +27,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.shared import ZSTD_LEVEL, arrow_schema, documents, release, slices, whole_texts
+from meterline.llm.shared import ZSTD_LEVEL, arrow_schema, documents, release, slices, whole_texts, written
 from meterline.llm.tokens import STOPS, cut_at_spaces, gathered, space_meets_white
 
 #: Buckets of the literal rank map, so that a lookup compares a few keys.
@@ -44,6 +45,8 @@ NO_RANK = 2**31 - 1
 BLOCK_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
 #: Bytes of a word above which the fold, whose time grows with the square of them, gives way to a heap.
 LONG_WORD = 128
+#: Places of a word in one row, and answers that a task gathers before it writes them.
+ASKERS, HELD_ANSWERS = 10_000, 1_000_000
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 #: Unicode's White_Space property, as the tiktoken library reads \s.
@@ -157,27 +160,33 @@ class Words:
         return self.of(lead + unit)
 
 
+def pressed(numbers: np.ndarray) -> bytes:
+    """32-bit integers, compressed; bytes of like weight go together."""
+    return zstandard.compress(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), ZSTD_LEVEL)
+
+
+def unpressed(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+
+
 def numbered(docs: DataFrame, pattern: str) -> DataFrame:
-    """Blocks of whole texts as numbers of their words: ``block``, a hash of the content; ``counts``, each text's number of
-    words, and ``numbers``, all their words, as compressed 32-bit integers; and ``words``, the block's distinct words in the order of their numbers.
+    """Blocks of whole texts as numbers of their words: ``counts``, each text's number of
+    words, ``numbers``, all their words, both compressed; and ``words``, the block's distinct words in the order of their numbers, as a compressed Arrow array.
     """
-    ddl = "doc_ids array<long>, counts binary, numbers binary, words array<string>"
+    ddl = "doc_ids array<long>, counts binary, numbers binary, words binary"
     schema = arrow_schema(ddl)
 
     def number(batches):
-        cut, press = Words(pattern), zstandard.ZstdCompressor(level=ZSTD_LEVEL)
+        cut = Words(pattern)
         known: dict[str, int] = {}
         doc_ids, counts, numbers, size = [], [], [], 0
 
-        def pack(x: list) -> bytes:
-            # bytes of like weight go together
-            return press.compress(np.concatenate(x).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-
         def block() -> pa.RecordBatch:
-            row = [pa.concat_arrays(doc_ids), pack(counts), pack(numbers), list(known)]
-            out = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(row[0])], pa.int32()), row[0]).cast(schema.field(0).type), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary()), pa.array([row[3]], schema.field(3).type)], schema=schema)
+            ids = pa.concat_arrays(doc_ids)
+            row = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(schema.field(0).type)]
+            row += [pa.array([x], pa.binary()) for x in (pressed(np.concatenate(counts)), pressed(np.concatenate(numbers)), as_bytes(pa.array(list(known), pa.string())))]
             known.clear(), doc_ids.clear(), counts.clear(), numbers.clear()
-            return out
+            return pa.RecordBatch.from_arrays(row, schema=schema)
 
         for batch in batches:
             for some in slices(batch, "text", BATCH_BYTES):
@@ -203,27 +212,117 @@ def numbered(docs: DataFrame, pattern: str) -> DataFrame:
             yield block()
         release()
 
-    made = docs.mapInArrow(number, ddl)
-    return made.select(F.xxhash64("doc_ids", "counts", "numbers", "words").alias("block"), "*")
+    return docs.mapInArrow(number, ddl).select(F.monotonically_increasing_id().alias("block"), "*")
+
+
+def as_bytes(words: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("words", words.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(pa.RecordBatch.from_arrays([words], ["words"]))
+    return sink.getvalue().to_pybytes()
+
+
+def as_words(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()["words"].combine_chunks()
+
+
+def distinct_words(dealt: DataFrame, buckets: int, path: str) -> DataFrame:
+    """(word, long, blocks, places): each distinct word and where it is asked for, at most ``ASKERS`` places a row; ``long`` has the ids of a long word.
+
+    Words are dealt into buckets by their hash; what a block asks of a bucket is one compressed row.
+    """
+    asks_ddl, words_ddl = "bucket int, block long, places binary, words binary", "word string, long array<int>, blocks array<long>, places array<int>"
+    asks_schema, words_schema = arrow_schema(asks_ddl), arrow_schema(words_ddl)
+
+    def ask(batches):
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = as_words(data.as_py())
+                bucket = (pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                found, first = np.unique(bucket[order], return_index=True)
+                rows = [(k, block, pressed(at), as_bytes(words.take(pa.array(at)))) for k, at in zip(found.tolist(), np.split(order, first[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, asks_schema)], schema=asks_schema)
+
+    def gather(group: pa.Table) -> pa.Table:
+        words = [as_words(x.as_py()) for x in group["words"]]
+        blocks = np.repeat(group["block"].to_numpy(), list(map(len, words)))
+        places = np.concatenate([unpressed(x.as_py()) for x in group["places"]])
+        coded = pa.concat_arrays(words).dictionary_encode()
+        numbers = coded.indices.to_numpy()
+        order = np.argsort(numbers, kind="stable")
+        counts = np.bincount(numbers, minlength=len(coded.dictionary))
+        rows = -(-counts // ASKERS)
+        ends = np.repeat(np.cumsum(counts), rows)
+        place = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+        begins = np.minimum(np.repeat(np.cumsum(counts) - counts, rows) + place * ASKERS, ends)
+        offsets = pa.array(np.concatenate([begins, [len(order)]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order]).cast(f.type.value_type)).cast(f.type) for x, f in zip((blocks, places), list(words_schema)[2:])]
+        distinct = coded.dictionary.take(pa.array(np.repeat(np.arange(len(counts)), rows)))
+        long_words = pc.greater(pc.utf8_length(distinct), LONG_WORD).to_pylist()
+        ids = [merge_long(distinct[i].as_py().encode("latin-1"), read_ranks(path)) if x else None for i, x in enumerate(long_words)]
+        return pa.Table.from_arrays([distinct, pa.array(ids, words_schema.field("long").type), *lists], schema=words_schema)
+
+    return dealt.select("block", "words").mapInArrow(ask, asks_ddl).groupBy("bucket").applyInArrow(gather, words_ddl)
+
+
+def by_block(answers: DataFrame) -> DataFrame:
+    """(asked_by, places, sizes, ids): answers of some words to a block in one row, compressed."""
+    ddl = "asked_by long, places binary, sizes binary, ids binary"
+    schema = arrow_schema(ddl)
+
+    def pack(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def rows() -> pa.RecordBatch:
+            blocks, places, sizes = (np.concatenate([h[k] for h in held]) for k in range(3))
+            pool, starts = np.concatenate([h[3] for h in held]), np.zeros(len(sizes), np.int64)
+            at = base = 0
+            for b, _, n, ids in held:
+                # each asker of a word gets the same ids
+                starts[at : at + len(b)] = base + n[:, 1]
+                at, base = at + len(b), base + len(ids)
+            n = sizes[:, 0]
+            order = np.lexsort((places, blocks))
+            found, first = np.unique(blocks[order], return_index=True)
+            out = [(k, pressed(places[x]), pressed(n[x]), pressed(gathered(x, starts, n, pool)[0])) for k, x in zip(found.tolist(), np.split(order, first[1:]))]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+        for batch in batches:
+            blocks, places, ids = batch.columns
+            if not len(blocks):
+                continue
+            askers = np.diff(blocks.offsets.to_numpy())
+            begins = ids.offsets.to_numpy().astype(np.int64)
+            each = np.column_stack([np.diff(begins), begins[:-1] - begins[0]])
+            held.append((blocks.flatten().to_numpy(), places.flatten().to_numpy().astype(np.int64), np.repeat(each, askers, axis=0), ids.flatten().to_numpy()))
+            count += int(askers.sum())
+            if count > HELD_ANSWERS:
+                yield rows()
+                count = 0
+        if held:
+            yield rows()
+        release()
+
+    return answers.select("blocks", "places", "ids").mapInArrow(pack, ddl)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian 32-bit) of every document."""
-    dealt = numbered(whole_texts(docs), pattern).repartition("block")
+    dealt = written(numbered(whole_texts(docs), pattern), "numbers", compression="uncompressed")
     answered = arrow_schema(ENCODED)
 
     def answer(key, group, told):
-        at = told["place"].to_numpy()
-        ids = told["ids"].combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        at, sizes_of, ids = (np.concatenate([unpressed(x.as_py()) for x in told[c]] or [np.empty(0, np.int64)]) for c in ("places", "sizes", "ids"))
         known = int(at.max(initial=-1)) + 1
         starts, sizes = np.zeros(known, np.int64), np.full(known, -1, np.int64)
-        offsets = ids.offsets.to_numpy()
-        starts[at], sizes[at] = offsets[:-1], np.diff(offsets)
-        pool = ids.values.to_numpy().astype("<u4", copy=False)
+        starts[at], sizes[at] = np.cumsum(sizes_of) - sizes_of, sizes_of
+        pool = ids.astype("<u4")
         rows = []
         for doc_ids, counts, numbers in zip(*(group[c] for c in ("doc_ids", "counts", "numbers"))):
-            counts, numbers = (np.ascontiguousarray(np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64) for x in (counts, numbers))
+            counts, numbers = unpressed(counts.as_py()), unpressed(numbers.as_py())
             if len(numbers) and (numbers.max() >= known or sizes[numbers].min() < 0):
                 raise KeyError("a word of the block was not asked for")
             # some documents at a time
@@ -239,19 +338,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 rows.append(pa.RecordBatch.from_arrays([doc_ids.values.slice(first, len(n)), pa.array(tokens), binary], schema=answered))
         return pa.Table.from_batches(rows, schema=answered)
 
-    def by_heap(batches):
-        ranks = read_ranks(path)
-        for batch in batches:
-            words = batch.column(0)
-            yield pa.RecordBatch.from_arrays([words, pa.array([merge_long(w.encode("latin-1"), ranks) for w in words.to_pylist()], pa.list_(pa.int32()))], schema=long_schema)
-
-    # each distinct word of a block; a frequent word is one row of each block that has it, so no key is hot
-    wanted = dealt.select("block", F.posexplode("words").alias("place", "word")).repartition("word")
-    distinct = wanted.select("word").distinct()
-    long_schema = arrow_schema("word string, ids array<int>")
-    long_words = distinct.where(F.length("word") > LONG_WORD).mapInArrow(by_heap, "word string, ids array<int>")
-    ids = distinct.where(F.length("word") <= LONG_WORD).select("word", encode_word(F.col("word"), rank_map(path)).alias("ids")).unionByName(long_words)
-    answers = wanted.join(ids.hint("shuffle_hash"), "word").select(F.col("block").alias("asked_by"), "place", "ids")
+    words = distinct_words(dealt, max(1, 2 * dealt.count()), path)
+    ids = F.when(F.col("long").isNull(), encode_word(F.col("word"), rank_map(path))).otherwise(F.col("long"))
+    answers = by_block(words.select("blocks", "places", ids.alias("ids")))
     return dealt.groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(answer, ENCODED)
 
 
