@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.shared import ZSTD_LEVEL, arrow_schema, documents, release, slices, whole_texts, written
+from meterline.llm.shared import ZSTD_LEVEL, arrow_schema, as_bytes, as_table, documents, release, slices, whole_texts, written
 from meterline.llm.tokens import STOPS, cut_at_spaces, gathered, space_meets_white
 
 #: Buckets of the literal rank map, so that a lookup compares a few keys.
@@ -184,7 +184,7 @@ def numbered(docs: DataFrame, pattern: str) -> DataFrame:
         def block() -> pa.RecordBatch:
             ids = pa.concat_arrays(doc_ids)
             row = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(schema.field(0).type)]
-            row += [pa.array([x], pa.binary()) for x in (pressed(np.concatenate(counts)), pressed(np.concatenate(numbers)), as_bytes(pa.array(list(known), pa.string())))]
+            row += [pa.array([x], pa.binary()) for x in (pressed(np.concatenate(counts)), pressed(np.concatenate(numbers)), as_bytes({"word": pa.array(list(known), pa.string())}))]
             known.clear(), doc_ids.clear(), counts.clear(), numbers.clear()
             return pa.RecordBatch.from_arrays(row, schema=schema)
 
@@ -215,17 +215,6 @@ def numbered(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.mapInArrow(number, ddl).select(F.monotonically_increasing_id().alias("block"), "*")
 
 
-def as_bytes(words: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("words", words.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(pa.RecordBatch.from_arrays([words], ["words"]))
-    return sink.getvalue().to_pybytes()
-
-
-def as_words(data: bytes) -> pa.Array:
-    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()["words"].combine_chunks()
-
-
 def distinct_words(dealt: DataFrame, buckets: int, path: str) -> DataFrame:
     """(word, long, blocks, places): each distinct word and where it is asked for, at most ``ASKERS`` places a row; ``long`` has the ids of a long word.
 
@@ -237,15 +226,15 @@ def distinct_words(dealt: DataFrame, buckets: int, path: str) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = as_words(data.as_py())
+                words = as_table(data.as_py())["word"].combine_chunks()
                 bucket = (pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 found, first = np.unique(bucket[order], return_index=True)
-                rows = [(k, block, pressed(at), as_bytes(words.take(pa.array(at)))) for k, at in zip(found.tolist(), np.split(order, first[1:]))]
+                rows = [(k, block, pressed(at), as_bytes({"word": words.take(pa.array(at))})) for k, at in zip(found.tolist(), np.split(order, first[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, asks_schema)], schema=asks_schema)
 
     def gather(group: pa.Table) -> pa.Table:
-        words = [as_words(x.as_py()) for x in group["words"]]
+        words = [as_table(x.as_py())["word"].combine_chunks() for x in group["words"]]
         blocks = np.repeat(group["block"].to_numpy(), list(map(len, words)))
         places = np.concatenate([unpressed(x.as_py()) for x in group["places"]])
         coded = pa.concat_arrays(words).dictionary_encode()

@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterline.llm.shared import arrow_schema, blocks, documents, unpack, whole_texts, written
+from meterline.llm.shared import arrow_schema, as_bytes, as_table, blocks, documents, release, unpack, whole_texts, written
 
 #: Bytes of context. A context and its symbol, ORDER + 1 bytes, fit a long.
 ORDER = 5
 #: A byte that UTF-8 never holds pads the start of a text and is its end symbol.
 END = 0xFF
 #: Text of a block; distinct grams are gathered chunk by chunk, so that memory follows their number.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Answers that a task gathers before it writes them.
+HELD_ANSWERS = 1_000_000
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -200,6 +202,41 @@ def gram_costs(asked: DataFrame) -> DataFrame:
     return done.unionByName(rows.select("gram", (F.col("cost") + last).alias("cost")))
 
 
+def by_block(answers: DataFrame) -> DataFrame:
+    """(asked_by, grams, words): answers to a block in a few rows, compressed; grams as steps from one to the next, costs by number."""
+    ddl = "asked_by long, grams binary, words binary"
+    schema = arrow_schema(ddl)
+
+    def pack(batches):
+        held, count = [], 0
+
+        def rows() -> pa.RecordBatch:
+            told = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("gram", "ascending")])
+            held.clear()
+            blocks = told["block"].to_numpy()
+            found, first = np.unique(blocks, return_index=True)
+            out = []
+            for block, at, n in zip(found.tolist(), first.tolist(), np.diff(np.append(first, len(blocks))).tolist()):
+                part = told.slice(at, n)
+                known = n - part["gram"].null_count  # nulls come last
+                grams, of_word = part.slice(0, known), part.slice(known)
+                steps = np.diff(grams["gram"].to_numpy(), prepend=0) if known else None
+                out.append((block, as_bytes({"step": pa.array(steps), "cost": grams["cost"].combine_chunks().dictionary_encode()}) if known else None, as_bytes({"word": of_word["word"].combine_chunks(), "cost": of_word["cost"].combine_chunks()}) if known < n else None))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count > HELD_ANSWERS:
+                yield rows()
+                count = 0
+        if count:
+            yield rows()
+        release()
+
+    return answers.mapInArrow(pack, ddl)
+
+
 def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """Scores every document with what the documents outside ``fold`` teach; see the module's text."""
     docs = whole_texts(docs)
@@ -219,17 +256,15 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     schema = arrow_schema(SCORED)
 
     def answer(key, group, told):
-        import pyarrow.compute as pc
-
-        is_gram = pc.is_valid(told["gram"])
-        of_gram = told.select(["gram", "cost"]).filter(is_gram)
-        table = GramTable(of_gram["gram"].to_numpy(), of_gram["cost"].to_numpy())
-        of_word = told.select(["word", "cost"]).filter(pc.invert(is_gram))
+        parts = [as_table(x.as_py()) for x in told["grams"] if x.is_valid]
+        table = GramTable(*(np.concatenate([f(t) for t in parts] or [np.empty(0)]).astype(kind) for f, kind in ((lambda t: np.cumsum(t["step"].to_numpy()), np.int64), (lambda t: np.asarray(t["cost"].combine_chunks().dictionary_decode()), np.float64))))
+        parts = [as_table(x.as_py()) for x in told["words"] if x.is_valid]
+        of_word = pa.concat_tables(parts) if parts else pa.table({"word": pa.array([], pa.binary()), "cost": pa.array([], pa.float64())})
         # few distinct counts: words share their logarithms
         some, which = np.unique(of_word["cost"].to_numpy(), return_inverse=True)
         shared = np.log10(some + 1).tolist()
         logs = dict(zip(of_word["word"].to_pylist(), map(shared.__getitem__, which.tolist())))
-        del told, of_gram, of_word, is_gram, some, which
+        del told, of_word, parts, some, which
         least = -math.log10(total + vocabulary + 1)
         end_log = math.log10(train + 1)
         rows = []
@@ -245,7 +280,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 rows.append((doc_id, held_out(doc_id, folds, fold), n, known, total, math.fsum(values) + end_log + n * least, -cost))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, SCORED)
+    return dealt.groupBy("block").cogroup(by_block(answers).groupBy("asked_by")).applyInArrow(answer, SCORED)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

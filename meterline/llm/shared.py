@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import io
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,25 +15,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterline.sources.folders import scratch
+
 #: Text of a batch, for which a task holds numbers for each character.
 BATCH_BYTES = 1 << 20
 #: Blocks are shuffled, so they are compressed well.
 ZSTD_LEVEL = 5
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` as a table in the shared folder; the plan after it starts from those files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -82,6 +73,19 @@ def release() -> None:
         pass  # another C library
 
 
+def as_bytes(columns: dict[str, pa.Array]) -> bytes:
+    """Arrow columns, compressed."""
+    sink = pa.BufferOutputStream()
+    rows = pa.record_batch(columns)
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))) as w:
+        w.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def as_table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
+
+
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """(block long, chunk binary): the documents as compressed Arrow blocks of at most about ``block_bytes`` of text, written once.
 
