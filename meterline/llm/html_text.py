@@ -23,8 +23,14 @@ from meterline.llm.shared import arrow_schema, slices, table
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A start or end tag as most are written. Nothing in it is tried twice, and it never reaches over another tag, so that reading takes linear time.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*+)((?:\s++[a-zA-Z-]++(?:=(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=`/]++))?+)*+\s*+/?+)>""")
+_TAG_NAME = re.compile(r"[^\s/>]++")
+_BETWEEN = re.compile(r"[\s/]*+")
+_ATTRIBUTE_NAME = re.compile(r"=?[^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_UNQUOTED = re.compile(r"[^\s>]*+")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
 #: Elements whose content is no markup.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
@@ -35,27 +41,28 @@ _BLOCK = {
 #: What a start tag closes if it is open, and what bounds the search for it.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements that are never part of an article.
-_DROPPED = {"nav", "aside", "footer", "form", "button", "select", "option", "input", "svg", "canvas", "object", "audio", "video", "dialog", "menu", "map", "head", "label", "fieldset", "datalist"}
+_DROPPED = {"nav", "aside", "footer", "button", "select", "option", "input", "svg", "canvas", "object", "audio", "video", "dialog", "menu", "map", "head", "label", "fieldset", "datalist"}
 _DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
-#: Words of class and id names that tell of such parts.
-_DROPPED_WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "adsense", "adbox", "adslot", "sponsor", "sponsored", "sponsors", "promo", "promotion", "promoted", "banner",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "toolbar", "tabs",
-    "header", "masthead", "topbar", "footer", "foot", "copyright", "sidebar", "aside", "rail", "widget", "widgets",
-    "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "discussion", "responses",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "lightbox", "disclaimer",
-    "share", "sharing", "social", "related", "recommended", "recommendations", "recirculation", "outbrain", "taboola", "subscribe", "subscription", "newsletter", "signup", "login", "signin", "search", "form", "paywall", "skip", "hidden",
+#: Words of class and id names that tell of parts beside an article. A name counts as a whole: all of its words must be such or be among those for boxes.
+_BESIDE = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "adsense", "adbox", "adslot", "sponsor", "sponsored", "sponsors", "promo", "promoted",
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "masthead", "topbar", "sidebar", "rail", "widget", "widgets",
+    "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "lightbox",
+    "share", "sharing", "social", "related", "recommended", "recommendations", "recirculation", "outbrain", "taboola", "subscribe", "subscription", "newsletter", "signup", "login", "signin", "paywall", "skip", "hidden",
+}
+#: The same, but inside an article they may be its own.
+_BESIDE_OUTSIDE = {"header", "footer", "foot", "banner", "notice", "notices", "notification", "alert", "disclaimer", "copyright", "toolbar", "tabs", "toc", "aside", "search", "form", "discussion", "responses", "promotion"}
+#: Words for boxes, which say nothing of what is in them.
+_BOXES = {
+    "box", "list", "section", "container", "wrapper", "wrap", "block", "area", "bar", "link", "links", "button", "buttons", "item", "items", "group", "inner", "outer", "left", "right", "top", "bottom", "primary", "secondary",
+    "site", "page", "global", "post", "posts", "article", "articles", "stories", "unit", "slot", "zone", "panel", "icons", "count", "thread", "feed", "module", "row", "col", "column", "sticky", "fixed", "mobile", "desktop", "reader", "user", "js", "form", "header", "footer", "title", "main",
 }
 _KEPT = {"html", "body", "article", "main"}
 #: Headings and paragraphs are named after what they tell of.
 _NAMED_FREELY = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
-#: A section of an article may have one of these as its anchor.
-_TOPICS = {"discussion", "responses", "search", "tabs", "form", "promotion", "consent", "copyright", "disclaimer", "notification"}
-#: Names that begin so tell what a layout holds or lacks, not what it is.
-_LAYOUT = re.compile(r"(?:has|with|without|no|not)[-_]", re.I)
 #: Words of parts that stay out even if they are most of a page, unless the article is inside.
-_OTHERS = {w for w in _DROPPED_WORDS if w.startswith(("ad", "comment", "cookie", "consent", "disqus", "gdpr", "repl", "respon", "sponsor"))}
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_OTHERS = {w for w in _BESIDE if w.startswith(("ad", "comment", "cookie", "consent", "disqus", "gdpr", "repl", "respon", "sponsor"))}
+_WORD = re.compile(r"[A-Z]?[a-z]++|[A-Z]++|[^a-zA-Z0-9_-]++")
 
 
 #: What an element's own tag and names say: it stays; it goes unless it holds most of the page; the same, but only around an article; it goes.
@@ -74,7 +81,7 @@ class Node:
 
 
 def _drops(tag: str, attributes: str, in_article: bool) -> int:
-    if tag in _DROPPED and tag != "form" or tag == "header" and not in_article:
+    if tag in _DROPPED or tag == "header" and not in_article:
         return OUT
     out = WEAK if tag == "form" else KEEP
     if not attributes or tag in _KEPT:
@@ -82,13 +89,13 @@ def _drops(tag: str, attributes: str, in_article: bool) -> int:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if tag in _NAMED_FREELY:
+            if tag in _NAMED_FREELY or name == "id" and tag == "section" and in_article:
                 continue
-            words = {w.lower() for x in value.split() if not _LAYOUT.match(x) for w in _WORD.findall(x)} & _DROPPED_WORDS
-            if name == "id" and tag == "section" and in_article:
-                words -= _TOPICS
-            if words:
-                out = max(out, FOREIGN if words & _OTHERS else WEAK)
+            beside = _BESIDE if in_article else _BESIDE | _BESIDE_OUTSIDE
+            for one in value.split():
+                words = {w.lower() for w in _WORD.findall(one)}
+                if words & beside and words <= beside | _BOXES:
+                    out = max(out, FOREIGN if words & _OTHERS else WEAK)
         elif name == "role" and value.lower() in _DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return OUT
     return out
@@ -131,70 +138,145 @@ def _settle(root: Node) -> None:
         nodes += [x for x in node.children if isinstance(x, Node)]
 
 
+class Reader:
+    """Finds the markup of a page, one piece after another, in linear time."""
+
+    def __init__(self, page: str):
+        self._page = page
+        self._none_after: dict[str, int] = {}
+
+    def _find(self, what: str, at: int) -> int:
+        """As str.find; that there is no more is looked up once."""
+        if at >= self._none_after.get(what, len(self._page) + 1):
+            return -1
+        found = self._page.find(what, at)
+        if found < 0:
+            self._none_after[what] = at
+        return found
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str]:
+        """From ``at`` on, the next markup's begin and end, whether it is an end tag, its name (None if it is no tag), attributes."""
+        page, n = self._page, len(self._page)
+        while True:
+            begin = self._find("<", at)
+            if begin < 0:
+                return n, n, False, None, ""
+            m = _PLAIN_TAG.match(page, begin)
+            if m:
+                return begin, m.end(), bool(m[1]), m[2], m[3]
+            after = page[begin + 1 : begin + 4]
+            if after == "!--":
+                end = self._find("-->", begin + 4)
+                return begin, n if end < 0 else end + 3, False, None, ""
+            if after[:1] in ("!", "?"):
+                end = self._find(">", begin)
+                return begin, n if end < 0 else end + 1, False, None, ""
+            closes = after[:1] == "/"
+            if not after[closes : closes + 1].isascii() or not after[closes : closes + 1].isalpha():
+                at = begin + 1  # a sign in the text
+                continue
+            name = _TAG_NAME.match(page, begin + 1 + closes)
+            end = self._attributes_end(name.end())
+            return begin, n if end is None else end + 1, closes, name[0] if end is not None else None, page[name.end() : end]
+
+    def _attributes_end(self, at: int) -> int | None:
+        """Where the tag's > is, or None if the page stops in the tag."""
+        page, n = self._page, len(self._page)
+        while True:
+            at = _BETWEEN.match(page, at).end()
+            if at >= n:
+                return None
+            if page[at] == ">":
+                return at
+            at = _ATTRIBUTE_NAME.match(page, at).end()
+            m = _EQUALS.match(page, at)
+            if m:
+                at = m.end()
+                quote = page[at : at + 1]
+                end = self._find(quote, at + 1) if quote in ('"', "'") else -1
+                at = end + 1 if end >= 0 else _UNQUOTED.match(page, at).end()
+
+
+class Open:
+    """The elements that are open, and where each kind is."""
+
+    def __init__(self):
+        self.tags = ["html"]
+        self._at: dict[str, list[int]] = {}
+        #: Of the first so many open elements, those that hold a paragraph open.
+        self._holding = [0, 0]
+
+    def push(self, tag: str) -> None:
+        self._at.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self._holding.append(self._holding[-1] + (tag in _BLOCK or tag in ("td", "th", "button", "object")))
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self._at[tag].pop()
+        self._holding.pop()
+        return tag
+
+    def last(self, tags) -> int:
+        """The place of the innermost of ``tags``, or 0."""
+        return max((places[-1] for t in tags if (places := self._at.get(t))), default=0)
+
+    def held_above(self, depth: int) -> bool:
+        return self._holding[-1] > self._holding[depth + 1]
+
+
 def parse(page: str) -> Node:
     root = Node("html", None, False)
     at = root
-    open_tags: list[str] = ["html"]
+    opened, reader = Open(), Reader(page)
     articles = 0
     place, n = 0, len(page)
 
     def close_to(depth: int) -> None:
         nonlocal at, articles
-        while len(open_tags) > depth:
-            articles -= open_tags.pop() in ("article", "main")
+        while len(opened.tags) > depth:
+            articles -= opened.pop() in ("article", "main")
             at = at.parent
 
     while place < n:
-        m = _TAG.search(page, place)
-        end = m.start() if m else n
-        if end > place:
-            text = page[place:end]
-            if not m:
-                text = re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", text)  # a tag that never ends
+        begin, end, closes, tag, attributes = reader.next(place)
+        if begin > place:
+            text = page[place:begin]
             at.children.append(entities.unescape(text) if "&" in text else text)
-        if not m:
-            break
-        place = m.end()
-        tag = m[2]
+        place = end
         if tag is None:
             continue
         tag = tag.lower()
-        if m[1]:
-            if tag in open_tags[1:]:
-                depth = len(open_tags) - 1 - open_tags[::-1].index(tag)
-                close_to(max(1, depth))
+        if closes:
+            if depth := opened.last((tag,)):
+                close_to(depth)
             elif tag == "br":
                 at.children.append(" ")
             continue
         if tag in _RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, place)
-            place = stop.end()
+            stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, place)
+            place = reader._find(">", stop.end()) + 1 if stop else n
+            place = place or n
             continue
         if tag in _VOID:
             at.children.append(Node("hr", at, False) if tag == "hr" else " ")
             continue
-        if tag in _BLOCK and "p" in open_tags:
-            # a paragraph ends where a block begins, unless something between holds it open
-            depth = len(open_tags) - 1 - open_tags[::-1].index("p")
-            if not any(t in ("td", "th", "button", "object") or t in _BLOCK for t in open_tags[depth + 1 :]):
-                close_to(depth)
+        if tag in _BLOCK and (depth := opened.last(("p",))) and not opened.held_above(depth):
+            close_to(depth)  # a paragraph ends where a block begins, unless something between holds it open
         if tag in _CLOSES:
             shut, bound = _CLOSES[tag]
-            for depth in range(len(open_tags) - 1, 0, -1):
-                if open_tags[depth] in bound:
+            while (depth := opened.last(shut)) > opened.last(bound):
+                close_to(depth)
+                if tag != "tr":
                     break
-                if open_tags[depth] in shut:
-                    close_to(depth)
-                    if tag != "tr":
-                        break
         if tag in ("html", "body"):
             continue
         child = Node(tag, at, False)
-        child.out = _drops(tag, m[3], articles > 0)
+        child.out = _drops(tag, attributes, articles > 0)
         at.children.append(child)
-        if not m[3].endswith("/") or tag in _BLOCK:
+        if not attributes.endswith("/") or tag in _BLOCK:
             at = child
-            open_tags.append(tag)
+            opened.push(tag)
             articles += tag in ("article", "main")
     _settle(root)
     return root
@@ -251,12 +333,18 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     for node, text, linked, links in found:
-        at: Node | None = node
-        while at is not None:
-            at.chars += len(text)
-            at.link_chars += linked
-            at.links += links
-            at = at.parent
+        node.chars += len(text)
+        node.link_chars += linked
+        node.links += links
+    nodes = [found[0][0]]
+    while nodes[0].parent is not None:
+        nodes[0] = nodes[0].parent
+    for node in nodes:
+        nodes += [x for x in node.children if isinstance(x, Node)]
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.link_chars += node.link_chars
+        node.parent.links += node.links
     scored: dict[int, Node] = {}
     for node, text, linked, _ in found:
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
@@ -278,12 +366,16 @@ def main_text(page: str | None) -> str:
     if at is not None:
         best = at
     keep = {id(best)}
-    if best.parent is not None and best.tag not in ("article", "main"):
+    if best.parent is not None and best.tag != "main":
         least = max(2.0, 0.2 * worth(best))
         for other in best.parent.children:
             if isinstance(other, Node) and other is not best and not other.dropped:
                 dense = other.link_chars / max(1, other.chars)
-                if other.points and worth(other) >= least or other.tag in ("p", "h1", "h2", "h3") and dense < 0.25:
+                if best.tag == "article":
+                    # beside an article, other articles with text of their own
+                    if other.tag == "article" and other.points and dense < 0.25:
+                        keep.add(id(other))
+                elif other.points and worth(other) >= least or other.tag in ("p", "h1", "h2", "h3") and dense < 0.25:
                     keep.add(id(other))
     lines = []
     inside: dict[int, bool] = {}
