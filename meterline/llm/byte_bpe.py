@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import json
+import struct
 import zlib
 from array import array
 from collections.abc import Callable
@@ -42,7 +43,7 @@ from meterline.llm.tokens import STOPS, cut_at_spaces, gathered, space_meets_whi
 BUCKETS = 8192
 NO_RANK = 2**31 - 1
 #: Text of a block, and of a batch that is cut at once.
-BLOCK_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
+BLOCK_BYTES, BATCH_BYTES = 32 << 20, 16 << 20
 #: Bytes of a word above which the fold, whose time grows with the square of them, gives way to a heap.
 LONG_WORD = 128
 #: Places of a word in one row, and answers that a task gathers before it writes them.
@@ -161,19 +162,30 @@ class Words:
 
 
 def pressed(numbers: np.ndarray) -> bytes:
-    """32-bit integers, compressed; bytes of like weight go together."""
-    return zstandard.compress(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), ZSTD_LEVEL)
+    """Numbers below 2**30, compressed: seven bits of each, then the next seven of those that have more, then the rest; bits of like weight go together."""
+    numbers = np.ascontiguousarray(numbers, np.uint32)
+    second = numbers[numbers >= 1 << 7]
+    third = second[second >= 1 << 14]
+    planes = (numbers & 127 | (numbers >= 1 << 7) * 128).astype(np.uint8), (second >> 7 & 127 | (second >= 1 << 14) * 128).astype(np.uint8), (third >> 14).astype("<u2")
+    return struct.pack("<QQ", len(numbers), len(second)) + zstandard.compress(b"".join(x.tobytes() for x in planes), ZSTD_LEVEL)
 
 
 def unpressed(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+    n, m = struct.unpack_from("<QQ", data)
+    planes = zstandard.decompress(memoryview(data)[16:])
+    out, second, third = np.frombuffer(planes, np.uint8, n).astype(np.int64), np.frombuffer(planes, np.uint8, m, n).astype(np.int64), np.frombuffer(planes, "<u2", -1, n + m)
+    longer = second >= 128
+    second[longer] += (third.astype(np.int64) << 7) - 128
+    longer = out >= 128
+    out[longer] += (second << 7) - 128
+    return out
 
 
 def numbered(docs: DataFrame, pattern: str) -> DataFrame:
-    """Blocks of whole texts as numbers of their words: ``counts``, each text's number of
-    words, ``numbers``, all their words, both compressed; and ``words``, the block's distinct words in the order of their numbers, as a compressed Arrow array.
+    """Blocks of whole texts as numbers of their words, the block's most frequent first: for each of some pieces, ``doc_ids``, ``counts``, each text's number of
+    words, and ``numbers``, all their words, compressed; and ``words``, the block's distinct words in the order of their numbers, as a compressed Arrow array.
     """
-    ddl = "doc_ids array<long>, counts binary, numbers binary, words binary"
+    ddl = "doc_ids array<array<long>>, counts array<binary>, numbers array<binary>, words binary"
     schema = arrow_schema(ddl)
 
     def number(batches):
@@ -182,11 +194,14 @@ def numbered(docs: DataFrame, pattern: str) -> DataFrame:
         doc_ids, counts, numbers, size = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            ids = pa.concat_arrays(doc_ids)
-            row = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(schema.field(0).type)]
-            row += [pa.array([x], pa.binary()) for x in (pressed(np.concatenate(counts)), pressed(np.concatenate(numbers)), as_bytes({"word": pa.array(list(known), pa.string())}))]
+            seen = sum(np.bincount(x, minlength=len(known)) for x in numbers)
+            order = np.argsort(-seen, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            words = pa.array(list(known), pa.string()).take(pa.array(order))
+            row = [[x.to_pylist() for x in doc_ids], [pressed(x) for x in counts], [pressed(rank[x]) for x in numbers], as_bytes({"word": words})]
             known.clear(), doc_ids.clear(), counts.clear(), numbers.clear()
-            return pa.RecordBatch.from_arrays(row, schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
             for some in slices(batch, "text", BATCH_BYTES):
@@ -205,9 +220,15 @@ def numbered(docs: DataFrame, pattern: str) -> DataFrame:
                         starts.append(len(places))
                 begins = np.array(starts, np.int64)
                 found, n = gathered(units.numbers, begins[:-1], np.diff(begins), np.frombuffer(places, np.int32) if places else np.empty(0, np.int32))
-                doc_ids.append(some.column("doc_id"))
-                counts.append(np.add.reduceat(n, units.begins[:-1]))
-                numbers.append(found)
+                of_text = np.add.reduceat(n, units.begins[:-1])
+                ends = np.cumsum(of_text)
+                # a piece has about a quarter of the batch's words
+                edges = np.unique(np.searchsorted(ends, np.arange(1, 4) * (len(found) // 4)))
+                for first, last in zip([0, *edges.tolist()], [*edges.tolist(), len(of_text)]):
+                    if first < last:
+                        doc_ids.append(some.column("doc_id").slice(first, last - first))
+                        counts.append(of_text[first:last])
+                        numbers.append(found[ends[first] - of_text[first] : ends[last - 1]])
         if doc_ids:
             yield block()
         release()
@@ -310,25 +331,22 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         starts[at], sizes[at] = np.cumsum(sizes_of) - sizes_of, sizes_of
         pool = ids.astype("<u4")
         rows = []
-        for doc_ids, counts, numbers in zip(*(group[c] for c in ("doc_ids", "counts", "numbers"))):
-            counts, numbers = unpressed(counts.as_py()), unpressed(numbers.as_py())
+        for doc_ids, counts, numbers in zip(*(group[c].combine_chunks().flatten() for c in ("doc_ids", "counts", "numbers"))):
+            n, numbers = unpressed(counts.as_py()), unpressed(numbers.as_py())
             if len(numbers) and (numbers.max() >= known or sizes[numbers].min() < 0):
                 raise KeyError("a word of the block was not asked for")
-            # some documents at a time
-            ends = np.cumsum(counts)
-            for first in range(0, len(counts), 4096):
-                n = counts[first : first + 4096]
-                begin = int(ends[first] - counts[first])
-                values, each = gathered(numbers[begin : begin + int(n.sum())], starts, sizes, pool)
-                # a text without words has no ids
-                tokens = np.diff(np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])])
-                bounds = 4 * np.concatenate([[0], np.cumsum(tokens)])
-                binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-                rows.append(pa.RecordBatch.from_arrays([doc_ids.values.slice(first, len(n)), pa.array(tokens), binary], schema=answered))
+            values, each = gathered(numbers, starts, sizes, pool)
+            # a text without words has no ids
+            tokens = np.diff(np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])])
+            bounds = 4 * np.concatenate([[0], np.cumsum(tokens)])
+            binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+            rows.append(pa.RecordBatch.from_arrays([doc_ids.values, pa.array(tokens), binary], schema=answered))
+        release()
         return pa.Table.from_batches(rows, schema=answered)
 
     words = distinct_words(dealt, max(1, 2 * dealt.count()), path)
-    ids = F.when(F.col("long").isNull(), encode_word(F.col("word"), rank_map(path))).otherwise(F.col("long"))
+    # the map is named once, so that the plan holds it once
+    ids = F.when(F.col("long").isNull(), let(rank_map(path), lambda ranks: encode_word(F.col("word"), ranks))).otherwise(F.col("long"))
     answers = by_block(words.select("blocks", "places", ids.alias("ids")))
     return dealt.groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(answer, ENCODED)
 
