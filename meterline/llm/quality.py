@@ -202,7 +202,9 @@ def train(counted: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """Fits on at most ``sample_rows`` labelled rows. The rows' counts, some numbers each, come to the driver; texts do not."""
     told = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     rows = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    known = rows.join(counted.dropDuplicates(["doc_id"]).where("not base_failed"), "doc_id").select("quality", *COUNTS).toPandas()
+    # of several texts under one id, that of the smallest hash
+    one = counted.groupBy("doc_id").agg(F.min_by(F.struct("base_failed", *COUNTS), "text_hash").alias("first")).select("doc_id", "first.*")
+    known = rows.join(one.where("not base_failed"), "doc_id").select("quality", *COUNTS).toPandas()
     if known["quality"].nunique() < 2:
         return None
     known = known.sort_values(list(known.columns))

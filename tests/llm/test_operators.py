@@ -263,6 +263,20 @@ def test_exact_topk(spark, monkeypatch):
     assert exact_topk.top_k(df.select("vec_id", "embedding").limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_exact_topk_of_large_numbers(spark):
+    rng = np.random.default_rng(7)
+    vectors = np.floor(rng.normal(size=(120, 12)) * 2.0**26) / 256
+    vectors[60:] = vectors[:60] + rng.integers(-1, 2, (60, 12)) / 256
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in exact_topk.top_k(df, "vec_id % 50 = 0").collect())
+    held = [[int(x) for x in np.floor(256 * v)] for v in vectors]
+    want = []
+    for i in range(0, 120, 50):
+        best = sorted((-sum(a * b for a, b in zip(held[i], c)), j) for j, c in enumerate(held) if j != i)[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == want and max(s for *_, s in got) > 2**52
+
+
 def plain_components(rows, width, percent=80):
     def shingles(text):
         w = text.encode().lower().split()
