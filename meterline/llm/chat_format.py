@@ -1,14 +1,14 @@
 """Chat formatting: roles of raw transcripts by a hidden Markov model, and canonical turns.
 
 A transcript is lines (conv_id, line, text) with increasing line numbers. A line's hidden
-state is a role and whether it begins a turn; what is seen are its speaker marker, length, last character and blank lines before. The
+state is a role and whether it begins a turn; what is seen are its speaker marker (of a role, or some other name), length, last character and blank lines before. The
 model's tables are counted from labelled lines. Viterbi runs over spans of ``SPAN`` line
 numbers: each span gives its best score from every state to every state, a conversation's
 spans are chained, and each span then finds its path between the states chosen for its
-edges. So the longest conversation is split over tasks like any other.
+edges. So the longest conversation is split over tasks like any other; a single turn's lines stay in one span.
 
 Defined results: null text is an empty line; a transcript without markers is read by its
-other features; the first line always begins a turn; repeated lines of one number are all kept, in the order of their
+other features; a speaker who is none of the three roles is read as the likeliest of them, and a name that no role goes by stays in the text; the first line always begins a turn; repeated lines of one number are all kept, in the order of their
 text; a null conv_id is a conversation of its own; an empty table gives an empty one; other columns are ignored.
 """
 
@@ -26,13 +26,17 @@ ROLES = ("system", "user", "assistant")
 STATES = [(role, begins) for role in ROLES for begins in (True, False)]
 #: Ways in which transcripts name a speaker at the start of a turn.
 MARKERS = {"system": ("System", "Instructions", "SYSTEM"), "user": ("User", "Human", "Q", "Customer"), "assistant": ("Assistant", "AI", "A", "Bot")}
-#: Line numbers of a turn and of a span of turns.
-TURN, SPAN = 1 << 20, 1 << 29
+#: Names that transcripts also use and that the model is not told of.
+OTHER_NAMES = {"system": "Setup", "user": "Client", "assistant": "Helper"}
+#: A name before a colon at the start of a line.
+NAMED = r"^\s*(?:#+\s*|\*\*|\[)?[A-Z][A-Za-z]{0,15}(?:\*\*|\])?\s*:\s"
+#: Line numbers of a turn and of a span of turns; a turn may have as many lines as an int counts.
+TURN, SPAN = 1 << 31, 1 << 40
 #: Lines that one task works on, about.
 TASK_LINES = 50_000
 #: Spans that one task chains, about.
 CHAIN_SPANS = 20_000
-FEATURES = {"marker": 4, "size": 6, "last": 4, "gap": 2, "first": 2}
+FEATURES = {"marker": 5, "size": 6, "last": 4, "gap": 2, "first": 2}
 
 
 def marker_pattern(role: str) -> str:
@@ -42,12 +46,12 @@ def marker_pattern(role: str) -> str:
 def seen(lines: DataFrame) -> DataFrame:
     """Adds what is observed of each line, a small integer for each of FEATURES but ``gap`` and ``first``, which need the line before."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    marker = F.lit(0)
+    marker = F.when(text.rlike(NAMED), 4).otherwise(0)
     for k, role in enumerate(ROLES, 1):
         marker = F.when(text.rlike(marker_pattern(role)), k).otherwise(marker)
     size = F.least(F.lit(5), F.floor(F.log2(F.length(text) + 1) / 2)).cast("int")
     last = F.when(text.rlike(r"\?\s*$"), 1).when(text.rlike(r"[.!]\s*$"), 2).when(text.rlike(r":\s*$"), 3).otherwise(0)
-    return lines.select("conv_id", F.col("line").cast("long").alias("line"), text.alias("text"), marker.alias("marker"), size.alias("size"), last.alias("last"), *[c for c in ("state",) if c in lines.columns])
+    return lines.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("line").cast("long").alias("line"), text.alias("text"), marker.alias("marker"), size.alias("size"), last.alias("last"), *[c for c in ("state",) if c in lines.columns])
 
 
 def _dealt(lines: DataFrame) -> DataFrame:
@@ -61,15 +65,30 @@ def _chains(dealt: DataFrame) -> int:
     return max(64, -(-dealt.select("conv_id", "span").distinct().count() // CHAIN_SPANS))
 
 
+def _runs(rows: pa.Table, columns: tuple[str, ...]):
+    """The runs of equal values in sorted rows: the values, a null as None, and the rows."""
+    if not rows.num_rows:
+        return
+    changed = np.zeros(rows.num_rows, bool)
+    changed[0] = True
+    for c in columns:
+        missing, values = rows[c].is_null().to_numpy(), rows[c].fill_null(0).to_numpy()
+        changed[1:] |= (missing[1:] != missing[:-1]) | (values[1:] != values[:-1])
+    begins = np.flatnonzero(changed)
+    for begin, n in zip(begins.tolist(), np.diff(np.append(begins, rows.num_rows)).tolist()):
+        part = rows.slice(begin, n)
+        yield tuple(part[c][0].as_py() for c in columns), part
+
+
 def _spans(group: pa.Table):
     """Each span of a group: its key, its rows in order, and its features as an array."""
-    df = group.to_pandas().sort_values(["conv_id", "span", "line", "text"], kind="stable").reset_index(drop=True)
-    for key, rows in df.groupby(["conv_id", "span"], sort=False, dropna=False).indices.items():
-        part = df.iloc[np.sort(rows)]
-        gap = np.concatenate([[0], (part["size"].to_numpy()[:-1] == 0).astype(int)])
-        first = np.zeros(len(part), int)
+    rows = group.sort_by([(c, "ascending") for c in ("conv_id", "span", "line", "text")]).combine_chunks()
+    for key, part in _runs(rows, ("conv_id", "span")):
+        marker, size, last = (part[c].to_numpy() for c in ("marker", "size", "last"))
+        gap = np.concatenate([[0], (size[:-1] == 0).astype(int)])
+        first = np.zeros(len(size), int)
         first[0] = key[1] == 0
-        yield key, part, np.column_stack([part["marker"], part["size"], part["last"], gap, first]).astype(int)
+        yield key, part, np.column_stack([marker, size, last, gap, first]).astype(int)
 
 
 def count_model(labelled: DataFrame) -> dict[tuple[str, int, int], int]:
@@ -140,7 +159,7 @@ class Model:
 
 def parse(lines: DataFrame, model: Model) -> DataFrame:
     """conv_id, line, text, role, and turn, the number of the line that begins the line's turn."""
-    dealt = written(_dealt(seen(lines)), "lines")
+    dealt = written(_dealt(seen(lines.drop("state"))), "lines")
     moves_ddl = "conv_id long, span long, scores array<double>"
     moves_schema = arrow_schema(moves_ddl)
     n = len(STATES)
@@ -151,7 +170,7 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
             scores = model.transfer(features) if key[1] else np.tile(model.start + model.emitted(features)[0], (n, 1))
             if not key[1] and len(features) > 1:
                 scores = (scores[:, :, None] + model.transfer(features[1:])[None]).max(axis=1)
-            rows.append((None if key[0] != key[0] else int(key[0]), int(key[1]), scores.ravel()))
+            rows.append((*key, scores.ravel()))
         return pa.Table.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(moves_schema)], schema=moves_schema)
 
     edges_ddl = "conv_id long, span long, before int, end int"
@@ -159,10 +178,10 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
 
     def chain(group: pa.Table) -> pa.Table:
         rows = []
-        df = group.to_pandas().sort_values(["conv_id", "span"])
-        for conv, part in df.groupby("conv_id", sort=False, dropna=False):
-            at, back, spans = None, [], part["span"].tolist()
-            for k, scores in enumerate(part["scores"]):
+        ordered = group.sort_by([("conv_id", "ascending"), ("span", "ascending")]).combine_chunks()
+        for (conv,), part in _runs(ordered, ("conv_id",)):
+            at, back, spans = None, [], part["span"].to_pylist()
+            for scores in part["scores"].to_pylist():
                 m = np.asarray(scores).reshape(n, n)
                 if at is None:
                     # without a first span, the conversation starts here
@@ -174,7 +193,7 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
             end = int(at.argmax())
             for k in range(len(spans) - 1, -1, -1):
                 before = int(back[k][end])
-                rows.append((None if conv != conv else int(conv), spans[k], before, end))
+                rows.append((conv, spans[k], before, end))
                 end = before
         return pa.Table.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(edges_schema)], schema=edges_schema)
 
@@ -185,15 +204,13 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
         edge = {(c, s): (b, e) for c, s, b, e in zip(*(told[c].to_pylist() for c in ("conv_id", "span", "before", "end")))}
         out = []
         for (conv, span), part, features in _spans(group):
-            conv = None if conv != conv else int(conv)
-            states = model.path(features, *edge[conv, int(span)])
+            states = model.path(features, *edge[conv, span])
             turn = None
-            for line, text, s in zip(part["line"], part["text"], states):
-                turn = int(line) if STATES[s][1] else turn
-                out.append((conv, int(span), int(line), text, STATES[s][0], turn))
+            for line, text, s in zip(part["line"].to_pylist(), part["text"].to_pylist(), states):
+                turn = line if STATES[s][1] else turn
+                out.append((conv, span, line, text, STATES[s][0], turn))
         return pa.Table.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(named_schema)], schema=named_schema)
 
-    dealt = dealt.withColumn("conv_id", F.col("conv_id").cast("long"))
     keys = F.pmod(F.xxhash64("conv_id"), F.lit(_chains(dealt)))
     edges = dealt.groupBy("task").applyInArrow(moves, moves_ddl).withColumn("key", keys).groupBy("key").applyInArrow(chain, edges_ddl)
     tasks = dealt.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), F.col("task").alias("at")).distinct()
@@ -225,20 +242,20 @@ def render(parsed: DataFrame) -> DataFrame:
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """Raw transcript lines of the table's turns, with ``state`` as label: speakers are named in one of several ways,
+    """Raw transcript lines of the table's turns, with ``state`` as label: speakers are named in one of several ways, a twentieth by a name that no role goes by,
     or not at all after a blank line, as a hash of the turn decides.
     """
     key = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(20)).cast("int")
     lead = F.lit("")
     for role, names in MARKERS.items():
         forms = F.array(*(F.lit(f.format(x)) for x in names for f in ("{}: ", "**{}**: ", "### {}: ", "[{}]: ")))
-        lead = F.when((F.col("role") == role) & (key % 5 > 0), F.get(forms, F.pmod(F.xxhash64("turn", "conv_id"), F.size(forms)).cast("int"))).otherwise(lead)
+        lead = F.when((F.col("role") == role) & (key == 1), f"{OTHER_NAMES[role]}: ").when((F.col("role") == role) & (key % 5 > 0), F.get(forms, F.pmod(F.xxhash64("turn", "conv_id"), F.size(forms)).cast("int"))).otherwise(lead)
     body = F.concat(F.when(key % 5 == 0, "\n").otherwise(lead), F.coalesce("text", F.lit("")))
     rows = conversations.select("conv_id", "turn", "role", F.posexplode(F.split(body, "\n")).alias("k", "text"))
     state = F.lit(None).cast("int")
     for s, (role, begins) in enumerate(STATES):
         state = F.when((F.col("role") == role) & ((F.col("k") == 0) == F.lit(begins)), s).otherwise(state)
-    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), (F.col("turn") * TURN + F.col("k")).cast("long").alias("line"), "text", state.alias("state"))
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), (F.col("turn").cast("long") * TURN + F.col("k")).cast("long").alias("line"), "text", state.alias("state"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
