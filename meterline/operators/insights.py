@@ -117,7 +117,7 @@ def model_findings(evaluation: DataFrame, importance: DataFrame) -> DataFrame:
     """The model's gain over the naive baseline and its strongest input, as facts."""
     best = importance.agg(F.min_by("feature", F.struct(-F.col("importance"), "feature")).alias("feature"))
     baseline = F.col("rmse") / (1 - F.col("improvement_pct") / 100)
-    gain = F.format_string("%.0f %% more accurate than the baseline (%.1f and %.1f minutes of error)", "improvement_pct", "rmse", baseline)
+    gain = F.format_string("%.0f %% more accurate than the baseline (%.1f minutes of error against %.1f)", "improvement_pct", "rmse", baseline)
     facts = evaluation.crossJoin(best).select(gain.alias("gain"), F.concat(F.lit("strongest predictor: "), F.col("feature")).alias("strongest"))
     return facts.selectExpr("stack(2, 'model_gain', gain, 'strongest_input', strongest) AS (fact, text)")
 

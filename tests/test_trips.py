@@ -166,7 +166,7 @@ def test_model_errors_are_those_of_its_predictions(spark):
     rmse = (sum(e * e for e in errors) / len(errors)) ** 0.5
     assert abs(got.rmse - rmse) < 1e-9 and abs(got.mae - sum(map(abs, errors)) / len(errors)) < 1e-9 and abs(got.improvement_pct - 100 * (1 - rmse / 20)) < 1e-9 and (got.train_rows, got.test_rows) == (160, 40)
     facts = dict(map(tuple, insights.model_findings(spark.createDataFrame([(8.0, 50.0)], "rmse double, improvement_pct double"), spark.createDataFrame([("b", 0.2), ("a", 0.7)], "feature string, importance double")).collect()))
-    assert facts == {"model_gain": "50 % more accurate than the baseline (16.0 and 8.0 minutes of error)", "strongest_input": "strongest predictor: a"}
+    assert facts == {"model_gain": "50 % more accurate than the baseline (8.0 minutes of error against 16.0)", "strongest_input": "strongest predictor: a"}
 
 
 def test_late_rows_are_dropped_and_restart_goes_on(spark, tmp_path):
