@@ -28,7 +28,6 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -47,7 +46,9 @@ BLOCK_BYTES, BATCH_BYTES = 32 << 20, 16 << 20
 #: Bytes of a word above which the fold, whose time grows with the square of them, gives way to a heap.
 LONG_WORD = 128
 #: Places of a word in one row, and answers that a task gathers before it writes them.
-ASKERS, HELD_ANSWERS = 10_000, 1_000_000
+ASKERS, HELD_ANSWERS = 10_000, 500_000
+#: Ids, in bytes, that are decoded at once.
+DECODED_BYTES = 4 << 20
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 #: Unicode's White_Space property, as the tiktoken library reads \s.
@@ -248,13 +249,16 @@ def distinct_words(dealt: DataFrame, buckets: int, path: str) -> DataFrame:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = as_table(data.as_py())["word"].combine_chunks()
-                bucket = (pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False) % np.uint64(buckets)).astype(np.int32)
+                bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words.to_pylist()), np.int32, len(words))
                 order = np.argsort(bucket, kind="stable")
                 found, first = np.unique(bucket[order], return_index=True)
                 rows = [(k, block, pressed(at), as_bytes({"word": words.take(pa.array(at))})) for k, at in zip(found.tolist(), np.split(order, first[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, asks_schema)], schema=asks_schema)
+                del words, bucket, order, rows
+                release()
 
     def gather(group: pa.Table) -> pa.Table:
+        release()
         words = [as_table(x.as_py())["word"].combine_chunks() for x in group["words"]]
         blocks = np.repeat(group["block"].to_numpy(), list(map(len, words)))
         places = np.concatenate([unpressed(x.as_py()) for x in group["places"]])
@@ -359,8 +363,11 @@ def decode(tokens: DataFrame, path: str, keep: str = "doc_id long, n_tokens long
     def concatenate(batches):
         piece = pieces(path).__getitem__
         for batch in batches:
-            out = [b"".join(map(piece, memoryview(x).cast("I"))) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], schema=schema)
+            for some in slices(batch, "ids", DECODED_BYTES):
+                out = pa.array([b"".join(map(piece, memoryview(x.as_buffer() if x.is_valid else b"").cast("I"))) for x in some.column("ids")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in names), out], schema=schema)
+                del out
+            release()
 
     return tokens.select(*names).mapInArrow(concatenate, ddl)
 
