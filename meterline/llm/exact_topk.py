@@ -27,7 +27,9 @@ from meterline.llm.shared import arrow_schema, table, written
 
 #: Vectors of a candidate block, queries of a task, about, and candidate blocks of a task. Each block of candidates is copied
 #: once for each ``QUERIES`` queries: what is compared grows with the square of the rows, but what is copied is a few thousand times less.
-BLOCK, QUERIES, SLICE = 4096, 8192, 16
+BLOCK, QUERIES, SLICE = 4096, 8192, 2
+#: Partitions that the meetings are dealt over, at most; they hold few bytes and much work, so they are not to be coalesced.
+MOST_PARTITIONS = 20_000
 #: Dimensions added at a time.
 STEP = 8
 COLUMNS = "dims int, n int, asks int, uids binary, ids binary, wanted binary, kind string, columns binary"
@@ -166,7 +168,9 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> Da
             rows = [(int(u), int(i), vec_id, uid, score) for u, i, best in zip(uids, ids, held.best) for score, vec_id, uid in best]
         return pa.Table.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(found_schema)], schema=found_schema)
 
-    met = queries.groupBy("dims", "group", "slice").cogroup(sliced.select("dims", "group", "slice", "uids", "ids", "kind", "columns").groupBy("dims", "group", "slice"))
+    parts, key = min(2 * groups * slices, MOST_PARTITIONS), ("dims", "group", "slice")
+    sliced = sliced.select(*key, "uids", "ids", "kind", "columns")
+    met = queries.repartition(parts, *key).groupBy(*key).cogroup(sliced.repartition(parts, *key).groupBy(*key))
     found = met.applyInArrow(search, found_ddl)
     order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
