@@ -183,7 +183,7 @@ def unpressed(data: bytes) -> np.ndarray:
 
 
 def numbered(docs: DataFrame, pattern: str) -> DataFrame:
-    """Blocks of whole texts as numbers of their words, the block's most frequent first: for each of some pieces, ``doc_ids``, ``counts``, each text's number of
+    """Blocks of whole texts as numbers of their words, the block's most frequent first and the others in order: for each of some pieces, ``doc_ids``, ``counts``, each text's number of
     words, and ``numbers``, all their words, compressed; and ``words``, the block's distinct words in the order of their numbers, as a compressed Arrow array.
     """
     ddl = "doc_ids array<array<long>>, counts array<binary>, numbers array<binary>, words binary"
@@ -196,10 +196,16 @@ def numbered(docs: DataFrame, pattern: str) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             seen = sum(np.bincount(x, minlength=len(known)) for x in numbers)
-            order = np.argsort(-seen, kind="stable")
+            words = pa.array(list(known), pa.string())
+            # frequent words get short numbers; the others are in order, which compresses well
+            place = np.empty(len(words), np.int64)
+            place[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+            often = np.argsort(-seen, kind="stable")[: 1 << 14]
+            place[often] = np.arange(-len(often), 0)
+            order = np.argsort(place)
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            words = pa.array(list(known), pa.string()).take(pa.array(order))
+            words = words.take(pa.array(order))
             row = [[x.to_pylist() for x in doc_ids], [pressed(x) for x in counts], [pressed(rank[x]) for x in numbers], as_bytes({"word": words})]
             known.clear(), doc_ids.clear(), counts.clear(), numbers.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
@@ -252,7 +258,7 @@ def distinct_words(dealt: DataFrame, buckets: int, path: str) -> DataFrame:
                 bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words.to_pylist()), np.int32, len(words))
                 order = np.argsort(bucket, kind="stable")
                 found, first = np.unique(bucket[order], return_index=True)
-                rows = [(k, block, pressed(at), as_bytes({"word": words.take(pa.array(at))})) for k, at in zip(found.tolist(), np.split(order, first[1:]))]
+                rows = [(k, block, pressed(np.diff(at, prepend=0)), as_bytes({"word": words.take(pa.array(at))})) for k, at in zip(found.tolist(), np.split(order, first[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, asks_schema)], schema=asks_schema)
                 del words, bucket, order, rows
                 release()
@@ -261,7 +267,7 @@ def distinct_words(dealt: DataFrame, buckets: int, path: str) -> DataFrame:
         release()
         words = [as_table(x.as_py())["word"].combine_chunks() for x in group["words"]]
         blocks = np.repeat(group["block"].to_numpy(), list(map(len, words)))
-        places = np.concatenate([unpressed(x.as_py()) for x in group["places"]])
+        places = np.concatenate([np.cumsum(unpressed(x.as_py())) for x in group["places"]])
         coded = pa.concat_arrays(words).dictionary_encode()
         numbers = coded.indices.to_numpy()
         order = np.argsort(numbers, kind="stable")
@@ -281,7 +287,7 @@ def distinct_words(dealt: DataFrame, buckets: int, path: str) -> DataFrame:
 
 
 def by_block(answers: DataFrame) -> DataFrame:
-    """(asked_by, places, sizes, ids): answers of some words to a block in one row, compressed."""
+    """(asked_by, places, sizes, ids): answers of some words to a block in one row, compressed; places as steps from one to the next."""
     ddl = "asked_by long, places binary, sizes binary, ids binary"
     schema = arrow_schema(ddl)
 
@@ -300,7 +306,7 @@ def by_block(answers: DataFrame) -> DataFrame:
             n = sizes[:, 0]
             order = np.lexsort((places, blocks))
             found, first = np.unique(blocks[order], return_index=True)
-            out = [(k, pressed(places[x]), pressed(n[x]), pressed(gathered(x, starts, n, pool)[0])) for k, x in zip(found.tolist(), np.split(order, first[1:]))]
+            out = [(k, pressed(np.diff(places[x], prepend=0)), pressed(n[x]), pressed(gathered(x, starts, n, pool)[0])) for k, x in zip(found.tolist(), np.split(order, first[1:]))]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -329,7 +335,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     answered = arrow_schema(ENCODED)
 
     def answer(key, group, told):
-        at, sizes_of, ids = (np.concatenate([unpressed(x.as_py()) for x in told[c]] or [np.empty(0, np.int64)]) for c in ("places", "sizes", "ids"))
+        at, sizes_of, ids = (np.concatenate([f(unpressed(x.as_py())) for x in told[c]] or [np.empty(0, np.int64)]) for c, f in (("places", np.cumsum), ("sizes", np.asarray), ("ids", np.asarray)))
         known = int(at.max(initial=-1)) + 1
         starts, sizes = np.zeros(known, np.int64), np.full(known, -1, np.int64)
         starts[at], sizes[at] = np.cumsum(sizes_of) - sizes_of, sizes_of
@@ -352,7 +358,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     # the map is named once, so that the plan holds it once
     ids = F.when(F.col("long").isNull(), let(rank_map(path), lambda ranks: encode_word(F.col("word"), ranks))).otherwise(F.col("long"))
     answers = by_block(words.select("blocks", "places", ids.alias("ids")))
-    return dealt.groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(answer, ENCODED)
+    return dealt.drop("words").groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(answer, ENCODED)
 
 
 def decode(tokens: DataFrame, path: str, keep: str = "doc_id long, n_tokens long, ids binary") -> DataFrame:
