@@ -243,6 +243,26 @@ def test_trees_are_monotonic_and_learn():
     assert (np.diff(trees.score(grid)) <= 1e-12).all()
 
 
+def test_flat_trees_score_as_a_walk_through_them():
+    rng = np.random.default_rng(4)
+    x = rng.uniform(size=(300, 3))
+    trees = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] < 0.7).astype(float), [-1, 0, 0], trees=12)
+
+    def walk(row, at):
+        while trees.feature[at] >= 0:
+            at = trees.left[at] if row[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+        return trees.value[at]
+
+    assert np.allclose(trees.score(x), [trees.start + sum(walk(row, root) for root in trees.roots) for row in x])
+
+
+def test_one_text_of_an_id_teaches_the_model_whatever_the_order(spark, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    twice = docs.select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 1).alias("doc_id"), "text"))
+    a, b = (collections.Counter(map(tuple, quality.rate(d, labels).collect())) for d in (twice, twice.orderBy(F.desc("text"))))
+    assert a == b
+
+
 def test_exact_topk(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "BLOCK", 64)
     monkeypatch.setattr(exact_topk, "SLICE", 2)
