@@ -1,6 +1,6 @@
 """The queries of this subpackage, for ``__spark_entry__.py``."""
 
-from meterline.llm import byte_bpe, chat_format, exact_topk, html_text, lm_score, near_dedup, packing, quality, secrets, token_output
+from meterline.llm import byte_bpe, chat_format, exact_topk, html_text, lm_score, near_dedup, packing, periodic, preference, quality, secrets, token_links, token_output
 
 
 def queries() -> dict:
@@ -15,6 +15,9 @@ def queries() -> dict:
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_html_text": html_text.op9_html_text,
         "op10_token_output": token_output.op10_token_output,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_token_links": token_links.op12_token_links,
+        "op13_preference": preference.op13_preference,
     }
 
 
