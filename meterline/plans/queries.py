@@ -12,8 +12,8 @@ from meterline.functions import derive as D
 from meterline.operators import enrich, gold, insights, reconcile, rules, serving
 from meterline.plans import duration
 from meterline.plans.contract import CURATED_SCHEMA
-from meterline.sources import fixtures, trips
-from meterline.sources.folders import scratch
+from meterline.sources import fixtures, manifest, trips
+from meterline.sources.folders import file_system, scratch
 from meterline.streaming import zones as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,10 +322,15 @@ on_gold("month_summary", "daily", served(serving.daily_rows, lambda t: serving.m
 
 
 # Sources and sinks: each writes what it reads to the shared folder
-def _bronze(s: SparkSession, d: str) -> DataFrame:
-    """All raw trips as files of their months. One more month is asked for and missing."""
+def _bronze_files(s: SparkSession, d: str) -> tuple[str, list[tuple[int, int]]]:
+    """All raw trips as files of their months: the folder and the months."""
     root = scratch(s, "bronze")
-    there = trips.write_bronze(fixtures.raw_trips(s, d), root, "yellow")
+    return root, trips.write_bronze(fixtures.raw_trips(s, d), root, "yellow")
+
+
+def _bronze(s: SparkSession, d: str) -> DataFrame:
+    """One more month is asked for and missing."""
+    root, there = _bronze_files(s, d)
     return trips.scan_bronze(s, root, "yellow", [*there, (2050, 1)])
 
 
@@ -335,9 +340,60 @@ def _month_sums(bronze: DataFrame) -> DataFrame:
 
 BRONZE_SQL = f"WITH {FIXTURE} SELECT file_year, file_month, count(*) AS n, sum(trip_distance) AS miles FROM raw GROUP BY file_year, file_month"
 add("scan_bronze", lambda s, d: _month_sums(_bronze(s, d)), BRONZE_SQL)
-add("scan_bronze_all_months", QUERIES["scan_bronze"], BRONZE_SQL)
-add("bronze_manifest", lambda s, d: trips.bronze_manifest(_bronze(s, d)))
-add("gold_freshness", lambda s, d: trips.layer_freshness(_bronze(s, d)))
+
+#: How months store their columns, by the number of the month: ids as 64-bit numbers and passengers as whole ones, no tips, and a name in small letters with times without a zone.
+LAYOUTS: list[Callable[[DataFrame], DataFrame]] = [
+    lambda t: t,
+    lambda t: t.withColumns({"PULocationID": F.col("PULocationID").cast("long"), "DOLocationID": F.col("DOLocationID").cast("long"), "passenger_count": F.col("passenger_count").cast("long")}),
+    lambda t: t.drop("tip_amount"),
+    lambda t: t.withColumnRenamed("PULocationID", "pulocationid").withColumn("dropoff_ts", F.col("dropoff_ts").cast("timestamp_ntz")),
+]
+
+
+def _unlike_months(s: SparkSession, d: str) -> DataFrame:
+    root, raw = scratch(s, "bronze"), fixtures.raw_trips(s, d)
+    number = (F.col("file_year") * 12 + F.col("file_month")) % len(LAYOUTS)
+    there = [m for k, layout in enumerate(LAYOUTS) for m in trips.write_bronze(layout(raw.where(number == k)), root, "yellow")]
+    return D.widen_types(trips.scan_bronze(s, root, "yellow", sorted(there)))
+
+
+def _unlike_sums(bronze: DataFrame) -> DataFrame:
+    sums = [F.sum("PULocationID").alias("pickups"), F.sum("passenger_count").alias("passengers"), F.sum("tip_amount").alias("tips"), F.max("dropoff_ts").alias("latest"), F.max(F.typeof("PULocationID")).alias("id_type")]
+    return bronze.groupBy("file_year", "file_month").agg(F.count("*").alias("n"), *sums)
+
+
+UNLIKE_SQL = f"""WITH {FIXTURE} SELECT file_year, file_month, count(*) AS n, CAST(sum(PULocationID) AS BIGINT) AS pickups, sum(passenger_count) AS passengers, CASE WHEN (file_year*12 + file_month) % {len(LAYOUTS)} <> 2 THEN sum(tip_amount) END AS tips,
+ max(dropoff_ts) AS latest, 'int' AS id_type FROM raw GROUP BY file_year, file_month"""
+add("scan_bronze_all_months", lambda s, d: _unlike_sums(_unlike_months(s, d)), UNLIKE_SQL)
+add("curate_unlike_months", lambda s, d: by_month(fixtures.curate(s, d, _unlike_months(s, d).fillna(0.0, ["tip_amount"]))), f"WITH {CURATED} SELECT year, month, count(*) AS n, sum(total_amount) AS total FROM curated GROUP BY year, month")
+
+
+def _manifest(s: SparkSession, d: str) -> DataFrame:
+    root, there = _bronze_files(s, d)
+    return manifest.bronze_manifest(manifest.present_files(s, root, "yellow"), trips.scan_bronze(s, root, "yellow", there))
+
+
+def _refreshed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Curates all months, then, after one month's trips came twice and one month's files went, what had changed: the changes, the curated layer and the manifest."""
+    root, _ = _bronze_files(s, d)
+    layer, told = scratch(s, "curated"), scratch(s, "manifest")
+    curate = lambda raw: fixtures.curate(s, d, raw)
+    manifest.refresh(s, root, "yellow", layer, told, curate)
+    month = fixtures.raw_trips(s, d).where("file_year = 1995 and file_month = 3")
+    trips.write_bronze(month.unionByName(month), root, "yellow")
+    fs, path = file_system(s, root)
+    fs.delete(path(f"{root}/yellow_tripdata_1996-01.parquet"), True)
+    found = manifest.refresh(s, root, "yellow", layer, told, curate)
+    return found, trips.scan_curated(s, layer), manifest.stored_manifest(s, told)
+
+
+add("bronze_manifest", lambda s, d: _manifest(s, d).select("file", "bytes", "rows"))
+add("bronze_manifest_rows", lambda s, d: _manifest(s, d).groupBy("year", "month").agg(F.sum("rows").alias("rows")), f"WITH {FIXTURE} SELECT file_year AS year, file_month AS month, count(*) AS rows FROM raw GROUP BY file_year, file_month")
+AGAIN = "CASE WHEN {0}year = 1995 AND {0}month = 3 THEN 2 ELSE 1 END * "
+add("changed_months", lambda s, d: _refreshed(s, d)[0], "SELECT CAST(1995 AS INTEGER) AS year, CAST(3 AS INTEGER) AS month, 'changed' AS change UNION ALL SELECT 1996, 1, 'gone'")
+add("refresh_curated", lambda s, d: by_month(_refreshed(s, d)[1]), f"WITH {CURATED} SELECT year, month, {AGAIN.format('')} count(*) AS n, {AGAIN.format('')} sum(total_amount) AS total FROM curated WHERE NOT (year = 1996 AND month = 1) GROUP BY year, month")
+add("refreshed_manifest", lambda s, d: _refreshed(s, d)[2].groupBy("year", "month").agg(F.sum("rows").alias("rows")), f"WITH {FIXTURE} SELECT file_year AS year, file_month AS month, {AGAIN.format('file_')} count(*) AS rows FROM raw WHERE NOT (file_year = 1996 AND file_month = 1) GROUP BY file_year, file_month")
+add("gold_freshness", lambda s, d: manifest.layer_freshness(manifest.present_files(s, _bronze_files(s, d)[0], "yellow")))
 
 
 def round_trip(name: str, write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame], rows: Callable[[SparkSession, str], DataFrame]) -> Query:

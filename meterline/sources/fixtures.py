@@ -21,13 +21,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tables(sf_dir: str, *names: str) -> list[str]:
+    return [f"{sf_dir}/{name}.parquet" for name in names]
+
+
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("loc_id"), F.col("r_name").alias("borough"), F.col("n_name").alias("zone"))
 
 
 def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_once(spark, "raw", sf_dir, lambda: trip_rows(spark, sf_dir))
+    return stored_once(spark, "raw", tables(sf_dir, "lineitem"), lambda: trip_rows(spark, sf_dir))
 
 
 def trip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +63,8 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived, cleaned and joined with zones, in the contract's columns."""
-    return stored_once(spark, "curated", sf_dir, lambda: to_contract(enrich_zones(clean_trips(derived(spark, sf_dir)), zones(spark, sf_dir)), "yellow"))
+    return stored_once(spark, "curated", tables(sf_dir, "lineitem", "nation", "region"), lambda: curate(spark, sf_dir, raw_trips(spark, sf_dir)))
+
+
+def curate(spark: SparkSession, sf_dir: str, raw: DataFrame) -> DataFrame:
+    return to_contract(enrich_zones(clean_trips(derive_trips(raw)), zones(spark, sf_dir)), "yellow")

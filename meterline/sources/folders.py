@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables that a session has stored, by session, name and what they were made from.
-_STORED: dict[tuple[str, str, str], str] = {}
+#: Tables that a session has stored, by session, name and the files that they were made from.
+_STORED: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,16 +29,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system that a path belongs to, and the constructor of its paths."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, asked of the file system that the path belongs to."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    fs, of = file_system(spark, path)
+    return fs.exists(of(path))
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where it is absent."""
+    fs, of = file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(of(path))) if fs.exists(of(path)) else []
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """A digest of the files of a table by their names, bytes and times, and their number."""
+    fs, of = file_system(spark, path)
+    files, names = fs.listFiles(of(path), True), hashlib.sha256()
+    count = 0
+    while files.hasNext():
+        x = files.next()
+        names.update(f"{x.getPath()}:{x.getLen()}:{x.getModificationTime()}\n".encode())
+        count += 1
+    return count, names.hexdigest()
 
 
-def stored_once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``make`` gives, written the first time that a session asks for it and read from its files from then on."""
-    key = (spark.sparkContext.applicationId, name, source)
+def stored_once(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives of some tables, written the first time that a session asks for it and read from its files as long as the files of the ``sources`` are the same."""
+    key = (spark.sparkContext.applicationId, name, *((x, fingerprint(spark, x)) for x in sources))
     path = _STORED.get(key)
     if path is None or not exists(spark, f"{path}/_SUCCESS"):
         path = scratch(spark, name)

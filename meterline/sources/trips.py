@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meterline.operators.serving import count_rows  # noqa: F401  (key-only counts of any table)
-from meterline.sources.folders import exists
+from meterline.sources.folders import exists, file_system
 
 ZONE_SCHEMA = "LocationID string, Borough string, Zone string, service_zone string"
 LINE_SCHEMA = "borough string, zone string, hour int"
@@ -14,31 +19,47 @@ COUNT_SCHEMA = "borough string, zone string, hour int, trips long"
 
 
 def write_bronze(raw: DataFrame, root: str, dataset: str) -> list[tuple[int, int]]:
-    """Each file month of ``raw`` under the name that :func:`scan_bronze` reads, all in one write; gives the months."""
-    spark, staged = raw.sparkSession, f"{root}/_staged"
+    """Each file month of ``raw`` under the name that :func:`scan_bronze` reads, all in one write; a month that is there is replaced. Gives the months."""
+    spark, staged = raw.sparkSession, f"{root}/_staged-{uuid.uuid4().hex}"
     named = raw.withColumn("of_file", F.format_string("%04d-%02d", "file_year", "file_month")).drop("file_year", "file_month")
     named.write.partitionBy("of_file").parquet(staged)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path = file_system(spark, root)
     months = []
     for found in fs.listStatus(path(staged)):
         key, _, month = found.getPath().getName().partition("=")
         if key == "of_file":
-            if not fs.rename(found.getPath(), path(f"{root}/{dataset}_tripdata_{month}.parquet")):
+            target = path(f"{root}/{dataset}_tripdata_{month}.parquet")
+            fs.delete(target, True)
+            if not fs.rename(found.getPath(), target):
                 raise OSError(f"could not name the file of {month} in {root}")
             months.append((int(month[:4]), int(month[5:])))
+    fs.delete(path(staged), True)
     return sorted(months)
 
 
+#: Footers that are read at the same time.
+READERS = 16
+
+
 def scan_bronze(spark: SparkSession, root: str, dataset: str, months: list[tuple[int, int]]) -> DataFrame | None:
-    """All given months of a dataset in one scan, with file_year and file_month from the files' names; missing months are skipped."""
+    """All given months of a dataset in one job, with file_path, and file_year and file_month from the files' names; missing months are skipped.
+
+    Months may store a column in unlike types, spell its name in another case, or lack it. One footer a month tells its
+    schema; months of one schema are one scan, and the scans one union, whose columns get the widest type of all, null where a month lacks them.
+    """
     paths = [f"{root}/{dataset}_tripdata_{y}-{m:02d}.parquet" for y, m in months]
     there = [p for p in paths if exists(spark, p)]
     if not there:
         return None
-    df = spark.read.option("mergeSchema", "true").parquet(*there)
-    month = F.regexp_extract(F.input_file_name(), r"_(\d{4})-(\d{2})\.parquet", 1), F.regexp_extract(F.input_file_name(), r"_(\d{4})-(\d{2})\.parquet", 2)
-    return df.withColumns({"file_year": month[0].cast("int"), "file_month": month[1].cast("int")})
+    with ThreadPoolExecutor(READERS) as readers:
+        schemas = list(readers.map(lambda p: spark.read.parquet(p).schema, there))
+    alike: dict[frozenset, tuple[StructType, list[str]]] = {}
+    for path, schema in zip(there, schemas):
+        alike.setdefault(frozenset((f.name.lower(), f.dataType.simpleString()) for f in schema), (schema, []))[1].append(path)
+    of_file = F.col("_metadata.file_path").alias("file_path")
+    scans = [spark.read.schema(schema).parquet(*group).select("*", of_file) for schema, group in alike.values()]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    return df.withColumns({name: F.regexp_extract("file_path", r"_(\d{4})-(\d{2})\.parquet", k).cast("int") for k, name in ((1, "file_year"), (2, "file_month"))})
 
 
 def scan_curated(spark: SparkSession, root: str) -> DataFrame:
@@ -115,15 +136,6 @@ def show_partitions(curated: DataFrame) -> DataFrame:
     return curated.select("year", "month").distinct()
 
 
-def bronze_manifest(files: DataFrame) -> DataFrame:
-    """Each file of a scan with its bytes and rows."""
-    return files.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").agg(F.count("*").alias("rows")).select(F.element_at(F.split("file_path", "/"), -1).alias("file"), F.col("file_size").alias("bytes"), "rows")
-
-
-def layer_freshness(files: DataFrame) -> DataFrame:
-    return files.agg(F.max("_metadata.file_modification_time").alias("newest"), F.count_distinct("_metadata.file_path").alias("files"))
-
-
 def write_report(rows: DataFrame, path: str) -> None:
     """A nested JSON document: one array of the report's rows."""
     rows.agg(F.collect_list(F.struct("*")).alias("report")).coalesce(1).write.mode("overwrite").json(path)
