@@ -5,10 +5,13 @@ away they are; a container's points are discounted by its link density. The best
 and those of its siblings that score near it are kept, without menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments.
 
+Names of elements tell of parts beside an article. Outside one they drop what holds less than half of the page's text; inside, where they may be
+the article's own, a named part with paragraphs of its own words stays, unless the name is of adverts, comments or consent.
+
 Defined results: null or empty html and pages without any text give ''; broken markup
 (unclosed or crossing tags, a page that stops inside a tag) is read as far as it goes; a page of plain text is one
-block; repeated rows are worked on each; an empty table gives an empty one; columns other
-than ``page_id``, ``url`` and ``html`` are ignored.
+block; references to characters that do not exist give U+FFFD; repeated rows are worked on each; an empty table gives an empty one; columns other
+than ``page_id``, ``url`` and ``html`` are ignored. Pages of any length are taken whole, in time that grows with the length.
 """
 
 from __future__ import annotations
@@ -62,11 +65,19 @@ _KEPT = {"html", "body", "article", "main"}
 _NAMED_FREELY = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 #: Words of parts that stay out even if they are most of a page, unless the article is inside.
 _OTHERS = {w for w in _BESIDE if w.startswith(("ad", "comment", "cookie", "consent", "disqus", "gdpr", "repl", "respon", "sponsor"))}
+#: A number of a character with so many digits that it is better read without its zeros.
+_LONG_NUMBER = re.compile(r"&#0*+([0-9]++);?+")
+#: Elements that are named in sentences, too: they stay where text stands beside them.
+_IN_TEXT = {"button", "label"}
+_TEXTUAL = {"p", "li", "dd", "dt", "td", "th", "blockquote", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: What stands above reader comments.
+_COMMENTS_BELOW = re.compile(r"(?:\(?\d+\)? )?(?:reader |user )?(?:comments?|replies|responses)(?: \(?\d+\)?)?:?|(?:leave|post|write) a (?:reply|comment)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]++|[A-Z]++|[^a-zA-Z0-9_-]++")
 
 
-#: What an element's own tag and names say: it stays; it goes unless it holds most of the page; the same, but only around an article; it goes.
-KEEP, WEAK, FOREIGN, OUT = range(4)
+#: What an element's own tag and names say: it stays; it stays in an article if it has paragraphs; it goes unless it holds most of the page; the same, but only around an article; it goes.
+KEEP, OWN, WEAK, FOREIGN, OUT = range(5)
 
 
 class Node:
@@ -84,27 +95,88 @@ def _drops(tag: str, attributes: str, in_article: bool) -> int:
     if tag in _DROPPED or tag == "header" and not in_article:
         return OUT
     out = WEAK if tag == "form" else KEEP
-    if not attributes or tag in _KEPT:
+    if not attributes or tag in _KEPT and tag != "article":
         return out
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             if tag in _NAMED_FREELY or name == "id" and tag == "section" and in_article:
                 continue
-            beside = _BESIDE if in_article else _BESIDE | _BESIDE_OUTSIDE
+            beside = _OTHERS if tag == "article" else _BESIDE if in_article else _BESIDE | _BESIDE_OUTSIDE
             for one in value.split():
                 words = {w.lower() for w in _WORD.findall(one)}
                 if words & beside and words <= beside | _BOXES:
-                    out = max(out, FOREIGN if words & _OTHERS else WEAK)
+                    out = max(out, FOREIGN if words & _OTHERS else OWN if in_article else WEAK)
         elif name == "role" and value.lower() in _DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return OUT
     return out
 
 
+def _text(node: Node, most: int = 40) -> str:
+    """The text of a small element; of one with more than ``most`` characters or elements, the beginning."""
+    out, held, seen, stack = [], 0, 0, [node]
+    while stack and held <= most and seen <= most:
+        child = stack.pop()
+        seen += 1
+        if isinstance(child, str):
+            out.append(child)
+            held += len(child.strip())
+        else:
+            stack += child.children[most::-1]
+    return " ".join("".join(out).split())
+
+
+def _drop_comments(root: Node) -> None:
+    """A heading that announces reader comments goes, and what follows it up to the next heading of its level or above."""
+    nodes = [root]
+    for node in nodes:
+        level = 0
+        for child in node.children:
+            if not isinstance(child, Node):
+                continue
+            if child.tag in _HEADINGS:
+                if level and child.tag <= f"h{level}":
+                    level = 0
+                if not level and _COMMENTS_BELOW.fullmatch(_text(child)):
+                    level = int(child.tag[1])
+            if level and child.tag not in ("article", "main"):
+                child.out = OUT
+            else:
+                nodes.append(child)
+
+
+def _own_words(root: Node) -> None:
+    """Named parts inside an article: those whose text is mostly paragraphs outside links stay, others go. Elements that sentences name stay where their parent has text of its own."""
+    held: dict[int, list] = {}
+    stack: list[tuple[Node, Node | None, bool, bool]] = [(root, None, False, False)]
+    while stack:
+        node, own, in_paragraph, in_link = stack.pop()
+        if node.out == OUT and node.tag in _IN_TEXT and node.parent is not None and (node.parent.tag in _TEXTUAL or in_paragraph) and any(isinstance(x, str) and x.strip() for x in node.parent.children):
+            node.out = KEEP
+        if node.out == OUT:
+            continue
+        if node.out == OWN:
+            own = node
+            held[id(node)] = [node, 0, 0]
+        in_paragraph = in_paragraph if node.tag not in _BLOCK else node.tag == "p" or in_paragraph and node.tag != "div"
+        in_link = in_link or node.tag == "a"
+        for child in node.children:
+            if isinstance(child, Node):
+                stack.append((child, own, in_paragraph, in_link))
+            elif own is not None:
+                n = len(child.strip())
+                held[id(own)][1] += n
+                held[id(own)][2] += n * (in_paragraph and not in_link)
+    for node, n, plain in held.values():
+        node.out = KEEP if 2 * plain > n else WEAK
+
+
 def _settle(root: Node) -> None:
     """Decides which elements are dropped. Text outside links counts for the nearest doubtful element around it; one with
     more than half of the page's text stays, and so do those around it.
     """
+    _drop_comments(root)
+    _own_words(root)
     held: dict[int, list] = {}
     total = 0
     stack: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
@@ -138,6 +210,13 @@ def _settle(root: Node) -> None:
         nodes += [x for x in node.children if isinstance(x, Node)]
 
 
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers of any length are read."""
+    if "&" not in text:
+        return text
+    return entities.unescape(_LONG_NUMBER.sub(lambda m: f"&#{m[1]};" if len(m[1]) < 8 else "\ufffd", text))
+
+
 class Reader:
     """Finds the markup of a page, one piece after another, in linear time."""
 
@@ -242,7 +321,7 @@ def parse(page: str) -> Node:
         begin, end, closes, tag, attributes = reader.next(place)
         if begin > place:
             text = page[place:begin]
-            at.children.append(entities.unescape(text) if "&" in text else text)
+            at.children.append(unescaped(text))
         place = end
         if tag is None:
             continue
@@ -325,6 +404,32 @@ def blocks_of(root: Node) -> list[tuple[Node, str, int, int]]:
     return out
 
 
+def tags_of(node: Node) -> set[str]:
+    """The tags of kept elements with text inside an element."""
+    out, nodes = set(), [node]
+    for x in nodes:
+        out.add(x.tag)
+        nodes += [y for y in x.children if isinstance(y, Node) and not y.dropped and y.chars]
+    return out
+
+
+def _led(root: Node) -> set[int]:
+    """In articles and their sections, the elements that follow a heading directly."""
+    out: set[int] = set()
+    nodes = [(root, False)]
+    for node, inside in nodes:
+        inside = node.tag in ("article", "main") or inside and node.tag in ("section", "div")
+        before: Node | str | None = None
+        for child in node.children:
+            if isinstance(child, Node):
+                nodes.append((child, inside))
+                if inside and isinstance(before, Node) and before.tag in _HEADINGS and not before.dropped:
+                    out.add(id(child))
+            if isinstance(child, Node) or child.strip():
+                before = child
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by an empty line."""
     if not page:
@@ -368,15 +473,19 @@ def main_text(page: str | None) -> str:
     keep = {id(best)}
     if best.parent is not None and best.tag != "main":
         least = max(2.0, 0.2 * worth(best))
+        titled = "h1" in tags_of(best)
+        met = False
         for other in best.parent.children:
+            met = met or other is best
             if isinstance(other, Node) and other is not best and not other.dropped:
                 dense = other.link_chars / max(1, other.chars)
                 if best.tag == "article":
-                    # beside an article, other articles with text of their own
-                    if other.tag == "article" and other.points and dense < 0.25:
+                    # beside an article, other articles with text of their own, and the title before it
+                    if other.tag == "article" and other.points and dense < 0.25 or not (met or titled) and other.tag in ("h1", "hgroup") and dense < 0.25:
                         keep.add(id(other))
-                elif other.points and worth(other) >= least or other.tag in ("p", "h1", "h2", "h3") and dense < 0.25:
+                elif other.points and worth(other) >= least or other.tag in ("p", "h1", "h2", "h3") and dense < 0.25 or dense < 0.25 and "p" in tags_of(other):
                     keep.add(id(other))
+    led = _led(nodes[0])
     lines = []
     inside: dict[int, bool] = {}
     for node, text, _, _ in found:
@@ -387,8 +496,8 @@ def main_text(page: str | None) -> str:
         value = at is not None and inside[id(at)]
         listed = False
         for step in reversed(path):
-            # a list or table that is mostly links is a menu
-            listed = step.tag in ("ul", "ol", "table", "dl") and step.links >= 3 and step.link_chars > 0.5 * step.chars
+            # a list or table that is mostly links is a menu, unless a heading of the article leads to it
+            listed = step.tag in ("ul", "ol", "table", "dl") and step.links >= 3 and step.link_chars > 0.5 * step.chars and id(step) not in led
             value = (value or id(step) in keep) and not listed
             inside[id(step)] = value
         if inside[id(node)]:
