@@ -70,8 +70,8 @@ class ByteLevel:
         self.pieces = [b""] * self.entries
         for token, i in vocabulary.items():
             self.pieces[i] = token.encode() if token in added else bytes(map(byte.__getitem__, token))
-        #: Whether words begin at spaces whatever stands before them.
-        self.cuts = all(b" " not in p.lstrip(b" ") for p in self.pieces)
+        #: Whether nothing but white space is ever joined with a space after it.
+        self.cuts = all(b" " not in p[1:] or p.decode(errors="replace").isspace() for p in self.pieces)
 
     def ids_of(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
@@ -87,7 +87,7 @@ class Pieces:
         self.entries = self._model.vocab_size()
         names = self._model.id_to_piece(list(range(self.entries)))
         self.pieces = [bytes([int(n[3:5], 16)]) if self._model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        self.cuts = all(" " not in n.replace("▁", " ").lstrip(" ") for n in names)
+        self.cuts = all("▁" not in n[1:] or not n.strip("▁") for n in names)
 
     def ids_of(self, texts: list[str]) -> list[list[int]]:
         return self._model.encode(texts, num_threads=1)
