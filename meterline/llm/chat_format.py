@@ -9,7 +9,7 @@ edges. So the longest conversation is split over tasks like any other; a single
 
 Defined results: null text is an empty line; a transcript without markers is read by its
 other features; a speaker who is none of the three roles is read as the likeliest of them, and a name that no role goes by stays in the text; the first line always begins a turn; repeated lines of one number are all kept, in the order of their
-text; a null conv_id is a conversation of its own; an empty table gives an empty one; other columns are ignored.
+text; lines without a number, as a null turn's, stand after all others of their conversation, as line ``LAST``; a null conv_id is a conversation of its own; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ OTHER_NAMES = {"system": "Setup", "user": "Client", "assistant": "Helper"}
 NAMED = r"^\s*(?:#+\s*|\*\*|\[)?[A-Z][A-Za-z]{0,15}(?:\*\*|\])?\s*:\s"
 #: Line numbers of a turn and of a span of turns; a turn may have as many lines as an int counts.
 TURN, SPAN = 1 << 31, 1 << 40
+#: The number of lines that come without one.
+LAST = 1 << 62
 #: Lines that one task works on, about.
 TASK_LINES = 50_000
 #: Spans that one task chains, about.
@@ -51,7 +53,7 @@ def seen(lines: DataFrame) -> DataFrame:
         marker = F.when(text.rlike(marker_pattern(role)), k).otherwise(marker)
     size = F.least(F.lit(5), F.floor(F.log2(F.length(text) + 1) / 2)).cast("int")
     last = F.when(text.rlike(r"\?\s*$"), 1).when(text.rlike(r"[.!]\s*$"), 2).when(text.rlike(r":\s*$"), 3).otherwise(0)
-    return lines.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("line").cast("long").alias("line"), text.alias("text"), marker.alias("marker"), size.alias("size"), last.alias("last"), *[c for c in ("state",) if c in lines.columns])
+    return lines.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("line").cast("long"), F.lit(LAST)).alias("line"), text.alias("text"), marker.alias("marker"), size.alias("size"), last.alias("last"), *[c for c in ("state",) if c in lines.columns])
 
 
 def _dealt(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ product of the remaining norms, and candidates that cannot reach the k-th best s
 are dropped from the columns still to be read. Queries and candidates both come in blocks, so no task,
 broadcast or driver holds either side whole.
 
-Defined results: vectors that are null or hold null or non-finite components take no part;
+Defined results: vectors that are null or hold null or non-finite components, and rows without a vec_id, which no result could name, take no part;
 vectors are compared with those of their own length only; ties go to the smaller vec_id; a
 row is never its own candidate, but another row of the same vec_id is; repeated query rows
 each get their own ranks; a query without candidates has no row; integers of any size are compared exactly, and a
@@ -40,7 +40,7 @@ def store_columns(vectors: DataFrame, is_query: str, scale: int) -> DataFrame:
     schema = arrow_schema(COLUMNS)
     one = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.col("embedding").isNotNull() & fine).select("vec_id", F.expr(is_query).alias("wanted"), one.alias("v"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select("vec_id", F.expr(is_query).alias("wanted"), one.alias("v"))
 
     def pack(batches):
         from pyspark import TaskContext
@@ -182,14 +182,14 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.uid AS uid, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.uid <> c.uid AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
