@@ -23,7 +23,6 @@ import json
 import struct
 import zlib
 from array import array
-from collections.abc import Callable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -35,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.shared import ZSTD_LEVEL, arrow_schema, as_bytes, as_table, documents, release, slices, whole_texts, written
+from meterline.llm.shared import ZSTD_LEVEL, arrow_schema, as_bytes, as_table, documents, let, release, slices, whole_texts, written
 from meterline.llm.tokens import STOPS, cut_at_spaces, gathered, space_meets_white
 
 #: Buckets of the literal rank map, so that a lookup compares a few keys.
@@ -79,11 +78,6 @@ def rank_map(path: str) -> Column:
     return F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def encode_word(word: Column, ranks: Column) -> Column:
     """The ids of one word of byte characters."""
     none = F.array().cast("array<int>")

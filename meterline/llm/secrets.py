@@ -1,18 +1,23 @@
-"""Secret scans through a trigram inverted index, in DataFrame operations alone.
+"""Secret scans through trigram postings, in DataFrame operations alone.
 
 From each rule's regular expression a Boolean trigram query is derived: alternatives, each
-with the trigrams that a match must hold. Postings (trigram, document) are kept for the
-trigrams that some query asks for; joining them with the queries and counting, for each
-document and alternative, intersects them without gathering a posting list anywhere.
-Only candidates are verified with the expression itself; rules without mandatory trigrams scan every text.
+with the trigrams that a match must hold. One pass over a text finds which of all queries' trigrams it holds: the document's postings.
+They are intersected with the queries where the document lies, so that no text moves, and only candidates are verified with
+the expression itself; rules without mandatory trigrams scan every text. ``postings`` gives the same lists as an inverted index (trigram, document)
+to keep, and ``candidates`` intersects the lists of such an index for any rules whose trigrams it has.
+
+Places of matches are running sums of the lengths of gaps and matches, worked out over pieces of an array whose length is
+its square root; texts are cut out of pieces of ``PIECE`` characters. So a text of very many spans takes time with little more than its length.
 
 Defined results: a null or empty text has no spans; repeated rows each get their spans; an
 empty table gives an empty one; columns of the input other than ``doc_id`` and ``text`` are
-kept as they are, whatever their names.
+kept as they are, whatever their names. Texts of any length are taken whole; a null ``doc_id`` is kept.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser as parser
@@ -20,10 +25,12 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.shared import documents
+from meterline.llm.shared import documents, let
 
 #: Strings that a part of an expression may stand for, while they are still listed.
 MOST_STRINGS = 64
+#: Characters of a piece of text.
+PIECE = 4096
 
 
 @dataclass(frozen=True)
@@ -127,67 +134,123 @@ def trigram_query(pattern: str) -> Query:
     return frozenset(a for a in query if not any(b < a for b in query))
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, doc_id, text_hash): the inverted index, of the given trigrams."""
-    folded = docs.select("doc_id", "text_hash", F.lower("text").alias("folded"))
-    held = F.filter(F.array(*(F.lit(t) for t in trigrams)), lambda t: F.contains("folded", t))
-    return folded.select(F.explode(held).alias("trigram"), "doc_id", "text_hash")
+def any_of(trigrams: list[str]) -> str:
+    """An expression that captures, wherever one begins, one of the trigrams; they share first and second characters."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in sorted(trigrams):
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+
+    def one(chars: list[str]) -> str:
+        return re.escape(chars[0]) if len(chars) == 1 else f"[{''.join(map(re.escape, chars))}]"
+
+    firsts = "|".join(f"{re.escape(a)}(?:{'|'.join(re.escape(b) + one(c) for b, c in more.items())})" for a, more in tree.items())
+    return f"(?={one(sorted(tree))})(?=({firsts}))"
+
+
+def held_trigrams(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Which of the trigrams that the rules' queries ask for are in a text, in one pass."""
+    asked = sorted({t for rule in rules for one in trigram_query(rule.pattern) for t in one})
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(any_of(asked)), F.lit(1))) if asked else F.array().cast("array<string>")
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, text_hash, rules): the kinds whose trigram query a document meets."""
+def met(held: Column, rule: Rule) -> Column:
+    """Whether some alternative of the rule's query is held whole."""
+    out = F.lit(False)
+    for one in sorted(map(sorted, trigram_query(rule.pattern))):
+        out = out | (F.size(F.array_except(F.array(*map(F.lit, one)), held)) == 0)
+    return out
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(trigram, doc_id, text_hash): the inverted index of the rules' trigrams, to be kept."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.explode(held_trigrams(text, rules)).alias("trigram"), "doc_id", F.xxhash64(text).alias("text_hash"))
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(doc_id, text_hash, rules): the kinds whose trigram query a document meets, by intersecting posting lists."""
     asked = [(rule.kind, k, t, len(one)) for rule in rules for k, one in enumerate(sorted(map(sorted, trigram_query(rule.pattern)))) for t in one]
     names = ("kind", "alternative", "trigram", "needed")
-    wanted = docs.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in asked))))
-    index = postings(docs, sorted({t for _, _, t, _ in asked}))
+    wanted = index.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in asked))))
     met = index.join(F.broadcast(wanted), "trigram").groupBy("doc_id", "text_hash", "kind", "alternative").agg(F.size(F.collect_set("trigram")).alias("met"), F.max("needed").alias("needed"))
     return met.where("met = needed").groupBy("doc_id", "text_hash").agg(F.collect_set("kind").alias("rules"))
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's whole numbers, what ``combine`` (a sum or a maximum, from 0) makes of those before it."""
+
+    def sums(part: Column) -> Column:
+        return F.aggregate(part, F.array(F.lit(0)), lambda held, x: F.concat(held, F.array(combine(F.element_at(held, -1), x))))
+
+    def of(values: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(values))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / step).cast("int") - 1), lambda k: sums(F.slice(values, k * step + 1, step)))
+
+        def joined(parts: Column) -> Column:
+            before = sums(F.transform(parts, lambda p: F.element_at(p, -1)))
+            return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda p, b: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: combine(x, b))))
+
+        return F.when(F.size(values) > 0, let(parts, joined)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, of)
+
+
 def spans_of(text: Column, rule: Rule, place: int) -> Column:
     """Leftmost non-overlapping matches as structs of start, place of the rule, kind and end, in code points."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     told = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    rows = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found.alias("match"), told.alias("told"))
-    none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
+    # the last gap has no match
+    sizes = F.transform(
+        F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found.alias("match"), told.alias("told")),
+        lambda r: F.struct(F.length(r["gap"]).alias("gap"), F.coalesce(F.length(r["match"]), F.lit(0)).alias("match"), F.coalesce(F.length(r["told"]), F.lit(-1)).alias("told")),
+    )
 
-    def step(held: Column, row: Column) -> Column:
-        start = held["at"] + F.length(row["gap"])
-        end = start + F.length(row["match"])
-        span = F.array(F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        # the last gap has no match
-        return F.when(row["match"].isNull(), held).otherwise(F.struct(end.alias("at"), F.when(F.length(row["told"]) >= rule.least, F.concat(held["out"], span)).otherwise(held["out"]).alias("out")))
+    def placed(sizes: Column) -> Column:
+        before = running(F.transform(sizes, lambda r: r["gap"] + r["match"]), lambda a, b: a + b)
+        rows = F.zip_with(sizes, before, lambda r, b: F.struct((b + r["gap"]).alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (b + r["gap"] + r["match"]).alias("end"), r["told"].alias("told")))
+        kept = F.filter(rows, lambda r: r["told"] >= rule.least)
+        return F.transform(kept, lambda r: F.struct(*(r[n].alias(n) for n in ("start", "place", "kind", "end"))))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda held: held["out"])
+    return let(sizes, placed)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``secret_spans``: structs of start, place, kind and end of every rule's matches, in order."""
     indexed = tuple(r for r in rules if trigram_query(r.pattern) != ANY)
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumn("text_hash", F.xxhash64("text"))
-    found = candidates(keyed, indexed).select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "rules")
-    met = keyed.join(found.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(found["c_id"]) & (keyed["text_hash"] == found["c_hash"]), "left")
+    text = F.coalesce(docs["text"], F.lit(""))
+    keyed = docs.select(F.struct("*").alias("row"), text.alias("text"), held_trigrams(text, indexed).alias("held"))
     none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
     parts = []
     for place, rule in enumerate(rules):
         there = F.col("text").rlike(rule.probe or rule.pattern)
-        wanted = F.array_contains("rules", rule.kind) & there if rule in indexed else there
+        wanted = met(F.col("held"), rule) & there if rule in indexed else there
         parts.append(F.when(wanted, spans_of(F.col("text"), rule, place)).otherwise(none))
     spans = F.array_sort(F.concat(*parts))
-    return met.select("row.*", spans.alias("secret_spans"))
+    return keyed.select("row.*", spans.alias("secret_spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans by one."""
     found = scan(docs, rules)
 
-    def step(held: Column, span: Column) -> Column:
-        more = F.concat(held["out"], F.substring(F.col("text"), held["at"] + 1, span["start"] - held["at"]), F.lit(mark))
-        return F.when(span["start"] >= held["at"], F.struct(span["end"].alias("at"), more.alias("out"))).otherwise(F.struct(F.greatest(held["at"], span["end"]).alias("at"), held["out"].alias("out")))
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        """Characters from ``start`` up to ``end``, of the text's pieces."""
+
+        def part(k: Column) -> Column:
+            first = F.greatest(start - k * PIECE, F.lit(0))
+            return F.substring(F.get(pieces, k), first + 1, F.least(end - k * PIECE, F.lit(PIECE)) - first)
+
+        return F.when(end > start, F.array_join(F.transform(F.sequence((start / PIECE).cast("int"), ((end - 1) / PIECE).cast("int")), part), "")).otherwise("")
+
+    def marked(pieces: Column) -> Column:
+        spans = F.col("secret_spans")
+        rows = F.zip_with(spans, running(F.transform(spans, lambda x: x["end"]), F.greatest), lambda x, b: F.struct(x["start"].alias("start"), b.alias("before")))
+        # a span that begins inside an earlier one has the earlier one's mark
+        opened = F.transform(F.filter(rows, lambda r: r["start"] >= r["before"]), lambda r: F.concat(cut(pieces, r["before"], r["start"]), F.lit(mark)))
+        return F.concat(F.array_join(opened, ""), cut(pieces, F.array_max(F.transform(spans, lambda x: x["end"])), F.length("text")))
 
-    text = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda held: F.concat(held["out"], F.substring(F.col("text"), held["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, text).otherwise(F.col("text"))).drop("secret_spans")
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return found.withColumn("text", F.when(F.size("secret_spans") > 0, let(pieces, marked)).otherwise(F.col("text"))).drop("secret_spans")
 
 
 def spans_text(spans: Column) -> Column:
@@ -208,20 +271,20 @@ def _rule_sql(place: int, rule: Rule) -> str:
     """The rule's spans: gaps and matches before a match add up to its start."""
     # a run without a group is long enough or not as a whole, so its least length can stand in the expression
     pattern = (f"{rule.probe[:-1]},}}" if rule.probe else rule.pattern).replace("'", "''")
-    return f"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, begins, begins + length(m[i]) AS ends FROM (
+    return f"""SELECT at_row, {place} AS place, '{rule.kind}' AS kind, begins, begins + length(m[i]) AS ends FROM (
   SELECT *, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS begins FROM (
     SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
-      SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS told, string_split_regex(text, '{pattern}') AS gap FROM t WHERE regexp_matches(text, '{pattern}'))))
+      SELECT at_row, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS told, string_split_regex(text, '{pattern}') AS gap FROM t WHERE regexp_matches(text, '{pattern}'))))
   WHERE length(told[i]) >= {rule.least}"""
 
 
 def _listed(where: str) -> str:
-    return f"SELECT doc_id, string_agg(kind || ':' || CAST(begins AS VARCHAR) || ':' || CAST(ends AS VARCHAR), ',' ORDER BY begins, place) AS listed FROM s WHERE {where} GROUP BY doc_id"
+    return f"SELECT at_row, string_agg(kind || ':' || CAST(begins AS VARCHAR) || ':' || CAST(ends AS VARCHAR), ',' ORDER BY begins, place) AS listed FROM s WHERE {where} GROUP BY at_row"
 
 
-ORACLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-s AS (SELECT doc_id, place, kind, CAST(begins AS BIGINT) AS begins, CAST(ends AS BIGINT) AS ends FROM ({' UNION ALL '.join(_rule_sql(k, r) for k, r in enumerate(RULES))})),
-n AS (SELECT doc_id, {', '.join(f"count(CASE WHEN kind = '{r.kind}' THEN 1 END) AS n_{r.kind}" for r in BASE)} FROM s GROUP BY doc_id),
+ORACLE = f"""WITH t AS MATERIALIZED (SELECT row_number() OVER () AS at_row, doc_id, coalesce(text, '') AS text FROM documents),
+s AS MATERIALIZED (SELECT at_row, place, kind, CAST(begins AS BIGINT) AS begins, CAST(ends AS BIGINT) AS ends FROM ({' UNION ALL '.join(_rule_sql(k, r) for k, r in enumerate(RULES))})),
+n AS (SELECT at_row, {', '.join(f"count(CASE WHEN kind = '{r.kind}' THEN 1 END) AS n_{r.kind}" for r in BASE)} FROM s GROUP BY at_row),
 b AS ({_listed(f"place < {len(BASE)}")}), a AS ({_listed("true")})
 SELECT t.doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(b.listed, '')) AS base_sha256, coalesce(a.listed, '') AS spans
-FROM t LEFT JOIN n ON t.doc_id = n.doc_id LEFT JOIN b ON t.doc_id = b.doc_id LEFT JOIN a ON t.doc_id = a.doc_id"""
+FROM t LEFT JOIN n ON t.at_row = n.at_row LEFT JOIN b ON t.at_row = b.at_row LEFT JOIN a ON t.at_row = a.at_row"""
