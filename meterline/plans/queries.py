@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions import derive as D
 from meterline.operators import enrich, gold, insights, reconcile, rules, serving
-from meterline.plans import duration
+from meterline.plans import duration, trees
 from meterline.plans.contract import CURATED_SCHEMA
 from meterline.sources import fixtures, manifest, trips
 from meterline.sources.folders import file_system, scratch
@@ -614,8 +614,44 @@ add("trip_event_fields", _parsed, f"""WITH {FIXTURE} SELECT 'yellow-' || printf(
 # The duration model
 SPLIT = f"{CURATED}, split AS (SELECT *, CASE WHEN epoch(date_trunc('second', pickup_ts)) <= {CUTOFF} THEN 'train' ELSE 'test' END AS part FROM curated)"
 ERROR = "(trip_distance/(SELECT avg(speed_mph) FROM split WHERE part = 'train')*60 - duration_min)"
-on_curated("naive_baseline", lambda c: duration.naive_baseline(rules.time_split(c)))
-SQL["naive_baseline"] = f"WITH {SPLIT} SELECT {r(f'sqrt(avg({ERROR}*{ERROR}))', 4)} AS rmse, {r(f'avg(abs({ERROR}))', 4)} AS mae, count(*) AS test_rows FROM split WHERE part = 'test'"
+FEATURE_SPLIT = f"""{CURATED}, features AS (SELECT * FROM curated WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MODEL_COLUMNS)}),
+split AS (SELECT *, CASE WHEN epoch(date_trunc('second', pickup_ts)) <= {CUTOFF.replace('FROM curated', 'FROM features')} THEN 'train' ELSE 'test' END AS part FROM features)"""
+on_curated("naive_baseline", lambda c: duration.naive_baseline(rules.time_split(rules.feature_rows(c, MODEL_COLUMNS))))
+SQL["naive_baseline"] = f"WITH {FEATURE_SPLIT} SELECT {r(f'sqrt(avg({ERROR}*{ERROR}))', 4)} AS rmse, {r(f'avg(abs({ERROR}))', 4)} AS mae, count(*) AS test_rows FROM split WHERE part = 'test'"
+
+#: Two trees of given splits: the first on distance, hour and distance again, the second, of what the first leaves, on day and hour.
+TREE_INPUTS = ["trip_distance", "pickup_hour", "pickup_dow"]
+FIRST_SPLITS, SECOND_SPLITS = [(0, 6.0), (1, 11.5), (0, 9.0)], [(2, 1.5), (1, 17.5)]
+
+
+def _two_trees(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Feature rows and the nodes of both trees."""
+    rows, inputs = rules.feature_rows(c, MODEL_COLUMNS), [F.col(x).cast("double") for x in TREE_INPUTS]
+    first = trees.level_tree(rows, inputs, F.col("duration_min"), FIRST_SPLITS)
+    left = trees.score_nodes(rows, first, F.array(*inputs), len(FIRST_SPLITS))
+    second = trees.level_tree(left, inputs, F.col("duration_min") - F.col("prediction"), SECOND_SPLITS, tree=1, weight=0.5)
+    path = scratch(c.sparkSession, "nodes")
+    first.unionByName(second).write.parquet(path)
+    return rows, c.sparkSession.read.parquet(path)
+
+
+def _leaf(splits: list[tuple[int, float]]) -> str:
+    out = "0"
+    for feature, threshold in splits:
+        out = f"2*({out}) + CASE WHEN {TREE_INPUTS[feature]} <= {threshold} THEN 1 ELSE 2 END"
+    return out
+
+
+def _leaf_mean(value: str, key: str) -> str:
+    return f"CAST(round(CAST(avg({value}) OVER (PARTITION BY {key}) AS DECIMAL(38,12)), 6) AS DOUBLE)"
+
+
+TREE_SQL = f"""WITH {CURATED}, f AS (SELECT *, {_leaf(FIRST_SPLITS)} AS leaf0, {_leaf(SECOND_SPLITS)} AS leaf1 FROM curated WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MODEL_COLUMNS)}),
+one AS (SELECT *, {_leaf_mean('duration_min', 'leaf0')} AS mean0 FROM f), two AS (SELECT *, {_leaf_mean('duration_min - mean0', 'leaf1')} AS mean1 FROM one)"""
+on_curated("level_tree", lambda c: _two_trees(c)[1].where("left < 0 and value <> 0").select("tree", "node", F.round("value", 4).alias("value")))
+SQL["level_tree"] = f"{TREE_SQL} SELECT DISTINCT 0 AS tree, leaf0 AS node, round(mean0, 4) AS value FROM two UNION SELECT DISTINCT 1, leaf1, round(mean1, 4) FROM two"
+on_curated("score_node_table", lambda c: (lambda rows, nodes: trees.score_nodes(rows, nodes, F.array(*(F.col(x).cast("double") for x in TREE_INPUTS)), 3).groupBy("pu_borough").agg(F.count("*").alias("trips"), F.round(F.avg("prediction"), 4).alias("predicted_min")))(*_two_trees(c)))
+SQL["score_node_table"] = f"{TREE_SQL} SELECT pu_borough, count(*) AS trips, round(avg(mean0 + 0.5*mean1), 4) AS predicted_min FROM two GROUP BY pu_borough"
 
 
 def _fitted(c: DataFrame):
