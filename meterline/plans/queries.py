@@ -516,10 +516,7 @@ def _append(s: SparkSession, d: str) -> DataFrame:
 def _update(s: SparkSession, d: str) -> DataFrame:
     metrics, path = _stream(s, d, "1 day", "3 hours")
     streams.sink_windows_tables(metrics, path, f"{path}-checkpoint").awaitTermination()
-    rows = s.read.parquet(path)
-    value = F.from_json("value", streams.METRICS).alias("v")
-    newest = F.max_by(value, "batch").alias("v")
-    return rows.groupBy("key", F.get_json_object("value", "$.window_start").alias("w")).agg(newest).select("v.*")
+    return streams.running_windows(s, path)
 
 
 REPLAYED = f"year(pickup_ts)*12 + month(pickup_ts) BETWEEN {MONTHS[0][0] * 12 + MONTHS[0][1]} AND {MONTHS[1][0] * 12 + MONTHS[1][1]}"
@@ -561,10 +558,10 @@ add("replay_order", lambda s, d: streams.replay_order(fixtures.raw_trips(s, d),
 
 
 def _finished(s: SparkSession, d: str, window: str = "5 minutes", late: str = "30 minutes"):
-    metrics, path = _stream(s, d, window, late)
-    query = streams.sink_windows_parquet(metrics, path, f"{path}-checkpoint")
-    query.awaitTermination()
-    return query
+    """A query over all events that has ended, and the progress of its batches."""
+    (metrics, path), told = _stream(s, d, window, late), scratch(s, "progress")
+    query = streams.logged(s, told, lambda: streams.sink_windows_parquet(metrics, path, f"{path}-checkpoint"))
+    return query, streams.progress_rows(s, told)
 
 
 def _committed(s: SparkSession, d: str) -> DataFrame:
@@ -599,13 +596,13 @@ def _replayed(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path).groupBy("key").agg(F.count("*").alias("events"))
 
 
-add("late_rows", lambda s, d: streams.progress_rows(s, _finished(s, d)))
-add("late_rows_total", lambda s, d: streams.progress_rows(s, _finished(s, d, "1 day", "3 hours")).agg(F.sum("rows_in").alias("rows_in"), F.sum("late_rows").alias("late_rows")), f"WITH {FIXTURE} SELECT count(*) AS rows_in, CAST(0 AS BIGINT) AS late_rows FROM raw")
+add("late_rows", lambda s, d: _finished(s, d)[1])
+add("late_rows_total", lambda s, d: _finished(s, d, "1 day", "3 hours")[1].agg(F.sum("rows_in").alias("rows_in"), F.sum("late_rows").alias("late_rows")), f"WITH {FIXTURE} SELECT count(*) AS rows_in, CAST(0 AS BIGINT) AS late_rows FROM raw")
 add("committed_output", _committed)
 add("watermark", _again, FINAL)
 add("resume_from_checkpoint", _resumed, FINAL)
-add("bounded_batches", lambda s, d: streams.progress_rows(s, _finished(s, d)).where("rows_in > 0").agg(F.count("*").alias("batches"), F.sum("rows_in").alias("rows_in")), f"WITH {FIXTURE} SELECT CAST(greatest(3, ceil(count(*)/{streams.EVENTS}.0)) AS BIGINT) AS batches, count(*) AS rows_in FROM raw")
-add("drain_available", lambda s, d: streams.progress_rows(s, q := _finished(s, d)).agg(F.sum("rows_in").alias("rows_in"), F.lit(q.isActive).alias("active")), f"WITH {FIXTURE} SELECT count(*) AS rows_in, false AS active FROM raw")
+add("bounded_batches", lambda s, d: _finished(s, d)[1].where("rows_in > 0").agg(F.count("*").alias("batches"), F.sum("rows_in").alias("rows_in")), f"WITH {FIXTURE} SELECT CAST(greatest(3, ceil(count(*)/{streams.EVENTS}.0)) AS BIGINT) AS batches, count(*) AS rows_in FROM raw")
+add("drain_available", lambda s, d: (f := _finished(s, d))[1].agg(F.sum("rows_in").alias("rows_in"), F.lit(f[0].isActive).alias("active")), f"WITH {FIXTURE} SELECT count(*) AS rows_in, false AS active FROM raw")
 add("replay_stream", _replayed, f"WITH {FIXTURE} SELECT CAST(PULocationID AS VARCHAR) AS key, count(*) AS events FROM raw GROUP BY PULocationID")
 EVENT_ORDER = "dropoff_ts, pickup_ts, PULocationID, DOLocationID, total_amount, trip_distance, passenger_count NULLS FIRST, fare_amount, tip_amount, payment_type"
 add("trip_event_fields", _parsed, f"""WITH {FIXTURE} SELECT 'yellow-' || printf('%04d%02d', file_year, file_month) || '-' || CAST(row_number() OVER (PARTITION BY file_year, file_month ORDER BY {EVENT_ORDER}) - 1 AS VARCHAR) AS trip_id, 'yellow' AS dataset,

@@ -142,5 +142,7 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def committed_output(spark: SparkSession, path: str) -> DataFrame:
-    """Part files that a streaming sink has committed; Spark reads the sink's log."""
-    return spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    """The files that a streaming sink has committed, those without rows too; none where there is no log of commits. Spark reads the log when it lists the files; no file is opened."""
+    log = exists(spark, f"{path}/_spark_metadata")
+    files = spark.read.schema("committed string").parquet(path).inputFiles() if log else []
+    return spark.createDataFrame([(f,) for f in files], "file string")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from meterline.functions.derive import derive_trips, rounded
 from meterline.operators.enrich import marked
 from meterline.operators.rules import clean_trips, latest_window
 from meterline.plans.contract import EVENT, schema_of
+from meterline.sources.folders import file_system, listed
 
 EVENT_SCHEMA = schema_of(EVENT)
 #: Events of a replayed file, as many as a trigger takes of a topic.
@@ -80,22 +85,136 @@ def sink_windows_topic(metrics: DataFrame, servers: str, topic: str, checkpoint:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def sink_windows_tables(metrics: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The update sink over files: each trigger's changed windows go to a folder of the trigger, written again if it is retried."""
+def sink_windows_tables(metrics: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """The update sink over files: a table with one row for each window and zone, as it stands now (:func:`running_windows`)."""
 
     def write(batch: DataFrame, number: int) -> None:
-        as_messages(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        merge_windows(batch, path, number)
+
+    writer = metrics.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
 
-    return metrics.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _versions(spark: SparkSession, path: str, day: str) -> list[int]:
+    """The batches that have written a day, oldest first."""
+    return sorted(int(name.removeprefix("batch=")) for name in listed(spark, f"{path}/day={day}") if name.startswith("batch="))
 
 
-def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """What the query tells of its micro-batches: input, late rows dropped, state rows, watermark."""
-    rows = []
-    for p in query.recentProgress:
-        state = p["stateOperators"][0] if p["stateOperators"] else {}
-        rows.append((p["batchId"], p["numInputRows"], float(p.get("processedRowsPerSecond") or 0.0), state.get("numRowsDroppedByWatermark", 0), state.get("numRowsTotal", 0), p.get("eventTime", {}).get("watermark")))
-    return spark.createDataFrame(rows, "batch long, rows_in long, rows_per_second double, late_rows long, state_rows long, watermark string")
+def merge_windows(changed: DataFrame, path: str, number: int) -> None:
+    """Puts a batch's changed windows in place of their older rows, in the partitions of their days.
+
+    A day's new version is written beside the one that it comes from, and only versions before that are removed: a
+    batch that is given again starts from the same version and writes the same. Days without a changed window are not touched.
+    """
+    spark = changed.sparkSession
+    rows = changed.withColumn("day", F.to_date("window_start")).persist()
+    days = [str(r.day) for r in rows.select("day").distinct().collect()]  # of one batch's windows
+    bases = {day: max((v for v in _versions(spark, path, day) if v < number), default=None) for day in days}
+    older = [f"{path}/day={day}/batch={v}" for day, v in bases.items() if v is not None]
+    if older:
+        kept = spark.read.schema(METRICS).parquet(*older).withColumn("day", F.to_date("window_start"))
+        keys = rows.select(F.col("window_start").alias("w"), F.col("PULocationID").alias("z"))
+        rows_now = rows.unionByName(kept.join(keys, (F.col("window_start") == F.col("w")) & F.col("PULocationID").eqNullSafe(F.col("z")), "left_anti"))
+    else:
+        rows_now = rows
+    by_day = rows_now.withColumn("batch", F.lit(number)).repartition("day", F.pmod(F.xxhash64("PULocationID"), F.lit(4)))
+    by_day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+    rows.unpersist()
+    fs, of = file_system(spark, path)
+    for day, base in bases.items():
+        for v in _versions(spark, path, day):
+            if base is not None and v < base:
+                fs.delete(of(f"{path}/day={day}/batch={v}"), True)
+
+
+def running_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The windows that :func:`sink_windows_tables` has written, each as it stands now."""
+    days = [name.removeprefix("day=") for name in listed(spark, path) if name.startswith("day=")]
+    newest = [f"{path}/day={day}/batch={max(_versions(spark, path, day))}" for day in days]
+    return spark.read.schema(METRICS).parquet(*newest) if newest else spark.createDataFrame([], METRICS)
+
+
+#: Batches whose progress is held before it is written.
+HELD = 100
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps what every micro-batch tells of itself as lines of JSON in a folder: batches of a query are never forgotten, however many there are."""
+
+    def __init__(self, spark: SparkSession, path: str, held: int = HELD):
+        self._spark, self.path, self._held = spark, path, held
+        self._lines: list[str] = []
+        self._files = 0
+        self._ended: dict[str, threading.Event] = {}
+        self._lock = threading.Lock()
+
+    def _end_of(self, run: str) -> threading.Event:
+        with self._lock:
+            return self._ended.setdefault(run, threading.Event())
+
+    def _write(self) -> None:
+        with self._lock:
+            lines, self._lines = self._lines, []
+            self._files += 1
+            name = f"{self.path}/progress-{self._files:06d}-{uuid.uuid4().hex}.json"
+        if lines:
+            fs, of = file_system(self._spark, self.path)
+            out = fs.create(of(name))
+            try:
+                out.write(bytearray("".join(f"{line}\n" for line in lines).encode()))
+            finally:
+                out.close()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with self._lock:
+            self._lines.append(" ".join(event.progress.json.split("\n")))
+            full = len(self._lines) >= self._held
+        if full:
+            self._write()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._write()
+        self._end_of(str(event.runId)).set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60.0) -> None:
+        """Until the progress of a query that has ended is written; listeners are told of it a little later."""
+        if not self._end_of(str(query.runId)).wait(seconds):
+            raise TimeoutError("the end of the query was not told")
+
+
+def logged(spark: SparkSession, path: str, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Starts a query that ends by itself, and keeps the progress of all its batches at ``path``."""
+    log = ProgressLog(spark, path)
+    spark.streams.addListener(log)
+    try:
+        query = start()
+        query.awaitTermination()
+        log.wait(query)
+    finally:
+        spark.streams.removeListener(log)
+    return query
+
+
+PROGRESS = (
+    "runId string, batchId long, numInputRows long, processedRowsPerSecond double, eventTime struct<watermark: string>, stateOperators array<struct<numRowsDroppedByWatermark: long, numRowsTotal: long>>, "
+    "sources array<struct<metrics: struct<maxOffsetsBehindLatest: string>>>"
+)
+
+
+def progress_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What queries told of their micro-batches: input, late rows dropped, state rows, watermark, and how far a topic was ahead."""
+    told = spark.read.schema(PROGRESS).json(path)
+    state = F.get("stateOperators", F.lit(0))
+    return told.select(
+        F.col("batchId").alias("batch"), F.col("numInputRows").alias("rows_in"), F.coalesce("processedRowsPerSecond", F.lit(0.0)).alias("rows_per_second"), F.coalesce(state["numRowsDroppedByWatermark"], F.lit(0)).alias("late_rows"),
+        F.coalesce(state["numRowsTotal"], F.lit(0)).alias("state_rows"), F.col("eventTime.watermark").alias("watermark"), F.get("sources", F.lit(0))["metrics"]["maxOffsetsBehindLatest"].cast("long").alias("behind"),
+    )
 
 
 def live_totals(metrics: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Properties of the cleaning rules, derivations, plans and streams on small hand-made rows."""
 
 import datetime as dt
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,9 +178,9 @@ def test_late_rows_are_dropped_and_restart_goes_on(spark, tmp_path):
 
     def drain():
         events = streams.parse_events(streams.read_event_files(spark, path))
-        query = streams.sink_windows_parquet(streams.zone_metrics(streams.clean_stream(events, JANUARY), zone_table(spark)), out, checkpoint)
-        query.awaitTermination()
-        return streams.progress_rows(spark, query)
+        told = str(tmp_path / f"progress-{uuid.uuid4().hex}")
+        streams.logged(spark, told, lambda: streams.sink_windows_parquet(streams.zone_metrics(streams.clean_stream(events, JANUARY), zone_table(spark)), out, checkpoint))
+        return streams.progress_rows(spark, told)
 
     feed(event(START))
     drain()
