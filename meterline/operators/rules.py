@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meterline.functions.derive import rounded
@@ -83,8 +83,16 @@ def feature_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.dropna(subset=columns)
 
 
-def sample_trips(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+#: What tells trips apart in samples.
+SAMPLE_KEY = ("pickup_ts", "dropoff_ts", "PULocationID", "DOLocationID")
+
+
+def sample_trips(df: DataFrame, fraction: float, seed: int = 42, key: tuple[str, ...] = SAMPLE_KEY) -> DataFrame:
+    """A row stays if a seeded hash of its key is below the fraction: the same rows however they are dealt over partitions, and more of them, not others, for a larger fraction."""
+    kinds = dict(df.dtypes)
+    parts = [F.unix_seconds(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(c) for c in key]
+    hashed = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary")), 1, 8)
+    return df.where(hashed < F.lit(f"{min(int(fraction * 2**32), 2**32 - 1):08x}")) if fraction < 1 else df
 
 
 def time_split(df: DataFrame, share: float = 0.8, accuracy: int = 1_000_000) -> DataFrame:
@@ -114,7 +122,16 @@ def latest_window(metrics: DataFrame) -> DataFrame:
     return metrics.join(F.broadcast(newest), F.col("window_start") == F.col("newest")).drop("newest")
 
 
-def well_formed_lines(lines: DataFrame, fields: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Lines of exactly ``fields`` tab-separated fields, and the count of the others."""
-    ok = F.size(F.split("value", "\t", -1)) == fields
-    return lines.where(ok), lines.agg(F.count_if(~ok).alias("malformed"))
+def well_formed_lines(lines: DataFrame, fields: int = 3, seen: Observation | None = None) -> DataFrame:
+    """Lines of exactly ``fields`` tab-separated fields. The job that takes them fills ``seen`` with ``lines`` and ``malformed``, the counts of all lines and of the others."""
+    ok = F.coalesce(F.size(F.split("value", "\t", -1)) == fields, F.lit(False))
+    if seen is not None:
+        lines = lines.observe(seen, F.count("*").alias("lines"), F.count_if(~ok).alias("malformed"))
+    return lines.where(ok)
+
+
+def write_well_formed(lines: DataFrame, path: str, fields: int = 3) -> dict[str, int]:
+    """Writes the well-formed lines as text and gives the counters of the same scan."""
+    seen = Observation()
+    well_formed_lines(lines.select("value"), fields, seen).write.mode("overwrite").text(path)
+    return {name: seen.get.get(name, 0) for name in ("lines", "malformed")}

@@ -181,7 +181,8 @@ add("partition_filter", _partition_filter, f"WITH {CURATED} SELECT pu_borough, c
 on_curated("airport_filter", lambda c: rules.airport_filter(c, AIRPORTS).groupBy("pu_zone", "do_zone").agg(F.count("*").alias("trips")), f"SELECT pu_zone, do_zone, count(*) AS trips FROM curated WHERE regexp_matches(pu_zone, '{AIRPORTS}') OR regexp_matches(do_zone, '{AIRPORTS}') GROUP BY pu_zone, do_zone")
 MODEL_COLUMNS = ["trip_distance", "pickup_hour", "pickup_dow", "passenger_count", "pu_borough", "do_borough", "duration_min"]
 on_curated("feature_rows", lambda c: rules.feature_rows(c, MODEL_COLUMNS).select(*MODEL_COLUMNS), f"SELECT {', '.join(MODEL_COLUMNS)} FROM curated WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MODEL_COLUMNS)}")
-on_curated("sample_trips", lambda c: rules.sample_trips(c, 0.1))
+on_curated("sample_trips", lambda c: rules.sample_trips(c, 0.1).select("pickup_ts", "dropoff_ts", "PULocationID", "DOLocationID", "total_amount"),
+           f"SELECT pickup_ts, dropoff_ts, PULocationID, DOLocationID, total_amount FROM curated WHERE substr(md5(concat_ws('|', '42', {', '.join(f'CAST(CAST(epoch(date_trunc(\'second\', {c})) AS BIGINT) AS VARCHAR)' for c in ('pickup_ts', 'dropoff_ts'))}, coalesce(CAST(PULocationID AS VARCHAR), ''), coalesce(CAST(DOLocationID AS VARCHAR), ''))), 1, 8) < '{int(0.1 * 2**32):08x}'")
 CUTOFF = "(SELECT quantile_disc(epoch(date_trunc('second', pickup_ts)), 0.8) FROM curated)"
 on_curated("time_split", lambda c: rules.time_split(c).groupBy("part").agg(F.count("*").alias("n"), F.max("pickup_ts").alias("latest")), f"SELECT CASE WHEN epoch(date_trunc('second', pickup_ts)) <= {CUTOFF} THEN 'train' ELSE 'test' END AS part, count(*) AS n, max(pickup_ts) AS latest FROM curated GROUP BY 1")
 EXPLORE = f"SELECT * FROM demand WHERE pu_borough = '{BOROUGH}' AND is_weekend = false AND pickup_hour BETWEEN 7 AND 19"
@@ -427,8 +428,25 @@ def _overwrite_month(curated: DataFrame, path: str) -> None:
 
 
 add("write_curated", round_trip("curated", _overwrite_month, lambda s, p: by_month(trips.scan_curated(s, p)), fixtures.curated), f"WITH {CURATED}, m AS ({BY_MONTH}) SELECT year, month, CASE WHEN year = 1995 AND month = 3 THEN 2*n ELSE n END AS n, CASE WHEN year = 1995 AND month = 3 THEN 2*total ELSE total END AS total FROM m")
-add("show_partitions", round_trip("curated", trips.write_curated, lambda s, p: trips.show_partitions(trips.scan_curated(s, p)), fixtures.curated), f"WITH {CURATED} SELECT DISTINCT year, month FROM curated")
-add("external_tables", round_trip("curated", trips.write_curated, lambda s, p: by_month(trips.external_table(s, f"curated_{uuid.uuid4().hex}", p)), fixtures.curated), f"WITH {CURATED} {BY_MONTH}")
+
+
+def declared(ask: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Declares a table over the files at a path, keeps what ``ask`` tells of it, and drops the table."""
+
+    def told(s: SparkSession, path: str) -> DataFrame:
+        name, out = f"curated_{uuid.uuid4().hex}", scratch(s, "told")
+        trips.external_table(s, name, path)
+        try:
+            ask(s, name).write.parquet(out)
+        finally:
+            s.sql(f"DROP TABLE IF EXISTS {name}")
+        return parquet(s, out)
+
+    return told
+
+
+add("show_partitions", round_trip("curated", trips.write_curated, declared(trips.show_partitions), fixtures.curated), f"WITH {CURATED} SELECT DISTINCT year, month FROM curated")
+add("external_tables", round_trip("curated", trips.write_curated, declared(lambda s, name: by_month(s.table(name))), fixtures.curated), f"WITH {CURATED} {BY_MONTH}")
 add("write_flat_copy", round_trip("flat", trips.write_flat_copy, lambda s, p: by_month(parquet(s, p)), fixtures.curated), f"WITH {CURATED} {BY_MONTH}")
 
 
@@ -459,16 +477,26 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.when(F.col("k") == 0, F.concat_ws("\t", "b", "z")).otherwise(F.concat_ws("\t", "b", "z", "pickup_hour")).alias("value"))
 
 
-add("well_formed_lines", lambda s, d: rules.well_formed_lines(_lines(s, d))[0].agg(F.count("*").alias("lines")).crossJoin(rules.well_formed_lines(_lines(s, d))[1]), f"WITH {CURATED}, k AS (SELECT epoch(date_trunc('second', pickup_ts)) % 50 = 0 AS cut FROM curated) SELECT count(CASE WHEN NOT cut THEN 1 END) AS lines, count(CASE WHEN cut THEN 1 END) AS malformed FROM k")
+def _well_formed(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "lines")
+    seen = rules.write_well_formed(_lines(s, d), path)
+    return s.read.text(path).agg(F.count("*").alias("lines")).withColumn("malformed", F.lit(seen["malformed"]).cast("long"))
+
+
+add("well_formed_lines", _well_formed, f"WITH {CURATED}, k AS (SELECT epoch(date_trunc('second', pickup_ts)) % 50 = 0 AS cut FROM curated) SELECT count(CASE WHEN NOT cut THEN 1 END) AS lines, count(CASE WHEN cut THEN 1 END) AS malformed FROM k")
 add("write_gold", round_trip("gold", trips.write_gold, parquet, lambda s, d: gold.daily_kpis(fixtures.curated(s, d))), f"WITH {CURATED} {GOLD['daily']}")
 DAILY_DDL = "date date, trips long, revenue double, avg_fare double, avg_distance double, avg_duration_min double"
 add("scan_gold", round_trip("gold", trips.write_gold, lambda s, p: trips.scan_gold(s, p, DAILY_DDL).unionByName(trips.scan_gold(s, f"{p}-absent", DAILY_DDL)), lambda s, d: gold.daily_kpis(fixtures.curated(s, d))), f"WITH {CURATED} {GOLD['daily']}")
 
 
 def _managed(s: SparkSession, d: str) -> DataFrame:
-    name = f"zone_hour_{uuid.uuid4().hex}"
-    trips.write_managed_orc(gold.zone_hour_demand(fixtures.curated(s, d)), name)
-    return s.table(name)
+    name, out = f"zone_hour_{uuid.uuid4().hex}", scratch(s, "told")
+    try:
+        trips.write_managed_orc(gold.zone_hour_demand(fixtures.curated(s, d)), name)
+        s.table(name).write.parquet(out)
+    finally:
+        s.sql(f"DROP TABLE IF EXISTS {name}")
+    return parquet(s, out)
 
 
 add("write_managed_orc", _managed, f"WITH {CURATED} {ZONE_HOUR}")
@@ -651,6 +679,37 @@ on_curated("score_node_table", lambda c: (lambda rows, nodes: trees.score_nodes(
 SQL["score_node_table"] = f"{TREE_SQL} SELECT pu_borough, count(*) AS trips, round(avg(mean0 + 0.5*mean1), 4) AS predicted_min FROM two GROUP BY pu_borough"
 
 
+#: Keys at which a new range of the duration table begins.
+SPLITS = ["AMERICA", "ASIA", "EUROPE", "EUROPE#E", "MIDDLE EAST"]
+
+
+def _duration_table(c: DataFrame) -> str:
+    """The path of the serving table of predictions over the grid, by the two trees."""
+    spark, path = c.sparkSession, scratch(c.sparkSession, "serving")
+    boroughs = [row[0] for row in c.select("pu_borough").where("pu_borough is not null").distinct().orderBy("pu_borough").collect()]  # a handful of names
+    inputs = F.array(*(F.col(x).cast("double") for x in TREE_INPUTS))
+    scored = trees.score_nodes(duration.prediction_grid(spark, boroughs), _two_trees(c)[1], inputs, 3)
+    serving.write_serving_table(serving.duration_rows(scored.withColumn("predicted_min", F.round("prediction", 3))), path, SPLITS)
+    return path
+
+
+DURATIONS = f"""{TREE_SQL}, bs AS (SELECT DISTINCT pu_borough AS b FROM curated WHERE pu_borough IS NOT NULL),
+g AS (SELECT CAST(h.range AS INTEGER) AS pickup_hour, CAST(m.range AS DOUBLE) AS trip_distance, w.d AS pickup_dow, x.b AS pu, y.b AS do_ FROM range(24) h, range(1, 31) m, (SELECT 4 AS d UNION ALL SELECT 7) w, bs x, bs y),
+l AS (SELECT *, {_leaf(FIRST_SPLITS)} AS leaf0, {_leaf(SECOND_SPLITS)} AS leaf1 FROM g),
+rows AS (SELECT concat_ws('#', pu, do_, CASE WHEN pickup_dow = 7 THEN 'weekend' ELSE 'weekday' END, lpad(CAST(pickup_hour AS VARCHAR), 2, '0'), lpad(printf('%.1f', trip_distance), 4, '0')) AS row_key, round(coalesce(mean0, 0) + 0.5*coalesce(mean1, 0), 3) AS minutes
+ FROM l LEFT JOIN (SELECT DISTINCT leaf0, mean0 FROM two) USING (leaf0) LEFT JOIN (SELECT DISTINCT leaf1, mean1 FROM two) USING (leaf1))"""
+RANGE_SQL = " + ".join(f"CASE WHEN row_key >= '{k}' THEN 1 ELSE 0 END" for k in SPLITS)
+on_curated("duration_table", lambda c: parquet(c.sparkSession, _duration_table(c)).select("row_key", "minutes", "range"))
+SQL["duration_table"] = f"{DURATIONS} SELECT row_key, minutes, {RANGE_SQL} AS range FROM rows"
+on_curated("duration_get", lambda c: serving.ServingTable(c.sparkSession, _duration_table(c)).get("ASIA#EUROPE#weekday#08#05.0", ["minutes"]))
+SQL["duration_get"] = f"{DURATIONS} SELECT row_key, minutes FROM rows WHERE row_key = 'ASIA#EUROPE#weekday#08#05.0'"
+on_curated("duration_prefix", lambda c: serving.ServingTable(c.sparkSession, _duration_table(c)).prefix("EUROPE#ASIA#weekend#", ["minutes"]))
+SQL["duration_prefix"] = f"{DURATIONS} SELECT row_key, minutes FROM rows WHERE starts_with(row_key, 'EUROPE#ASIA#weekend#')"
+on_curated("duration_cells", lambda c: serving.cells(serving.ServingTable(c.sparkSession, _duration_table(c)).range("AFRICA#AFRICA#", "AFRICA#ASIA"), serving.DURATION_FAMILIES).select("row_key", "cell", F.col("value").cast("double").alias("value")))
+SQL["duration_cells"] = f"{DURATIONS} SELECT row_key, 'p:minutes' AS cell, minutes AS value FROM rows WHERE row_key >= 'AFRICA#AFRICA#' AND row_key < 'AFRICA#ASIA'"
+on_gold("daily_cells", "daily", lambda d: serving.cells(serving.daily_rows(d), serving.DAILY_FAMILIES).where("cell = 'k:trips'"), f", {DAILY_ROWS} SELECT row_key, 'k:trips' AS cell, CAST(trips AS VARCHAR) AS value FROM rows")
+
+
 def _fitted(c: DataFrame):
     """Split feature rows and the model of the train part."""
     inputs = duration.feature_selection("yellow")

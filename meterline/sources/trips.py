@@ -132,8 +132,10 @@ def external_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.table(name)
 
 
-def show_partitions(curated: DataFrame) -> DataFrame:
-    return curated.select("year", "month").distinct()
+def show_partitions(spark: SparkSession, name: str) -> DataFrame:
+    """(year, month) of a declared table's partitions, as the catalog lists them: no file is read."""
+    listed_parts = spark.sql(f"SHOW PARTITIONS {name}")
+    return listed_parts.select(*(F.regexp_extract("partition", rf"{key}=(\d+)", 1).cast("int").alias(key) for key in ("year", "month")))
 
 
 def write_report(rows: DataFrame, path: str) -> None:

@@ -85,8 +85,9 @@ def test_key_parts(spark):
     assert sorted(r.reason for r in bad.collect()) == ["hour", "miles", "miles", "zone"]
     keys = spark.range(24).select(serving.hour_part(F.col("id")).alias("k"))
     assert [r.k for r in keys.orderBy("k").collect()] == [f"{h:02d}" for h in range(24)]
-    with pytest.raises(Exception, match="hour out of range"):
-        rows.select(serving.checked(F.col("zone"), "hour")).collect()
+    for part, what in ((serving.hour_part(F.col("hour")), "hour out of range"), (serving.miles_part(F.col("miles")), "distance out of range"), (serving.name_part("zone"), "holds the separator")):
+        with pytest.raises(Exception, match=what):
+            rows.select(part).collect()
 
 
 def test_overall_tip_share_when_payment_is_unknown(spark):
