@@ -122,6 +122,21 @@ def model_findings(evaluation: DataFrame, importance: DataFrame) -> DataFrame:
     return facts.selectExpr("stack(2, 'model_gain', gain, 'strongest_input', strongest) AS (fact, text)")
 
 
+def comparison_findings(reads: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Facts of measured layouts (layout, bytes_read, shuffle_bytes, seconds): for each named pair, how many times the first's bytes and time the second took."""
+    held = {name: F.max(F.when(F.col("layout") == name, F.struct("bytes_read", "shuffle_bytes", "seconds"))).alias(name) for pair in pairs.values() for name in pair}
+    one = reads.agg(*held.values())
+
+    def moved(name: str) -> Column:
+        return F.col(f"{name}.bytes_read") + F.col(f"{name}.shuffle_bytes")
+
+    facts = [
+        F.struct(F.lit(fact).alias("fact"), F.format_string(f"{b} moved %.1f times the bytes of {a} and took %.1f times as long", F.try_divide(moved(b), moved(a)), F.try_divide(F.col(f"{b}.seconds"), F.col(f"{a}.seconds"))).alias("text"))
+        for fact, (a, b) in pairs.items()
+    ]
+    return one.select(F.explode(F.array(*facts)).alias("f")).select("f.*").where("text is not null")
+
+
 def top_od_pairs(pairs: DataFrame, top: int = 25) -> DataFrame:
     return pairs.orderBy(F.desc("trips"), "pu_borough", "pu_zone", "do_borough", "do_zone").limit(top)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions import derive as D
 from meterline.operators import enrich, gold, insights, reconcile, rules, serving
-from meterline.plans import duration, trees
+from meterline.plans import duration, measure, trees
 from meterline.plans.contract import CURATED_SCHEMA
 from meterline.sources import fixtures, manifest, trips
 from meterline.sources.folders import file_system, scratch
@@ -512,6 +512,28 @@ add("bench_partitioning_partitioned", round_trip("curated", trips.write_curated,
 add("bench_partitioning_flat", round_trip("flat", trips.write_flat_copy, lambda s, p: gold.borough_revenue(rules.partition_filter(parquet(s, p), 1995, 3)), fixtures.curated), MONTH_REVENUE)
 
 
+def layouts(s: SparkSession, d: str) -> dict[str, Callable[[], DataFrame]]:
+    """The same question of several layouts, and the zone join both ways; the layouts are written first."""
+    curated, zones = fixtures.curated(s, d), fixtures.zones(s, d)
+    flat, csv, months = (scratch(s, n) for n in ("flat", "csv", "months"))
+    trips.write_flat_copy(curated, flat)
+    trips.write_csv_copy(curated, csv)
+    trips.write_curated(curated, months)
+    raw = fixtures.raw_trips(s, d)
+    joined = lambda join: join(raw, zones).groupBy("pu_borough").agg(F.count("*").alias("trips"))
+    return {
+        "parquet": lambda: gold.borough_revenue(parquet(s, flat)), "csv": lambda: gold.borough_revenue(s.read.schema(CURATED_SCHEMA).option("header", True).csv(csv)),
+        "partitioned": lambda: gold.borough_revenue(rules.partition_filter(parquet(s, months), 1995, 3)), "flat": lambda: gold.borough_revenue(rules.partition_filter(parquet(s, flat), 1995, 3)),
+        "broadcast": lambda: joined(enrich.enrich_zones), "sort_merge": lambda: joined(enrich.enrich_zones_sortmerge),
+    }
+
+
+LAYOUT_PAIRS = {"format": ("parquet", "csv"), "partitions": ("partitioned", "flat"), "join": ("broadcast", "sort_merge")}
+add("layout_reads", lambda s, d: measure.compare(s, layouts(s, d)))
+add("comparison_findings", lambda s, d: insights.comparison_findings(measure.compare(s, layouts(s, d)), LAYOUT_PAIRS))
+add("layout_rows", lambda s, d: measure.compare(s, {k: v for k, v in layouts(s, d).items() if k in ("parquet", "partitioned")}).select("layout", "rows_read"), f"WITH {CURATED} SELECT 'parquet' AS layout, count(*) AS rows_read FROM curated UNION ALL SELECT 'partitioned', count(*) FROM curated WHERE year = 1995 AND month = 3")
+
+
 # Streams: the file source in place of the topic. Strays of other years are in the events and are left to the cleaning
 MONTHS = ((1992, 1), (1998, 12))
 
@@ -535,14 +557,14 @@ def _stream(s: SparkSession, d: str, window: str, late: str) -> tuple[DataFrame,
     return _metrics_of(s, d, path, window, late), scratch(s, "windows")
 
 
-def _append(s: SparkSession, d: str) -> DataFrame:
-    metrics, path = _stream(s, d, "1 day", "3 hours")
+def _append(s: SparkSession, d: str, window: str = "1 day") -> DataFrame:
+    metrics, path = _stream(s, d, window, "3 hours")
     streams.sink_windows_parquet(metrics, path, f"{path}-checkpoint").awaitTermination()
     return s.read.schema(streams.METRICS).parquet(path)
 
 
-def _update(s: SparkSession, d: str) -> DataFrame:
-    metrics, path = _stream(s, d, "1 day", "3 hours")
+def _update(s: SparkSession, d: str, window: str = "1 day") -> DataFrame:
+    metrics, path = _stream(s, d, window, "3 hours")
     streams.sink_windows_tables(metrics, path, f"{path}-checkpoint").awaitTermination()
     return streams.running_windows(s, path)
 
@@ -561,27 +583,43 @@ STREAMED = streamed(REPLAYED)
 FINAL = f"WITH {STREAMED} SELECT * FROM m WHERE window_end <= (SELECT max(pickup_ts) FROM e) - to_seconds(10800)"
 
 
-def _batch_metrics(s: SparkSession, d: str) -> DataFrame:
-    return streams.zone_metrics(streams.clean_stream(_parsed(s, d), *MONTHS), fixtures.zones(s, d), "1 day", None)
+HOURLY = streamed(REPLAYED, "hour", 3600)
+
+
+def _batch_metrics(s: SparkSession, d: str, window: str = "1 day") -> DataFrame:
+    return streams.zone_metrics(streams.clean_stream(_parsed(s, d), *MONTHS), fixtures.zones(s, d), window, None)
+
+
+def _drained(s: SparkSession, d: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over all replayed events makes of them, row by row."""
+    path, out = scratch(s, "events"), scratch(s, "rows")
+    streams.replay_stream(_events(s, d), path)
+    rows = f(streams.parse_events(streams.read_event_files(s, path)))
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(rows.schema).parquet(out)
 
 
-def on_events(name: str, f: Query, sql: str) -> None:
-    """All events take part, whatever their month; the second name is from when the first took two months."""
-    add(name, f, sql)
-    add(f"{name}_all_months", f, sql)
+def on_windows(name: str, f: Callable[[SparkSession, str, str], DataFrame], sql: str) -> None:
+    """A question of windows of a day and, as ``..._all_months``, of the many windows of an hour."""
+    add(name, lambda s, d: f(s, d, "1 day"), f"WITH {STREAMED} {sql}")
+    add(f"{name}_all_months", lambda s, d: f(s, d, "1 hour"), f"WITH {HOURLY} {sql}")
 
 
-on_events("parse_events", lambda s, d: _parsed(s, d).drop("trip_id", "dataset"), f"WITH {FIXTURE} SELECT pickup_ts, dropoff_ts, PULocationID, DOLocationID, trip_distance, passenger_count, fare_amount, tip_amount, total_amount, payment_type FROM raw")
-on_events("clean_stream", lambda s, d: streams.clean_stream(_parsed(s, d), *MONTHS).select("pickup_ts", "dropoff_ts", "PULocationID", "speed_mph"), f"WITH {STREAMED} SELECT pickup_ts, dropoff_ts, PULocationID, speed_mph FROM e")
+EVENT_SQL = f"WITH {FIXTURE} SELECT pickup_ts, dropoff_ts, PULocationID, DOLocationID, trip_distance, passenger_count, fare_amount, tip_amount, total_amount, payment_type FROM raw"
+CLEAN_SQL = f"WITH {STREAMED} SELECT pickup_ts, dropoff_ts, PULocationID, speed_mph FROM e"
+add("parse_events", lambda s, d: _parsed(s, d).drop("trip_id", "dataset"), EVENT_SQL)
+add("parse_events_all_months", lambda s, d: _drained(s, d, lambda e: e.drop("trip_id", "dataset")), EVENT_SQL)
+add("clean_stream", lambda s, d: streams.clean_stream(_parsed(s, d), *MONTHS).select("pickup_ts", "dropoff_ts", "PULocationID", "speed_mph"), CLEAN_SQL)
+add("clean_stream_all_months", lambda s, d: _drained(s, d, lambda e: streams.clean_stream(e, *MONTHS).select("pickup_ts", "dropoff_ts", "PULocationID", "speed_mph")), CLEAN_SQL)
 add("clean_stream_one_month", lambda s, d: streams.clean_stream(_parsed(s, d), (1995, 3)).select("pickup_ts", "dropoff_ts", "PULocationID", "speed_mph"), f"WITH {streamed('year(pickup_ts) = 1995 AND month(pickup_ts) = 3')} SELECT pickup_ts, dropoff_ts, PULocationID, speed_mph FROM e")
-on_events("zone_metrics", _batch_metrics, f"WITH {STREAMED} SELECT * FROM m")
+on_windows("zone_metrics", _batch_metrics, "SELECT * FROM m")
+on_windows("append_final_windows", _append, "SELECT * FROM m WHERE window_end <= (SELECT max(pickup_ts) FROM e) - to_seconds(10800)")
+on_windows("update_running_windows", _update, "SELECT * FROM m")
+on_windows("live_totals", lambda s, d, w: streams.live_totals(_batch_metrics(s, d, w)), "SELECT count(*) AS windows, CAST(sum(trips) AS BIGINT) AS trips, max(window_end) AS newest FROM m")
+on_windows("recent_windows", lambda s, d, w: streams.recent_windows(_batch_metrics(s, d, w), 20), f"SELECT window_start, CAST(sum(trips) AS BIGINT) AS trips, {mean('avg_fare', 2)} AS avg_fare FROM m GROUP BY window_start ORDER BY window_start DESC LIMIT 20")
+on_windows("latest_window", lambda s, d, w: rules.latest_window(_batch_metrics(s, d, w)), "SELECT * FROM m WHERE window_start = (SELECT max(window_start) FROM m)")
+on_windows("busiest_live_zones", lambda s, d, w: streams.busiest_live_zones(_batch_metrics(s, d, w)), "SELECT PULocationID, pu_borough, pu_zone, trips, avg_fare, avg_duration_min FROM m WHERE window_start = (SELECT max(window_start) FROM m) ORDER BY trips DESC, PULocationID LIMIT 10")
 add("stream_static_zones", lambda s, d: streams.stream_static_zones(fixtures.raw_trips(s, d), fixtures.zones(s, d)).groupBy("PULocationID", "pu_borough", "pu_zone").agg(F.count("*").alias("n")), f"WITH {FIXTURE} SELECT PULocationID, borough AS pu_borough, zone AS pu_zone, count(*) AS n FROM raw LEFT JOIN zones ON PULocationID = loc_id GROUP BY PULocationID, borough, zone")
-on_events("append_final_windows", _append, FINAL)
-on_events("update_running_windows", _update, f"WITH {STREAMED} SELECT * FROM m")
-on_events("live_totals", lambda s, d: streams.live_totals(_batch_metrics(s, d)), f"WITH {STREAMED} SELECT count(*) AS windows, CAST(sum(trips) AS BIGINT) AS trips, max(window_end) AS newest FROM m")
-on_events("recent_windows", lambda s, d: streams.recent_windows(_batch_metrics(s, d), 20), f"WITH {STREAMED} SELECT window_start, CAST(sum(trips) AS BIGINT) AS trips, {mean('avg_fare', 2)} AS avg_fare FROM m GROUP BY window_start ORDER BY window_start DESC LIMIT 20")
-on_events("latest_window", lambda s, d: rules.latest_window(_batch_metrics(s, d)), f"WITH {STREAMED} SELECT * FROM m WHERE window_start = (SELECT max(window_start) FROM m)")
-on_events("busiest_live_zones", lambda s, d: streams.busiest_live_zones(_batch_metrics(s, d)), f"WITH {STREAMED} SELECT PULocationID, pu_borough, pu_zone, trips, avg_fare, avg_duration_min FROM m WHERE window_start = (SELECT max(window_start) FROM m) ORDER BY trips DESC, PULocationID LIMIT 10")
 add("replay_order", lambda s, d: streams.replay_order(fixtures.raw_trips(s, d), 100, 500).select("trip_id", "PULocationID", "DOLocationID", "dropoff_ts"), f"WITH {FIXTURE} SELECT trip_id, PULocationID, DOLocationID, dropoff_ts FROM raw ORDER BY dropoff_ts, trip_id, PULocationID, DOLocationID, total_amount LIMIT 500 OFFSET 100")
 
 
