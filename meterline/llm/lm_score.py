@@ -13,7 +13,11 @@ documents in a cogroup. No model is broadcast or collected, whatever its size.
 
 Defined results: a null text is empty and has the end symbol alone; a null ``doc_id`` counts as the text
 '' in the fold; repeated rows are counted and scored each; without training documents all symbols are
-equally likely; an empty table gives an empty one; other columns are ignored.
+equally likely; an empty table gives an empty one; columns other than ``doc_id`` and ``text`` are ignored. Texts of any length are scored
+whole; one larger than a block is a block of its own, whose task holds 8 bytes for each of its bytes.
+
+A block asks for a gram or word once, so that of the rows that ask, those of one key are no more than the blocks: about one in the hundred thousands of
+distinct grams of a block, less than a task takes anyway. Joins on grams and words need no split.
 """
 
 from __future__ import annotations

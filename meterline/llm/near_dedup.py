@@ -14,7 +14,8 @@ that meet two by two, all of them or band by band.
 Defined results: a null, empty or wordless text has an empty set and is a component of its own; a text with
 fewer words than a shingle is one shingle; repeated rows of one ``doc_id`` each get a row and
 share a component if their sets are equal or linked; a null ``doc_id`` is never the name of
-a component unless alone; an empty table gives an empty one; other columns are ignored.
+a component unless alone; an empty table gives an empty one; columns other than ``doc_id`` and ``text`` are ignored. Texts of any length are
+taken whole: a set takes 8 bytes for each distinct shingle of one text at a time.
 """
 
 from __future__ import annotations
@@ -147,6 +148,22 @@ def _similar(sig_a: bytes, a: np.ndarray, sigs: np.ndarray, sets: list[np.ndarra
     return ok[100 * both >= percent * (len(a) + sizes[ok] - both)]
 
 
+#: Rows of a key that one task takes in :func:`spread`, at least, and keys with more than that, at most.
+HOT_ROWS, MOST_HOT = 1000, 10_000
+
+
+def spread(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """``many`` joined with ``one``, which has one row for each ``key``. A key with a large part of ``many`` is dealt over several tasks by a hash of ``by``, and its row of ``one`` is copied to each.
+
+    What a task takes of a key is a ``MOST_HOT``-th of all rows or ``HOT_ROWS``, so fewer than ``MOST_HOT`` keys can have more: their list is small whatever the input, and is broadcast.
+    """
+    most = max(HOT_ROWS, many.count() // MOST_HOT)
+    hot = F.broadcast(many.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col(key).alias("hot"), F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    left = many.join(hot, F.col(key) == F.col("hot"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0)))
+    right = one.join(hot, F.col(key) == F.col("hot"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return left.drop("hot", "parts").join(right.drop("hot", "parts"), [key, "salt"]).drop("salt")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked."""
     schema = arrow_schema("a long, b long")
@@ -159,7 +176,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
+    # many nodes may have one leader
+    both = spread(pairs, right, "b", "a").join(left, "a").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
     return both.mapInArrow(work, "a long, b long")
 
 
@@ -262,7 +280,7 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     members = nodes.select("node", F.explode("bands").alias("band"))
     least = members.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = written(members.join(least, "band").select("band", "node", "leader"), "members")
-    stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    stars = written(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
     wanted = members.select("node").distinct().join(classes, "node").select("node", "doc_id", "text_hash")
     # repeated rows of one text have one set; one row of it is enough
     picked = docs.join(wanted.hint("shuffle_hash"), [docs["doc_id"].eqNullSafe(wanted["doc_id"]), docs["text_hash"] == wanted["text_hash"]]).select("node", "text").dropDuplicates(["node"])
@@ -273,9 +291,9 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     more = written(untested(members.select("band", "node"), labels, sets, percent), "links")
     found = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     # components are named by the smallest doc_id of their classes
-    of_class = classes.join(found, "node", "left").select("digest", "smallest", F.coalesce("component", "node").alias("component"))
+    of_class = written(classes.join(found, "node", "left").select("digest", "smallest", F.coalesce("component", "node").alias("component")), "named")
     names = of_class.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    named = of_class.join(names, "component").select("digest", "component", "component_id")
+    named = spread(of_class, names, "component", "digest").select("digest", "component", "component_id")
     rows = prints.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
     rows = rows.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", "text_hash", "n_shingles", "component", "component_id")

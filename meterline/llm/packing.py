@@ -8,7 +8,8 @@ at most about ``ITEMS`` items a task: while more are left, as many partitions re
 packing ends when a round no longer removes bins.
 
 Defined results: a null text is empty and is a piece of the end id alone; repeated rows are packed
-each on its own; an empty table gives an empty one; other columns are ignored.
+each on its own; an empty table gives an empty one; columns other than ``doc_id`` and ``text`` are ignored. Texts of any length are encoded
+whole, one at a time where they are longer than a batch, and cut into as many pieces as they need.
 """
 
 from __future__ import annotations

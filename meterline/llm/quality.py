@@ -6,7 +6,8 @@ whole batches at once. On chosen statistics the score can only fall as they rise
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows each get
 the same verdict; labels that are null are not used, and with fewer than two kinds of label
-the base rules alone decide; an empty table gives an empty one; other columns are ignored.
+the base rules alone decide; an empty table gives an empty one; columns other than ``doc_id`` and ``text`` are ignored. Texts of any length are
+counted whole, in time that grows with their words.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ touches few pages: counts never read ``ids``, and a range of ``doc_id`` skips ro
 
 Defined results: a null text is empty and has just the end id; repeated ``doc_id`` values are
 kept as rows of their own, ordered by a hash of their text; an empty table gives an empty
-one; columns other than ``doc_id`` and ``text`` are ignored.
+one; columns other than ``doc_id`` and ``text`` are ignored. Texts of any length are encoded whole; one longer than a batch is encoded by itself.
 """
 
 from __future__ import annotations
@@ -49,12 +49,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, name: str = "
     return written(ordered.select("doc_id", "text").mapInArrow(encode, STORED), name, compression="snappy", **LAYOUT)
 
 
+#: Files whose totals are broadcast; of more, totals are joined by sorting.
+MOST_TOTALS = 1_000_000
+
+
 def with_starts(stored: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids of all documents before. Only one total for each file is summed up and broadcast; ids are not read for it."""
+    """Adds ``start``, the ids of all documents before. Only one total for each file is summed up; ids are not read for it. Totals of up to ``MOST_TOTALS`` files, 12 bytes each, are broadcast."""
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = totals.select("part", before.alias("base"))
-    return stored.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
+    side = F.broadcast(base) if len(stored.inputFiles()) <= MOST_TOTALS else base
+    return stored.join(side, "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
 def read_tokens(stored: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:

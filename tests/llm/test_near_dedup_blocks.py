@@ -42,3 +42,12 @@ def test_templated_texts_give_the_same_components(spark, monkeypatch):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 2).collect())
     assert got == plain_components(pairs(df), 2)
+
+
+def test_hot_keys_are_spread_and_no_row_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 50)
+    many = spark.range(3000).select((F.when(F.col("id") < 2000, 7).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    one = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    got = near_dedup.spread(many, one, "k", "v")
+    assert sorted((r.k, r.v, r.w) for r in got.collect()) == sorted((7 if i < 2000 else i, i, 2 * (7 if i < 2000 else i)) for i in range(3000))
+    assert near_dedup.spread(many.limit(0), one, "k", "v").count() == 0
