@@ -3,6 +3,10 @@
 Each stage takes all documents that the one before it kept. The quality rules drop what
 they reject; of each near-duplicate group one document stays; secrets are replaced by a
 mark; what is left is packed. All stages but the last return the columns of ``documents``.
+
+Defined results, besides those of each stage's operator: null and empty texts fail the quality rules; repeated rows that pass are one
+group of near duplicates, of which one stays; an empty table gives an empty one; other columns, whatever their names, are kept by all stages but the
+last. Texts of any length are taken whole by every stage.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the base rules and the model of document statistics accept."""
     rated = quality.rate(docs, table(spark, sf_dir, "labels"))
     return _only(docs, rated.where("kept"))
 
@@ -38,11 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with ``[SECRET]`` for each secret of their texts and ``n_chars`` as it then is; a null text stays null."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences, as ``op1_packing`` gives them."""
     return packing.packed_digest(docs)
 
 
