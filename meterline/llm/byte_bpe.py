@@ -9,7 +9,9 @@ so that a piece is a string and joining pieces is ``concat``. Words of more than
 of a heap in Arrow tasks.
 
 Blocks are written once, so that a retried task finds what was asked for; a word without an answer is an error. What a
-block asks of a bucket of words, and what it is answered, are one compressed row each.
+block asks of a bucket of words, and what it is answered, are one compressed row each. Of more than ``GROUP`` blocks, those of a group are first
+made one asker for each bucket: a word that all blocks hold then comes to its task once a group, each task's rows are bounded by the
+groups, and rows grow with the blocks, and with the square of the groups, which are few.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are
 encoded each; an empty table gives an empty one; columns other than ``doc_id`` and ``text``
@@ -49,6 +51,9 @@ ASKERS, HELD_ANSWERS = 10_000, 500_000
 #: Ids, in bytes, that are decoded at once.
 DECODED_BYTES = 4 << 20
 ENCODED = "doc_id long, n_tokens long, ids binary"
+ANSWERS = "asked_by long, places binary, sizes binary, ids binary"
+#: Buckets of words that blocks ask, and blocks of a group: a bucket gets some thousand words of each of so many blocks, and a row has enough of them to be worth compressing.
+WORD_BUCKETS, GROUP = 64, 256
 
 #: Unicode's White_Space property, as the tiktoken library reads \s.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -237,13 +242,10 @@ def numbered(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.mapInArrow(number, ddl).select(F.monotonically_increasing_id().alias("block"), "*")
 
 
-def distinct_words(dealt: DataFrame, buckets: int, path: str) -> DataFrame:
-    """(word, long, blocks, places): each distinct word and where it is asked for, at most ``ASKERS`` places a row; ``long`` has the ids of a long word.
-
-    Words are dealt into buckets by their hash; what a block asks of a bucket is one compressed row.
-    """
-    asks_ddl, words_ddl = "bucket int, block long, places binary, words binary", "word string, long array<int>, blocks array<long>, places array<int>"
-    asks_schema, words_schema = arrow_schema(asks_ddl), arrow_schema(words_ddl)
+def asks(dealt: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, places, words): what each of the rows of ``dealt`` (block, words) asks of a bucket of words, in one compressed row; words are dealt into buckets by their hash."""
+    ddl = "bucket int, block long, places binary, words binary"
+    schema = arrow_schema(ddl)
 
     def ask(batches):
         for batch in batches:
@@ -253,37 +255,98 @@ def distinct_words(dealt: DataFrame, buckets: int, path: str) -> DataFrame:
                 order = np.argsort(bucket, kind="stable")
                 found, first = np.unique(bucket[order], return_index=True)
                 rows = [(k, block, pressed(np.diff(at, prepend=0)), as_bytes({"word": words.take(pa.array(at))})) for k, at in zip(found.tolist(), np.split(order, first[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, asks_schema)], schema=asks_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, schema)], schema=schema)
                 del words, bucket, order, rows
                 release()
 
-    def gather(group: pa.Table) -> pa.Table:
-        release()
+    return dealt.select("block", "words").mapInArrow(ask, ddl)
+
+
+class Asked:
+    """The distinct words of some rows of :func:`asks`, and for each its askers and their places, one after another."""
+
+    def __init__(self, group: pa.Table):
         words = [as_table(x.as_py())["word"].combine_chunks() for x in group["words"]]
-        blocks = np.repeat(group["block"].to_numpy(), list(map(len, words)))
-        places = np.concatenate([np.cumsum(unpressed(x.as_py())) for x in group["places"]])
         coded = pa.concat_arrays(words).dictionary_encode()
         numbers = coded.indices.to_numpy()
         order = np.argsort(numbers, kind="stable")
-        counts = np.bincount(numbers, minlength=len(coded.dictionary))
-        rows = -(-counts // ASKERS)
-        ends = np.repeat(np.cumsum(counts), rows)
+        self.words = coded.dictionary
+        self.counts = np.bincount(numbers, minlength=len(self.words))
+        self.blocks = np.repeat(group["block"].to_numpy(), list(map(len, words)))[order]
+        self.places = np.concatenate([np.cumsum(unpressed(x.as_py())) for x in group["places"]])[order]
+
+
+def distinct_words(dealt: DataFrame, buckets: int, path: str) -> DataFrame:
+    """(word, long, blocks, places): each distinct word and where it is asked for, at most ``ASKERS`` places a row; ``long`` has the ids of a long word."""
+    ddl = "word string, long array<int>, blocks array<long>, places array<int>"
+    schema = arrow_schema(ddl)
+
+    def gather(group: pa.Table) -> pa.Table:
+        release()
+        asked = Asked(group)
+        rows = -(-asked.counts // ASKERS)
+        ends = np.repeat(np.cumsum(asked.counts), rows)
         place = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
-        begins = np.minimum(np.repeat(np.cumsum(counts) - counts, rows) + place * ASKERS, ends)
-        offsets = pa.array(np.concatenate([begins, [len(order)]]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order]).cast(f.type.value_type)).cast(f.type) for x, f in zip((blocks, places), list(words_schema)[2:])]
-        distinct = coded.dictionary.take(pa.array(np.repeat(np.arange(len(counts)), rows)))
+        begins = np.minimum(np.repeat(np.cumsum(asked.counts) - asked.counts, rows) + place * ASKERS, ends)
+        offsets = pa.array(np.concatenate([begins, [len(asked.places)]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x).cast(f.type.value_type)).cast(f.type) for x, f in zip((asked.blocks, asked.places), list(schema)[2:])]
+        distinct = asked.words.take(pa.array(np.repeat(np.arange(len(asked.counts)), rows)))
         long_words = pc.greater(pc.utf8_length(distinct), LONG_WORD).to_pylist()
         ids = [merge_long(distinct[i].as_py().encode("latin-1"), read_ranks(path)) if x else None for i, x in enumerate(long_words)]
-        return pa.Table.from_arrays([distinct, pa.array(ids, words_schema.field("long").type), *lists], schema=words_schema)
+        return pa.Table.from_arrays([distinct, pa.array(ids, schema.field("long").type), *lists], schema=schema)
+
+    return asks(dealt, buckets).groupBy("bucket").applyInArrow(gather, ddl)
+
+
+def first_asks(dealt: DataFrame, groups: int) -> DataFrame:
+    """(block, words, counts, blocks, places): of each bucket and group of blocks, the distinct words that the blocks ask for, as one asker of them all, and where each word is asked for."""
+    ddl = "block long, words binary, counts binary, blocks binary, places binary"
+    schema = arrow_schema(ddl)
+
+    def gather(key, group):
+        release()
+        asked = Asked(group)
+        row = (key[0].as_py() * groups + key[1].as_py(), as_bytes({"word": asked.words}), pressed(asked.counts), zstandard.compress(asked.blocks.astype("<i8").tobytes(), ZSTD_LEVEL), pressed(asked.places))
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+
+    found = asks(dealt, WORD_BUCKETS).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    return written(found.groupBy("bucket", "part").applyInArrow(gather, ddl), "asked", compression="uncompressed")
+
+
+def passed_on(askers: DataFrame, answers: DataFrame) -> DataFrame:
+    """What the askers of :func:`first_asks` were answered, as answers to the blocks that had asked them."""
+    schema = arrow_schema(ANSWERS)
+
+    def expand(key, group, told):
+        out = []
+        for row in group.to_pylist():
+            starts, sizes, pool = _told(told)
+            counts, places = unpressed(row["counts"]), unpressed(row["places"])
+            blocks = np.frombuffer(zstandard.decompress(row["blocks"]), "<i8")
+            if len(sizes) < len(counts) or sizes[: len(counts)].min(initial=0) < 0:
+                raise KeyError("a word of an asker was not answered")
+            word = np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((places, blocks))
+            found, first = np.unique(blocks[order], return_index=True)
+            out += [(k, pressed(np.diff(places[x], prepend=0)), pressed(sizes[word[x]]), pressed(gathered(word[x], starts, sizes, pool)[0])) for k, x in zip(found.tolist(), np.split(order, first[1:]))]
+        release()
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 4, schema)], schema=schema)
 
-    return dealt.select("block", "words").mapInArrow(ask, asks_ddl).groupBy("bucket").applyInArrow(gather, words_ddl)
+    return askers.groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(expand, ANSWERS)
+
+
+def _told(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of ``ANSWERS``, for each place where its ids begin, how many they are (-1: no answer), and all ids."""
+    at, sizes_of, ids = (np.concatenate([f(unpressed(x.as_py())) for x in told[c]] or [np.empty(0, np.int64)]) for c, f in (("places", np.cumsum), ("sizes", np.asarray), ("ids", np.asarray)))
+    known = int(at.max(initial=-1)) + 1
+    starts, sizes = np.zeros(known, np.int64), np.full(known, -1, np.int64)
+    starts[at], sizes[at] = np.cumsum(sizes_of) - sizes_of, sizes_of
+    return starts, sizes, ids.astype("<u4")
 
 
 def by_block(answers: DataFrame) -> DataFrame:
     """(asked_by, places, sizes, ids): answers of some words to a block in one row, compressed; places as steps from one to the next."""
-    ddl = "asked_by long, places binary, sizes binary, ids binary"
-    schema = arrow_schema(ddl)
+    schema = arrow_schema(ANSWERS)
 
     def pack(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -320,7 +383,7 @@ def by_block(answers: DataFrame) -> DataFrame:
             yield rows()
         release()
 
-    return answers.select("blocks", "places", "ids").mapInArrow(pack, ddl)
+    return answers.select("blocks", "places", "ids").mapInArrow(pack, ANSWERS)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -329,15 +392,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     answered = arrow_schema(ENCODED)
 
     def answer(key, group, told):
-        at, sizes_of, ids = (np.concatenate([f(unpressed(x.as_py())) for x in told[c]] or [np.empty(0, np.int64)]) for c, f in (("places", np.cumsum), ("sizes", np.asarray), ("ids", np.asarray)))
-        known = int(at.max(initial=-1)) + 1
-        starts, sizes = np.zeros(known, np.int64), np.full(known, -1, np.int64)
-        starts[at], sizes[at] = np.cumsum(sizes_of) - sizes_of, sizes_of
-        pool = ids.astype("<u4")
+        starts, sizes, pool = _told(told)
         rows = []
         for doc_ids, counts, numbers in zip(*(group[c].combine_chunks().flatten() for c in ("doc_ids", "counts", "numbers"))):
             n, numbers = unpressed(counts.as_py()), unpressed(numbers.as_py())
-            if len(numbers) and (numbers.max() >= known or sizes[numbers].min() < 0):
+            if len(numbers) and (numbers.max() >= len(sizes) or sizes[numbers].min() < 0):
                 raise KeyError("a word of the block was not asked for")
             values, each = gathered(numbers, starts, sizes, pool)
             # a text without words has no ids
@@ -348,10 +407,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         release()
         return pa.Table.from_batches(rows, schema=answered)
 
-    words = distinct_words(dealt, max(1, 2 * dealt.count()), path)
+    groups = -(-dealt.count() // GROUP)
+    askers = first_asks(dealt, groups) if groups > 1 else dealt
+    words = distinct_words(askers, WORD_BUCKETS * max(1, groups), path)
     # the map is named once, so that the plan holds it once
     ids = F.when(F.col("long").isNull(), let(rank_map(path), lambda ranks: encode_word(F.col("word"), ranks))).otherwise(F.col("long"))
     answers = by_block(words.select("blocks", "places", ids.alias("ids")))
+    answers = passed_on(askers, answers) if groups > 1 else answers
     return dealt.drop("words").groupBy("block").cogroup(answers.groupBy("asked_by")).applyInArrow(answer, ENCODED)
 
 
