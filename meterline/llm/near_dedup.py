@@ -152,13 +152,14 @@ def _similar(sig_a: bytes, a: np.ndarray, sigs: np.ndarray, sets: list[np.ndarra
 HOT_ROWS, MOST_HOT = 1000, 10_000
 
 
-def spread(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+def spread(many: DataFrame, one: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
     """``many`` joined with ``one``, which has one row for each ``key``. A key with a large part of ``many`` is dealt over several tasks by a hash of ``by``, and its row of ``one`` is copied to each.
 
-    What a task takes of a key is a ``MOST_HOT``-th of all rows or ``HOT_ROWS``, so fewer than ``MOST_HOT`` keys can have more: their list is small whatever the input, and is broadcast.
+    What a task takes of a key is a ``MOST_HOT``-th of all rows or ``HOT_ROWS``, so fewer than ``MOST_HOT`` keys can have more: their list is small whatever the input, and is broadcast. ``counted`` has the keys of ``many`` where that is cheaper to count.
     """
-    most = max(HOT_ROWS, many.count() // MOST_HOT)
-    hot = F.broadcast(many.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col(key).alias("hot"), F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    counted = many if counted is None else counted
+    most = max(HOT_ROWS, counted.count() // MOST_HOT)
+    hot = F.broadcast(counted.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col(key).alias("hot"), F.ceil(F.col("n") / most).cast("int").alias("parts")))
     left = many.join(hot, F.col(key) == F.col("hot"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0)))
     right = one.join(hot, F.col(key) == F.col("hot"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     return left.drop("hot", "parts").join(right.drop("hot", "parts"), [key, "salt"]).drop("salt")
@@ -177,7 +178,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("shingles").alias("set_b"))
     # many nodes may have one leader
-    both = spread(pairs, right, "b", "a").join(left, "a").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
+    both = spread(pairs.join(left, "a"), right, "b", "a", pairs).select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
     return both.mapInArrow(work, "a long, b long")
 
 
