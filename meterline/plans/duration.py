@@ -47,23 +47,27 @@ def evaluate_model(model: PipelineModel, split: DataFrame, baseline_rmse: float)
     return rows.select(*(F.lit(float(v)).alias(n) for n, v in zip(("rmse", "mae", "r2", "improvement_pct"), (*values, improvement))), "train_rows", "test_rows")
 
 
-def owner(slot: str, inputs: list[str]) -> str:
-    """The input that a vector slot belongs to: the longest one that begins its name."""
-    found = [c for c in inputs if slot == c or slot.startswith(f"{c}_")]
-    if not found:
-        raise ValueError(f"slot {slot} belongs to none of {inputs}")
-    return max(found, key=len)
+def slot_inputs(model: PipelineModel, rows: DataFrame) -> list[str]:
+    """For each slot of the assembled vector, the input column that it was made from: the assembler takes its columns in order, each as wide as its attributes tell, and indexers and encoders tell what they were given."""
+    made_from = {out: given for stage in model.stages if stage.hasParam("inputCols") and stage.hasParam("outputCols") for out, given in zip(stage.getOutputCols(), stage.getInputCols())}
+    schema, slots = model.transform(rows.limit(1)).schema, []
+    for column in model.stages[-2].getInputCols():
+        told = schema[column].metadata.get("ml_attr", {})
+        width = told.get("num_attrs") or sum(map(len, told.get("attrs", {}).values())) or 1
+        while column in made_from:
+            column = made_from[column]
+        slots += [column] * width
+    return slots
 
 
 def feature_importance(model: PipelineModel, rows: DataFrame, inputs: list[str]) -> DataFrame:
-    """Importance of each input, its slots added up; slots are named by the assembled column's metadata."""
-    meta = model.transform(rows.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a["name"] for kind in meta.values() for a in kind}
-    total = dict.fromkeys(inputs, 0.0)
-    for i, value in enumerate(model.stages[-1].featureImportances.toArray()):
-        total[owner(names[i], inputs)] += float(value)
-    ranked = sorted(((c, round(v, 4)) for c, v in total.items()), key=lambda x: (-x[1], x[0]))
-    return rows.sparkSession.createDataFrame(ranked, "feature string, importance double")
+    """Importance of each input, its slots added up. A slot of no input is an error."""
+    values, slots = model.stages[-1].featureImportances.toArray().tolist(), slot_inputs(model, rows)
+    if len(values) != len(slots) or not set(slots) <= set(inputs):
+        raise ValueError(f"{len(values)} slots of the model, {len(slots)} of {sorted(set(slots))}; the inputs are {inputs}")
+    pairs = rows.sparkSession.createDataFrame(list(zip(slots, values)) + [(c, 0.0) for c in inputs], "feature string, part double")
+    summed = pairs.groupBy("feature").agg(F.round(F.sum("part"), 4).alias("importance"))
+    return summed.orderBy(F.desc("importance"), "feature")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -242,14 +242,20 @@ def replay_stream(events: DataFrame, path: str, files: int | None = None, mode:
     without it, one for each ``EVENTS`` rows, three at least.
     """
     files = files or max(3, -(-events.count() // EVENTS))
-    spark = events.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = list(fs.listStatus(folder)) if mode == "append" and fs.exists(folder) else []
-    before = {x.getPath().getName() for x in there}
-    began = max((x.getModificationTime() + 1000 for x in there), default=1_000_000)
-    events.repartitionByRange(files, "dropoff_ts").sortWithinPartitions("dropoff_ts").select("key", F.col("value").cast("binary").alias("value")).write.mode(mode).parquet(path)
-    # the file source takes the oldest file first, and tasks end in any order
-    parts = sorted((x for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-") and x.getPath().getName() not in before), key=lambda x: x.getPath().getName())
-    for k, part in enumerate(parts):
-        fs.setTimes(part.getPath(), began + 1000 * k, -1)
+    spark, staged = events.sparkSession, f"{path}/_staged-{uuid.uuid4().hex}"
+    fs, of = file_system(spark, path)
+    if mode == "overwrite":
+        fs.delete(of(path), True)
+    ordered = events.repartitionByRange(files, "dropoff_ts").sortWithinPartitions("dropoff_ts")
+    ordered.select("key", F.col("value").cast("binary").alias("value")).write.parquet(staged)
+    # The file source takes the oldest file first, and of one time the first by name. Files move in order, one after another: a store that
+    # copies gives them ascending times, and on one that keeps times these are set
+    before = [x for x in fs.listStatus(of(path)) if not x.getPath().getName().startswith("_")]
+    began = max((x.getModificationTime() + 1000 for x in before), default=1_000_000)
+    first = max((int(name.split("-")[1]) + 1 for x in before if (name := x.getPath().getName()).startswith("events-")), default=0)
+    for k, name in enumerate(n for n in listed(spark, staged) if n.startswith("part-")):
+        target = of(f"{path}/events-{first + k:08d}-{uuid.uuid4().hex}.parquet")
+        if not fs.rename(of(f"{staged}/{name}"), target):
+            raise OSError(f"could not move {name} to {target}")
+        fs.setTimes(target, began + 1000 * k, -1)
+    fs.delete(of(staged), True)

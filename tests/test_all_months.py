@@ -19,8 +19,8 @@ def test_files_follow_the_rows_in_dropoff_order(spark, sf, tmp_path, monkeypatch
     monkeypatch.setattr(streams, "EVENTS", 1000)
     events = trip_events(fixtures.raw_trips(spark, sf), "yellow")
     streams.replay_stream(events, str(tmp_path / "events"))
-    files = sorted((tmp_path / "events").glob("part-*.parquet"), key=lambda f: f.stat().st_mtime)
+    files = sorted((tmp_path / "events").glob("events-*.parquet"), key=lambda f: f.stat().st_mtime)
     streams.replay_stream(events.limit(10), str(tmp_path / "events"), 1, "append")
-    more = sorted((tmp_path / "events").glob("part-*.parquet"), key=lambda f: f.stat().st_mtime)
+    more = sorted((tmp_path / "events").glob("events-*.parquet"), key=lambda f: f.stat().st_mtime)
     assert more[:-1] == files
     assert len(files) == -(-events.count() // 1000) and [f.name for f in files] == sorted(f.name for f in files)

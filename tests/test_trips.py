@@ -216,6 +216,7 @@ def test_duration_model(spark):
     grid = duration.prediction_grid(spark, ["Slow", "Never seen"], 2)
     assert grid.count() == 24 * 2 * 2 * 4 and duration.score_grid(model, grid).where("predicted_min is null").count() == 0
     assert "passenger_count" not in duration.feature_selection("fhvhv")
+    slots = duration.slot_inputs(model, rows)
+    assert slots[:4] == ["trip_distance", "pickup_hour", "pickup_dow", "passenger_count"] and sorted(set(slots[4:])) == ["do_borough", "pu_borough"] and len(slots) == model.stages[-1].numFeatures
     with pytest.raises(ValueError):
-        duration.owner("unknown_slot", inputs)
-    assert duration.owner("pu_borough_hot_Slow", ["pu_borough", "pu"]) == "pu_borough"
+        duration.feature_importance(model, rows, [c for c in inputs if c != "pu_borough"])
