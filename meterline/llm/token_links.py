@@ -323,6 +323,33 @@ def link_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return dealt.select("part", "texts", "units", "pairs").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer, LINKED)
 
 
+ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_groups array<int>, b_groups array<int>"
+
+
+def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """``ALIGNED`` of every document: the ids of both tokenizers, and for each token the number, from 0, of the group that it belongs to in its text. Without tokens, lists are empty."""
+    schema = arrow_schema(ALIGNED)
+
+    def work(batches):
+        for batch in batches:
+            for some in slices(batch, "text", STEP_BYTES):
+                texts = some.column("text").to_pylist()
+                a, b = tokens_of(a_path, texts), tokens_of(b_path, texts)
+                good = a.whole & b.whole & np.fromiter(map(bool, texts), bool, len(texts))
+                a_in, b_in = np.repeat(good, a.counts), np.repeat(good, b.counts)
+                found = align(a.sizes[a_in], b.sizes[b_in])
+                ends = [np.cumsum(x.counts * good) for x in (a, b)]
+                offsets = [pa.array(np.concatenate([[0], e]), pa.int32()) for e in ends]
+                # groups are numbered on through the batch
+                first = np.append(found.a_groups, 0)[np.concatenate([[0], ends[0][:-1]])]
+                groups = [g - np.repeat(first[good], x.counts[good]) for g, x in ((found.a_groups, a), (found.b_groups, b))]
+                lists = [pa.ListArray.from_arrays(o, pa.array(v, pa.int32())) for o, v in zip((*offsets, *offsets), (a.ids[a_in], b.ids[b_in], *groups))]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(x.cast(f.type) for x, f in zip(lists, list(schema)[1:]))], schema=schema)
+            release()
+
+    return whole_texts(docs).mapInArrow(work, ALIGNED)
+
+
 def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

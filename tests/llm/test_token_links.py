@@ -79,3 +79,17 @@ def test_odd_texts_and_clashing_columns(spark, small, monkeypatch):
 
 def test_empty_table(spark):
     assert token_links.link_documents(spark.createDataFrame([], "doc_id long, text string"), A, B).collect() == []
+
+
+def test_aligned_tokens_give_the_same_groups(spark, sf):
+    texts = [None, "", *SPACED, "words again " * 50]
+    docs = table(spark, sf, "documents").select("doc_id", "text").limit(40).unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+
+    def joined(r):
+        groups = max(r.a_groups, default=-1) + 1
+        sides = [[",".join(str(i) for i, g in zip(ids, of) if g == k) for k in range(groups)] for ids, of in ((r.a_ids, r.a_groups), (r.b_ids, r.b_groups))]
+        return ";".join(map("|".join, zip(*sides)))
+
+    want = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.groups_sha256) for r in token_links.link_documents(docs, A, B).collect()}
+    got = {r.doc_id: (len(r.a_ids), len(r.b_ids), max(r.a_groups, default=-1) + 1, hashlib.sha256(text.encode()).hexdigest() if (text := joined(r)) else "") for r in token_links.aligned(docs, A, B).collect()}
+    assert got == want
