@@ -16,8 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from meterline.llm.shared import arrow_schema, slices, table, whole_texts, written
 
@@ -199,10 +202,15 @@ def fit(x: np.ndarray, y: np.ndarray, slopes: list[int], trees: int = 60, depth:
     return as_trees()
 
 
+def sampled(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id and quality of the labelled rows that are fitted on, at most ``sample_rows``."""
+    told = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    return told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+
+
 def train(counted: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees | None:
     """Fits on at most ``sample_rows`` labelled rows. The rows' counts, some numbers each, come to the driver; texts do not."""
-    told = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    rows = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = sampled(labels, sample_rows)
     # of several texts under one id, that of the smallest hash
     one = counted.groupBy("doc_id").agg(F.min_by(F.struct("base_failed", *COUNTS), "text_hash").alias("first")).select("doc_id", "first.*")
     known = rows.join(one.where("not base_failed"), "doc_id").select("quality", *COUNTS).toPandas()
@@ -236,6 +244,30 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return verdicts(counted, train(counted, labels))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`rate` keeps, with all their columns.
+
+    The texts of the sampled labels, which are few, are counted first and teach the trees; then one pass counts and judges every row where it lies, so that no text is moved.
+    """
+    few = sampled(labels).select(F.col("doc_id").alias("told"))
+    texts = whole_texts(docs)
+    trees = train(written(statistics(texts.join(F.broadcast(few), texts["doc_id"] == F.col("told"), "left_semi")), "statistics"), labels)
+    schema = to_arrow_schema(StructType([StructField("row", docs.schema), StructField("kept", BooleanType())]))
+
+    def judge(batches):
+        for batch in batches:
+            texts = pc.fill_null(pc.struct_field(batch.column("row"), "text"), "")
+            for some in slices(pa.RecordBatch.from_arrays([batch.column("row"), texts], ["row", "text"]), "text", 4 << 20):
+                counts = np.array([statistics_of(t) for t in some.column("text").to_pylist()])
+                words, repeated = counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")]
+                kept = (words >= 20) & (100 * repeated <= 30 * words)
+                if trees is not None:
+                    kept &= trees.score(features(counts)) > 0
+                yield pa.RecordBatch.from_arrays([some.column("row").cast(schema.field("row").type), pa.array(kept)], schema=schema)
+
+    return docs.select(F.struct("*").alias("row")).mapInArrow(judge, StructType([StructField("row", docs.schema), StructField("kept", BooleanType())])).where("kept").select("row.*")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
