@@ -27,8 +27,7 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the base rules and the model of document statistics accept."""
-    rated = quality.rate(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, rated.where("kept"))
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
