@@ -117,8 +117,8 @@ def learn(counted: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """Fits on at most ``sample_rows`` labelled rows that aren't held out. Their counts, some numbers each, come to the driver; texts do not."""
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("quality").isNotNull() & ~held_out())
     rows = told.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    one = counted.groupBy("doc_id").agg(F.min_by(F.struct(*COUNTS), "text_hash").alias("first")).select("doc_id", "first.*")
-    known = rows.join(one, "doc_id").select("quality", *COUNTS).toPandas()
+    one = counted.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min_by(F.struct(*COUNTS), "text_hash").alias("first"))
+    known = one.select("quality", "first.*").toPandas()
     y = (known["quality"] > 0).to_numpy().astype(int)
     if len(np.unique(y)) < 2:
         return None
