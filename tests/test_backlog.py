@@ -44,3 +44,12 @@ def test_numbering_deals_rows_once(spark, sf):
         spark.conf.unset("spark.sql.adaptive.enabled")
     # trips once, and the sizes of minutes for their sums and for the join
     assert plan.count("Exchange hashpartitioning") == 4 and plan.count("isnull(") == 0
+
+
+def test_an_event_is_parsed_once(spark):
+    rows = records(spark, [event(START)])
+    clean = streams.clean_stream(streams.parse_events(rows), JANUARY)
+    assert clean._jdf.queryExecution().executedPlan().toString().count("from_json") == 1 and clean.count() == 1
+    # what is no event, and no text at all, still gives a row of nulls
+    odd = spark.createDataFrame([(bytearray(b"{bad"),), (None,)], "value binary")
+    assert [tuple(r) for r in streams.parse_events(odd).select("trip_id", "pickup_ts").collect()] == [(None, None)] * 2
