@@ -41,6 +41,8 @@ END = 0xFF
 BLOCK_BYTES = 32 << 20
 #: Answers that a task gathers before it writes them.
 HELD_ANSWERS = 1_000_000
+#: Grams of a block's chunks that are gathered before they join those already summed.
+HELD_GRAMS = 1_000_000
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -104,13 +106,22 @@ class GramTable:
         return out
 
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of each one's counts."""
+    all_keys = np.concatenate([np.empty(0, np.int64), *keys])
+    order = np.argsort(all_keys, kind="stable")
+    all_keys, all_counts = all_keys[order], np.concatenate([np.empty(0, np.int64), *counts])[order]
+    first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]])[: len(all_keys)])
+    return all_keys[first], np.add.reduceat(all_counts, first).astype(np.int64) if len(first) else all_counts
+
+
 def ask_grams(dealt: DataFrame, folds: int, fold: int) -> DataFrame:
     """(block, gram, n): each distinct gram of a block, with its count in training documents."""
     ddl = "block long, gram long, n long"
     schema = arrow_schema(ddl)
 
     def ask(block: int, chunk: pa.Array) -> pa.RecordBatch:
-        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        keys, counts, pending = [], [], 0
         for batch in unpack(chunk):
             texts, out = _lower(batch), [held_out(i, folds, fold) for i in batch.column("doc_id").to_pylist()]
             for counted in (True, False):
@@ -118,11 +129,16 @@ def ask_grams(dealt: DataFrame, folds: int, fold: int) -> DataFrame:
                     found, n = np.unique(grams(some)[0], return_counts=True)
                     keys.append(found)
                     counts.append(n if counted else np.zeros(len(n), np.int64))
-        order = np.argsort(all_keys := np.concatenate(keys), kind="stable")
-        all_keys, all_counts = all_keys[order], np.concatenate(counts)[order]
-        first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]])[: len(all_keys)])
-        sums = np.add.reduceat(all_counts, first).astype(np.int64) if len(first) else all_counts
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block, np.int64)), pa.array(all_keys[first]), pa.array(sums)], schema=schema)
+                    pending += len(found)
+            if pending > HELD_GRAMS:
+                merged = summed(keys, counts)
+                keys, counts, pending = [merged[0]], [merged[1]], 0
+        found, sums = summed(keys, counts)
+        del keys, counts
+        told = pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, np.int64)), pa.array(found), pa.array(sums)], schema=schema)
+        del found, sums
+        release()
+        return told
 
     return dealt.mapInArrow(lambda batches: (ask(k.as_py(), c) for k, c in _each(batches)), ddl)
 
