@@ -68,3 +68,22 @@ def test_stored_tables_follow_their_sources(spark, tmp_path):
     assert stored() == 1 == stored()
     spark.range(5).write.mode("overwrite").parquet(path)
     assert stored() == 5
+
+
+def test_refresh_curates_each_trip_once(spark, tmp_path):
+    root, layer, told = (str(tmp_path / n) for n in ("bronze", "layer", "manifest"))
+    raw = spark.range(40).select(F.lit(2024).alias("file_year"), (F.col("id") % 4 + 1).cast("int").alias("file_month"), F.current_timestamp().alias("pickup_ts"), F.lit(1).alias("PULocationID"), F.lit(2).alias("DOLocationID"))
+    trips.write_bronze(raw, root, "yellow")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def curate(rows):
+        kept = rows.select("pickup_ts", "PULocationID", "DOLocationID", F.col("file_year").alias("year"), F.col("file_month").alias("month"))
+        return kept.mapInArrow(counted, kept.schema)
+
+    manifest.refresh(spark, root, "yellow", layer, told, curate)
+    assert seen.value == 40 and spark.read.parquet(layer).count() == 40
