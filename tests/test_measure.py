@@ -3,7 +3,7 @@
 import pytest
 
 from meterline.operators import insights
-from meterline.plans import measure
+from meterline.plans import measure, queries
 from meterline.plans.queries import LAYOUT_PAIRS, QUERIES, SQL
 from tests.oracle import connection, same
 
@@ -22,3 +22,13 @@ def test_reads(spark, sf):
 @pytest.mark.parametrize("name", ["layout_rows", "parse_events_all_months", "clean_stream_all_months", "zone_metrics_all_months", "append_final_windows_all_months", "update_running_windows_all_months"])
 def test_queries(spark, sf, name):
     same(connection(sf), SQL[name], QUERIES[name](spark, sf))
+
+
+def test_the_flat_layout_is_not_written_twice(spark, sf, monkeypatch):
+    written = []
+    for name in ("write_flat_copy", "write_csv_copy", "write_curated"):
+        monkeypatch.setattr(queries.trips, name, lambda df, path, name=name, write=getattr(queries.trips, name): (written.append(name), write(df, path)))
+    ways = queries.layouts(spark, sf)
+    assert sorted(written) == ["write_csv_copy", "write_curated"]
+    answers = {name: sorted(map(tuple, ways[name]().collect())) for name in ways}
+    assert answers["parquet"] == answers["csv"] and answers["flat"] == answers["partitioned"] and answers["broadcast"] == answers["sort_merge"]
