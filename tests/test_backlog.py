@@ -1,6 +1,7 @@
 """Streams over a backlog: few state partitions, several files a trigger, events stored once, and one shuffle to number them."""
 
 import datetime as dt
+import pathlib
 
 from meterline.functions.derive import trip_events
 from meterline.plans import queries
@@ -53,3 +54,16 @@ def test_an_event_is_parsed_once(spark):
     # what is no event, and no text at all, still gives a row of nulls
     odd = spark.createDataFrame([(bytearray(b"{bad"),), (None,)], "value binary")
     assert [tuple(r) for r in streams.parse_events(odd).select("trip_id", "pickup_ts").collect()] == [(None, None)] * 2
+
+
+def test_single_files_keep_little_state(spark, sf, monkeypatch):
+    asked, whole = [], streams.sink_windows_parquet
+
+    def watched(metrics, path, checkpoint, **options):
+        asked.append(checkpoint)
+        return whole(metrics, path, checkpoint, **options)
+
+    monkeypatch.setattr(streams, "sink_windows_parquet", watched)
+    assert queries.QUERIES["bounded_batches"](spark, sf).first().batches == 3
+    stores = [p for p in (pathlib.Path(asked[0].removeprefix("file:")) / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(stores) == streams.FEW_PARTITIONS
